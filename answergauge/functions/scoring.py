@@ -17,22 +17,23 @@ def keyword_tokens(keywords: Column, lexicon: Sequence[str] = ()) -> Column:
     return F.transform(keywords, lambda k: tokens(k, lexicon))
 
 
-def matched_keyword_tokens(kw_tokens: Column, answer_tokens: Column) -> Column:
-    """Those keyword tokens that the answer has: one pass over both, so that the test of each keyword
-    looks at its own matches instead of the whole answer."""
-    return F.array_intersect(F.flatten(kw_tokens), answer_tokens)
-
-
-def relevance(content: Column, keywords: Column, kw_tokens: Column, matched: Column) -> Column:
+def relevance(content: Column, keywords: Column, kw_tokens: Column, answer_tokens: Column) -> Column:
     """Share of keywords found, 0 to 100. A keyword is found when the answer has all its tokens; a
     keyword without tokens when it occurs in the text as it stands."""
-    found = F.filter(
-        F.arrays_zip(keywords.alias("word"), kw_tokens.alias("toks")),
-        lambda k: F.when(F.size(k["toks"]) == 0, F.contains(content, k["word"])).otherwise(
-            F.forall(k["toks"], lambda t: F.array_contains(matched, t))
-        ),
-    )
-    hits = F.size(found)
+    # The keyword tokens that the answer has, in one pass over both: each keyword is then looked up among
+    # these few. They are bound as a lambda variable, since an expression would be run per element.
+    matched = F.array_intersect(F.flatten(kw_tokens), answer_tokens)
+
+    def count_hits(found: Column) -> Column:
+        hits = F.filter(
+            F.arrays_zip(keywords.alias("word"), kw_tokens.alias("toks")),
+            lambda k: F.when(F.size(k["toks"]) == 0, F.contains(content, k["word"])).otherwise(
+                F.forall(k["toks"], lambda t: F.array_contains(found, t))
+            ),
+        )
+        return F.size(hits)
+
+    hits = F.element_at(F.transform(F.array(matched), count_hits), 1)
     return (
         F.when(is_blank(content), 0.0)
         .when(F.coalesce(F.size(keywords), F.lit(0)) == 0, 100.0)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +26,21 @@ WS = (
 HAN = r"\x{4e00}-\x{9fff}"
 WORDLIKE = r"\p{L}\p{Nl}\p{No}"
 
-# A whole run of non-white-space with two characters or more and at least one letter in it. The
-# possessive quantifiers and the look-behind keep the search linear in the text.
-SPACED_WORD = rf"(?<![^{WS}])(?=[^{WS}]{{2}})[^{WS}{WORDLIKE}]*+[{WORDLIKE}][^{WS}]*+"
+# A whole run of non-white-space with two characters or more and at least one letter in it, in a text
+# whose only white space is what Java's \s knows. Most words start with an ASCII letter and take the
+# first branch, which tests one small class per character. The possessive quantifiers and the
+# look-behind keep the search linear in the text.
+SPACED_WORD = rf"(?<!\S)(?:[a-zA-Z]\S++|(?=\S\S)[^\s{WORDLIKE}]*+[{WORDLIKE}]\S*+)"
+
+# The white space that \s does not know.
+ODD_SPACE = (
+    r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+# Odd white space that takes fewer than three bytes, and the range of all longer characters.
+SHORT_ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+SHORT_ODD_SPACE_NOT_ASCII = ("\x85", "\xa0")
+LONG_CHARACTER = r"[\x{1680}-\x{10ffff}]"
 
 # Han text: every overlapping pair of neighbouring characters.
 HAN_PAIR = rf"(?=([{HAN}]{{2}}))"
@@ -64,9 +78,8 @@ def has_han(text: Column) -> Column:
     return text.rlike(f"[{HAN}]")
 
 
-def spaced_tokens(text: Column) -> Column:
-    """Distinct words of a text that separates them by white space."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)))
+def _spaced_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0))
 
 
 def han_tokens(text: Column, lexicon: Sequence[str] = ()) -> Column:
@@ -76,19 +89,36 @@ def han_tokens(text: Column, lexicon: Sequence[str] = ()) -> Column:
         longest_first = sorted({w for w in lexicon if w}, key=lambda w: (-len(w), w))
         words = "|".join(re.escape(w) for w in longest_first)
         han = F.regexp_extract_all(text, F.lit(f"{words}|[{HAN}]"), F.lit(0))
-        # Only one-character leftovers and digit-only entries can need dropping here.
+        # Drops the single characters between lexicon words.
         han = F.filter(han, lambda w: (F.length(w) >= 2) & w.rlike(f"[{WORDLIKE}]"))
     else:
         han = F.regexp_extract_all(text, F.lit(HAN_PAIR), F.lit(1))
-    rest = F.regexp_extract_all(F.regexp_replace(text, HAN_BREAK, " "), F.lit(SPACED_WORD), F.lit(0))
+    rest = _spaced_words(F.regexp_replace(F.regexp_replace(text, HAN_BREAK, " "), ODD_SPACE, " "))
     return F.array_except(F.concat(han, rest), literals(STOP_WORDS))
 
 
+def needs_care(text: Column) -> Column:
+    """True for texts that may have odd white space or Han characters. Byte searches and, outside of
+    ASCII, one regex of a single range: much cheaper than the exact classes."""
+
+    def has_any(chars: Sequence[str]) -> Column:
+        return reduce(operator.or_, [F.contains(text, F.lit(c)) for c in chars])
+
+    not_ascii = F.octet_length(text) != F.length(text)
+    return (not_ascii & (text.rlike(LONG_CHARACTER) | has_any(SHORT_ODD_SPACE_NOT_ASCII))) | has_any(
+        SHORT_ODD_SPACE
+    )
+
+
 def tokens(text: Column, lexicon: Sequence[str] = ()) -> Column:
     """The set of fact-bearing words of a text, as an array without repeats. NULL gives NULL.
 
     Stop words are Han words, so only the Han branch has any to remove."""
-    return F.when(has_han(text), han_tokens(text, lexicon)).otherwise(spaced_tokens(text))
+    return (
+        F.when(~needs_care(text), F.array_distinct(_spaced_words(text)))
+        .when(has_han(text), han_tokens(text, lexicon))
+        .otherwise(F.array_distinct(_spaced_words(F.regexp_replace(text, ODD_SPACE, " "))))
+    )
 
 
 def literals(words: Sequence[str]) -> Column:

@@ -14,7 +14,9 @@ from answergauge.rules import Rules
 
 
 def _count_of(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+    """How often a character occurs. Byte lengths are known without reading the text."""
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, char, F.lit("")))
+    return removed / F.octet_length(char)
 
 
 def top_char_share(text: Column) -> Column:

@@ -63,12 +63,7 @@ def add_tokens(df: DataFrame, rules: Rules, content: str = "answer_content") ->
             "_standard_tokens": tokens(F.col("standard_answer"), rules.lexicon),
             "_keyword_tokens": scoring.keyword_tokens(F.col("expect_keywords"), rules.lexicon),
         }
-    ).withColumns(
-        {
-            "_answer_only": F.array_except("_answer_tokens", "_standard_tokens"),
-            "_matched": scoring.matched_keyword_tokens(F.col("_keyword_tokens"), F.col("_answer_tokens")),
-        }
-    )
+    ).withColumn("_answer_only", F.array_except("_answer_tokens", "_standard_tokens"))
 
 
 def add_scores(df: DataFrame, rules: Rules, content: str = "answer_content") -> DataFrame:
@@ -81,7 +76,7 @@ def add_scores(df: DataFrame, rules: Rules, content: str = "answer_content") ->
             "_n_common": F.size("_answer_tokens") - F.size("_answer_only"),
             "_extra": scoring.unsupported(F.col("_answer_only"), rules),
             "relevance_score": scoring.relevance(
-                text, F.col("expect_keywords"), F.col("_keyword_tokens"), F.col("_matched")
+                text, F.col("expect_keywords"), F.col("_keyword_tokens"), F.col("_answer_tokens")
             ),
         }
     )

@@ -7,14 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for costly row-local work over a scan of few, large splits.
 
     A big table has more splits than the cluster has cores and comes back unchanged, so nothing is
-    shuffled at scale; only an input smaller than that is dealt out again. Counts the splits of the
-    plan without running it, so pass scans, not shuffled frames."""
+    shuffled at scale; only an input smaller than that is dealt out again, by ``keys`` where a join
+    on them follows. Counts the splits of the plan without running it, so pass scans, not shuffled
+    frames."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    """Columns of the documents. Unlike the other tables they are long, and costly per row."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
 
 
 def _without_words_with(text: Column, letters: str) -> Column:

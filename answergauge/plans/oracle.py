@@ -522,9 +522,9 @@ def all_sql() -> dict[str, str]:
     batch = lit(workloads.BATCH)
     doc_stripped = f"stripped AS (SELECT doc_id AS key, text AS content, {strip('text')} AS s FROM documents)"
     return {
-        "tokens": f"SELECT doc_id, len(t) AS n_tokens, {sorted_join('t')} AS tokens"
+        "tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens"
         f" FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
-        "validity_blank_len": f"""SELECT doc_id, length(s) AS stripped_chars,
+        "validity_blank_len": f"""SELECT doc_id, CAST(length(s) AS INTEGER) AS stripped_chars,
   CASE WHEN s = '' THEN {lit(code_text(texts.EMPTY_ANSWER))}
     WHEN length(s) < 50 THEN concat('{code_text(texts.SHORT_ANSWER)}，仅', length(s), '字,低于阈值:50字')
     ELSE {lit(texts.VALID_TEXT)} END AS validity_msg
@@ -545,13 +545,14 @@ FROM (SELECT doc_id, {strip('text')} AS s FROM documents)""",
         ),
         "case_defaults": _with(
             DOC_CASES,
-            select="SELECT case_pos, case_id, case_desc, prompt, length(standard_answer) AS standard_chars,"
+            select="SELECT case_pos, case_id, case_desc, prompt, CAST(length(standard_answer) AS INTEGER) AS"
+            " standard_chars,"
             " array_to_string(expect_keywords, '|') AS keywords FROM doc_cases",
         ),
         "relevance": _doc_scores("relevance_score"),
         "completeness": _doc_scores("completeness_score"),
         "unsupported_terms": _doc_scores(
-            f"n_extra, ratio AS extra_ratio, {sorted_join('extra')} AS extra_terms"
+            f"CAST(n_extra AS INTEGER) AS n_extra, ratio AS extra_ratio, {sorted_join('extra')} AS extra_terms"
         ),
         "risk_level": _doc_scores("hallucination_level, level_score"),
         "risk_message": _doc_scores("hallucination_msg"),

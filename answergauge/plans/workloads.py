@@ -138,7 +138,7 @@ def q_total_score(spark, sf):
 
 def results(spark: SparkSession, sf: str, judged: bool = False) -> DataFrame:
     """The full grading of the document cases, with the batch each belongs to."""
-    docs = derive.table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return evaluate(
         derive.doc_cases(docs),
         derive.doc_answers(docs),
@@ -161,7 +161,7 @@ def q_chat_results(spark, sf):
 
 
 def q_judge_prompt(spark, sf):
-    docs = derive.table(spark, sf, "documents")
+    docs = _docs(spark, sf)
     return judge_prompts(derive.doc_cases(docs), derive.doc_answers(docs))
 
 

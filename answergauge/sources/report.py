@@ -18,7 +18,7 @@ REPORT_COLUMNS = [
     "total_score", "relevance_score", "completeness_score",
     "hallucination_level", "hallucination_msg", "answer_content",
 ]
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def _as_text(name: str) -> Column:
