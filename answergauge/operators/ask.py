@@ -37,6 +37,8 @@ def ask_all(
     the other and the judge right after the model. A call that raises becomes the failed outcome of
     its own case. Lazy: Spark may run it more than once, so use ``collect_answers`` unless ``ask``
     is a pure function."""
+    # Plain values only: the closure travels to workers that need not have this package.
+    columns, fault_prefix = list(ASKED), texts.FAULT_PREFIX
 
     def ask_case(case) -> tuple:
         if case.prompt is None:
@@ -50,14 +52,14 @@ def ask_all(
                     )
                 )
         except Exception as e:
-            return case.case_pos, FAULT_CODE, None, f"{texts.FAULT_PREFIX}{e}", 0.0, None, None
+            return case.case_pos, FAULT_CODE, None, f"{fault_prefix}{e}", 0.0, None, None
         reply_part = (reply["code"], reply.get("data"), reply.get("msg"), reply.get("cost_ms"))
         return case.case_pos, *reply_part, verdict.get("code"), verdict.get("data")
 
     def ask_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [ask_case(case) for case in batch.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=list(ASKED), dtype=object)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     todo = with_case_defaults(cases).select("case_pos", "prompt", "standard_answer")
     schema = ", ".join(f"{name} {kind}" for name, kind in ASKED.items())

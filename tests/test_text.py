@@ -69,9 +69,7 @@ def test_null_text_has_no_tokens(spark):
 
 def test_han_text_gives_character_pairs_and_other_words(spark):
     (got,) = column(spark, ["Python是一种解释型，面向 对象C++、v2"], T.tokens)
-    assert got == ["是一", "种解", "解释", "释型", "面向", "对象", "Python", "C++", "v2"] or set(got) == {
-        "是一", "种解", "解释", "释型", "面向", "对象", "Python", "C++", "v2",
-    }
+    assert sorted(got) == sorted(["是一", "种解", "解释", "释型", "面向", "对象", "Python", "C++", "v2"])
     assert not set(got) & set(STOP_WORDS)
 
 
