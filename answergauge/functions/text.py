@@ -55,7 +55,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for NULL and for text of nothing but white space."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(f"[^{WS}]"), F.lit(False))
 
 
 def fixed2(x: Column) -> Column:

@@ -57,7 +57,8 @@ def longest_phrase_run(text: Column, phrase_lengths: Sequence[int], more_than: i
     Among equally long runs the shorter phrase wins, then the earlier one."""
 
     def runs(size: int) -> Column:
-        pattern = rf"(?s)\G(?:.{{{size}}})*?((.{{{size}}})\2{{{max(more_than, 0)},}})"
+        block = "." * size  # faster than .{n}
+        pattern = rf"(?s)\G(?:{block})*?(({block})\2{{{max(more_than, 0)},}})"
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         found = F.when(F.length(text) >= 2 * size, found).otherwise(literals(()))
         return F.transform(

@@ -61,7 +61,8 @@ def ask_all(
             rows = [ask_case(case) for case in batch.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    todo = with_case_defaults(cases).select("case_pos", "prompt", "standard_answer")
+    needed = ["case_pos", "prompt"] + (["standard_answer"] if judge is not None else [])
+    todo = with_case_defaults(cases).select(*needed)
     schema = ", ".join(f"{name} {kind}" for name, kind in ASKED.items())
     return todo.repartition(concurrent_num).mapInPandas(ask_batches, schema)
 

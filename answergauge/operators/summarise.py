@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.concat(fixed2(_share(part, whole)), F.lit("%"))
 
 
-def count_results(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+def count_results(
+    results: DataFrame, by: Sequence[str] = (), also: Sequence[Column] = ()
+) -> DataFrame:
     """The counts and sums every statistic derives from, per group of ``by`` or over all rows.
 
     All buffers are fixed-width and combine map-side, so one group with most of the rows is no
@@ -31,8 +35,7 @@ def count_results(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     def ok_rows(test: Column) -> Column:
         return F.count_if(ok & test)
 
-    grouped = results.groupBy(*(by or []))
-    return grouped.agg(
+    return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("success"),
         *[
@@ -44,6 +47,7 @@ def count_results(results: DataFrame, by: list[str] | None = None) -> DataFrame:
             for name, level in texts.SUMMARY_LEVELS.items()
         ],
         *[ok_rows(F.col(c)).alias(f"_n_{name}") for name, c in PASSES.items()],
+        F.struct(*also).alias("_also") if also else F.lit(None).alias("_also"),
     )
 
 
@@ -52,14 +56,17 @@ def success_rate(success: Column, total: Column) -> Column:
 
 
 def summarise(
-    results: DataFrame, by: list[str] | None = None, total_time: float | Column = 0.0
+    results: DataFrame,
+    by: Sequence[str] = (),
+    total_time: float | Column = 0.0,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """One nested summary record per group: counts, success rate, mean scores, risk distribution, pass
     rates, times. Means and ratios are over successful cases and NULL when there are none.
 
     ``total_time`` is the batch's wall time in seconds as the caller measured it; a Column may use the
-    grouping columns."""
-    counted = count_results(results, by)
+    grouping columns. ``also`` are further named aggregates to add at the end."""
+    counted = count_results(results, by, also)
     n, ok = F.col("total"), F.col("success")
     seconds = total_time if isinstance(total_time, Column) else F.lit(float(total_time))
     means = [
@@ -73,7 +80,7 @@ def summarise(
     ]
     passes = [_percent(F.col(f"_n_{name}"), ok).alias(name) for name in PASSES]
     return counted.select(
-        *(by or []),
+        *by,
         n,
         ok,
         (n - ok).alias("failed"),
@@ -83,6 +90,7 @@ def summarise(
         F.struct(*passes).alias("validate_pass_rate"),
         seconds.alias("total_time"),
         F.coalesce(round2(seconds / F.nullif(n, F.lit(0))), F.lit(0.0)).alias("avg_time_per_case"),
+        *(["_also.*"] if also else []),
     )
 
 

@@ -281,11 +281,11 @@ def _details(spark, sf):
 
 def _batches(spark, sf):
     """The batch rows of the stored details. Each batch ran when its last case did."""
-    details = _details(spark, sf)
-    summary = summarise(details, by=["batch_id"], total_time=F.length("batch_id") * F.lit(2.5))
-    ran = details.groupBy("batch_id").agg(F.max("execute_timestamp").alias("ran"))
-    rows = batch_rows(summary, F.concat(F.lit("model of "), "batch_id"), F.lit(None).cast("string"))
-    return rows.join(ran, "batch_id").withColumn("execute_time", F.col("ran")).drop("ran")
+    # As a timestamp the maximum has a fixed-width buffer and the aggregate stays a hash aggregate.
+    ran = F.max(F.col("execute_timestamp").cast("timestamp_ntz")).alias("ran")
+    seconds = F.length("batch_id") * F.lit(2.5)
+    summary = summarise(_details(spark, sf), by=["batch_id"], total_time=seconds, also=[ran])
+    return batch_rows(summary, F.concat(F.lit("model of "), "batch_id"), F.col("ran").cast("string"))
 
 
 def q_batch_latest(spark, sf):
@@ -306,8 +306,7 @@ def q_batch_details(spark, sf):
 
 
 def q_batch_delete(spark, sf):
-    batches = _batches(spark, sf)
-    return history.without_batch(batches, history.batch_by_id(batches, BATCH))
+    return history.without_batch(_batches(spark, sf), BATCH)
 
 
 def q_batch_list_view(spark, sf):

@@ -40,16 +40,20 @@ def batch_cases(details: DataFrame, batch_id: str) -> DataFrame:
     return details.where(F.col("batch_id") == batch_id).orderBy("case_pos")
 
 
-def with_details(batches: DataFrame, details: DataFrame) -> DataFrame:
-    """Every result row next to its batch. Batch rows are one per batch; the detail side keeps its
-    layout when they are small enough to be sent around, and AQE splits a batch that dominates a
-    shuffled join."""
-    return batches.join(details, "batch_id")
+def with_details(batches: DataFrame, details: DataFrame, salts: int = 32) -> DataFrame:
+    """Every result row next to its batch.
 
+    A batch may hold a large share of all details, so each batch row is repeated once per salt and the
+    details of a batch go to as many partitions. Batch rows are one per batch; where Spark finds them
+    small enough to broadcast, nothing is shuffled at all."""
+    repeated = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = details.withColumn("_salt", F.pmod(F.xxhash64("case_pos"), F.lit(salts)).cast("int"))
+    return repeated.join(salted, ["batch_id", "_salt"]).drop("_salt")
 
-def without_batch(rows: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Rows of either table that remain once the batches in ``doomed`` are deleted."""
-    return rows.join(doomed.select("batch_id"), "batch_id", "left_anti")
+
+def without_batch(rows: DataFrame, batch_id: str) -> DataFrame:
+    """Rows of either table that remain once a batch is deleted."""
+    return rows.where(F.col("batch_id") != batch_id)
 
 
 def list_view(batches: DataFrame, limit: int = 10) -> DataFrame:
@@ -90,17 +94,22 @@ class HistoryStore:
             columns = ", ".join(f"{name} {kind}" for name, kind in fields.items())
             spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (batch_id)")
 
-    def save_batch(self, results: DataFrame, model_name: str = "unknown", total_time: float = 0.0) -> str:
+    def save_batch(
+        self, results: DataFrame, model_name: str = "unknown", total_time: float | None = None
+    ) -> str:
         """Append one batch and return its id, or ``""`` if that failed. The results are computed once:
-        the batch row is summed up from the saved details."""
+        the batch row is summed up from the saved details. Without a ``total_time`` in seconds, the
+        time that computing and saving the details takes counts as the batch's."""
         batch_id = new_batch_id()
         stamp = time.strftime("%Y-%m-%d %H:%M:%S")
+        start = time.monotonic()
         try:
             rows = results.select("case_pos", *schemas.RESULT_COLUMNS, F.lit(batch_id).alias("batch_id"))
             rows.write.mode("append").format("parquet").partitionBy("batch_id").saveAsTable(self.detail_table)
-            saved = self.cases(batch_id)
+            if total_time is None:
+                total_time = round(time.monotonic() - start, 2)
             # Grouped over nothing, so that an empty batch has a row too.
-            summary = summarise(saved, total_time=total_time).withColumn("batch_id", F.lit(batch_id))
+            summary = self.summary(batch_id, total_time).withColumn("batch_id", F.lit(batch_id))
             row = batch_rows(summary, model_name, stamp)
             ordered = [c for c in schemas.BATCH_COLUMNS if c != "batch_id"] + ["batch_id"]
             row.select(*ordered).write.mode("append").format("parquet").partitionBy("batch_id").saveAsTable(
@@ -129,6 +138,10 @@ class HistoryStore:
     def cases(self, batch_id: str) -> DataFrame:
         return batch_cases(self.details, batch_id)
 
+    def summary(self, batch_id: str, total_time: float = 0.0) -> DataFrame:
+        """The summary record of a saved batch."""
+        return summarise(self.details.where(F.col("batch_id") == batch_id), total_time=total_time)
+
     def list_view(self, limit: int = 10) -> DataFrame:
         return list_view(self.batches, limit)
 

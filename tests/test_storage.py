@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answergauge import HistoryStore, evaluate, schemas
 from answergauge.operators.ask import ask_all, collect_answers
 from answergauge.operators.layout import spread
+from answergauge.plans.batch import run_batch
 from answergauge.rules import Rules, fill_placeholders
 from answergauge.sources import history
 from answergauge.sources.cases import read_cases, write_bucketed
@@ -228,6 +229,36 @@ def test_asking(spark):
     assert "MapInPandas" not in plan and "mapInPandas" not in plan
 
 
+def test_whole_batch(spark, tmp_path):
+    echo, judge = stand_ins()
+    cases = spark.createDataFrame(CASES, schemas.CASES)
+    store = HistoryStore(spark, "whole")
+    run = run_batch(cases, echo, judge=judge, concurrent_num=2, store=store, model_name="m", report_folder=str(tmp_path))
+    assert run.summary.first().total == 40 and run.summary.first().success == 38
+    row = store.batch(run.batch_id).first()
+    assert (row.total_cases, row.success_count, row.model_name) == (40, 38, "m") and row.total_time > 0
+    assert store.cases(run.batch_id).count() == 40 and glob.glob(f"{run.report}/part-*")
+    recorded = spark.createDataFrame([(i, 0, "some answer", "ok", 1.0) for i in range(40)], schemas.OUTCOMES)
+    assert run_batch(cases, answers=recorded).summary.first().success == 40
+    with pytest.raises(ValueError):
+        run_batch(cases)
+
+
+def test_details_of_a_hot_batch_spread_over_salts(spark):
+    batches = spark.createDataFrame([("hot", "m"), ("cold", "n")], "batch_id string, model_name string")
+    details = spark.range(3000).selectExpr("if(id % 3 < 2, 'hot', 'cold') AS batch_id", "id AS case_pos")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = history.with_details(batches, details)
+        assert joined.columns == ["batch_id", "model_name", "case_pos"]
+        assert joined.where("model_name = 'm'").count() == 2000 and joined.count() == 3000
+        spread_over = joined.where("batch_id = 'hot'").select(F.spark_partition_id()).distinct().count()
+        assert spread_over > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 # ---- Rules -----------------------------------------------------------------------
 
 
