@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ TIMEOUT_SECONDS = 30
 MAX_RETRY = 1
 
 
-def request_body(prompt: Column, model: str) -> Column:
-    """JSON body of a one-message chat request."""
+def request_body(prompt: Column, model: str | None = None) -> Column:
+    """JSON body of a one-message chat request. Without ``model``, the environment variable
+    ``LLM_MODEL`` names it."""
+    model = model or os.environ.get("LLM_MODEL", "unknown")
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
     return F.to_json(
         F.struct(

@@ -34,7 +34,7 @@ def top_char_share_above(text: Column, limit: float) -> Column:
     if limit >= 1:
         return F.lit(None).cast("double")
     k = 1
-    while k / (k + 1) < limit:
+    while k < 1000 and k / (k + 1) < limit:
         k += 1
     if k == 1:
         return top_char_share(text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from answergauge import texts
 from answergauge.operators.evaluate import with_case_defaults
-from answergauge.operators.layout import checkpointed
+from answergauge.operators.layout import materialised
 
 # prompt -> {"code": int, "data": str | None, "msg": str, "cost_ms": float}
 Ask = Callable[[str], dict]
@@ -85,4 +85,4 @@ def collect_answers(
 ) -> tuple[DataFrame, DataFrame]:
     """Ask once, keep the replies in the checkpoint folder, return answers and judgements. Run it with
     ``spark.speculation`` off, or slow calls are made twice."""
-    return split_asked(checkpointed(ask_all(cases, ask, concurrent_num, judge, template)))
+    return split_asked(materialised(ask_all(cases, ask, concurrent_num, judge, template)))

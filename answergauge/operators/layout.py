@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -18,15 +19,23 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared checkpoint folder, so that later readers and
-    tasks on replaced executors read them back instead of computing (or calling a model) again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="answergauge-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def materialised(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and read its rows back from the shared checkpoint folder, so that later readers and
+    tasks on replaced executors do not compute (or call a model) again. Kept as Parquet, of which each
+    reader loads only the columns it needs."""
+    session = df.sparkSession
+    path = f"{_checkpoint_folder(session)}/answergauge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(session: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode."""
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="answergauge-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from answergauge.operators.ask import Ask, collect_answers
 from answergauge.operators.evaluate import evaluate
-from answergauge.operators.layout import checkpointed
+from answergauge.operators.layout import materialised
 from answergauge.operators.summarise import summarise
 from answergauge.rules import Rules
 from answergauge.sources.history import HistoryStore
@@ -48,7 +48,7 @@ def run_batch(
         answers, asked_judge = collect_answers(cases, ask, concurrent_num, judge)
         judgements = asked_judge if judge is not None else judgements
     stamp = time.strftime("%Y-%m-%d %H:%M:%S")
-    results = checkpointed(evaluate(cases, answers, judgements, rules, stamp))
+    results = materialised(evaluate(cases, answers, judgements, rules, stamp))
     total_time = round(time.monotonic() - start, 2)
     batch_id = store.save_batch(results, model_name, total_time) if store is not None else ""
     report = export_csv(results, report_folder) if report_folder is not None else None
