@@ -60,7 +60,8 @@ def longest_phrase_run(text: Column, phrase_lengths: Sequence[int], more_than: i
         block = "." * size  # faster than .{n}
         pattern = rf"(?s)\G(?:{block})*?(({block})\2{{{max(more_than, 0)},}})"
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found = F.when(F.length(text) >= 2 * size, found).otherwise(literals(()))
+        if more_than < 1:  # else a run that counts has two blocks anyway
+            found = F.when(F.length(text) >= 2 * size, found).otherwise(literals(()))
         return F.transform(
             found,
             lambda run, i: F.struct(
