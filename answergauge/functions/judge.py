@@ -28,17 +28,22 @@ def judge_prompt(standard: Column, answer: Column, template: str = texts.JUDGE_T
     return fill_template(template, {"standard_answer": standard, "answer_content": answer})
 
 
-def judge_verdict(reply: Column) -> Column:
-    """``struct<level, reason>`` of an acceptable reply, else NULL: a JSON object whose ``level`` is the
-    number 0, 1, 2 or 3 (``true`` counts as 1, text does not)."""
+def parse_reply(reply: Column) -> Column:
+    """The judge's reply as a variant; NULL unless the whole of it is one JSON object. Project it before
+    ``judge_verdict`` looks at its parts, so that it is parsed once."""
     # The parser takes trailing text after an object, hence the test of the whole shape.
-    parsed = F.try_parse_json(F.when(reply.rlike(r"(?s)^\s*\{.*\}\s*$"), reply))
+    return F.try_parse_json(F.when(reply.rlike(r"(?s)^\s*\{.*\}\s*$"), reply))
+
+
+def judge_verdict(parsed: Column) -> Column:
+    """``struct<level, reason>`` of an acceptable reply, else NULL: its ``level`` must be the number 0, 1, 2
+    or 3 (``true`` counts as 1, text does not)."""
     kind = F.schema_of_variant(F.try_variant_get(parsed, "$.level", "variant"))
-    number = F.try_variant_get(parsed, "$.level", "double")
-    level = F.lit(None).cast("string")
-    for value, name in texts.JUDGE_LEVELS.items():
-        level = F.when(number == float(value), name).otherwise(level)
-    level = F.when(kind.rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL.*)$"), level)
+    number = F.when(
+        kind.rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(parsed, "$.level", "double")
+    )
+    levels = F.create_map(*[F.lit(x) for pair in texts.JUDGE_LEVELS.items() for x in (float(pair[0]), pair[1])])
+    level = F.try_element_at(levels, number)
     reason = F.when(
         F.try_variant_get(parsed, "$.reason", "variant").isNull(), texts.JUDGE_DEFAULT_TEXT
     ).otherwise(F.try_variant_get(parsed, "$.reason", "string"))

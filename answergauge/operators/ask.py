@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,7 +83,16 @@ def collect_answers(
     concurrent_num: int = 1,
     judge: Ask | None = None,
     template: str = texts.JUDGE_TEMPLATE,
+    waves: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ask once, keep the replies in the checkpoint folder, return answers and judgements. Run it with
-    ``spark.speculation`` off, or slow calls are made twice."""
-    return split_asked(materialised(ask_all(cases, ask, concurrent_num, judge, template)))
+    """Ask once, keep the replies in the checkpoint folder, return answers and judgements.
+
+    A task that is lost asks its share of the cases again. With more ``waves`` the cases are asked and saved in
+    that many portions, so that less is lost. Run it with ``spark.speculation`` off, or slow calls are
+    made twice."""
+    wave_of = F.pmod(F.xxhash64("case_pos"), F.lit(waves))
+    saved = [
+        materialised(ask_all(cases.where(wave_of == wave), ask, concurrent_num, judge, template))
+        for wave in range(waves)
+    ]
+    return split_asked(reduce(DataFrame.unionByName, saved))

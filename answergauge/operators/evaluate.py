@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from answergauge import schemas, texts
 from answergauge.functions import scoring, validity
-from answergauge.functions.judge import judge_prompt, judge_verdict
+from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
 from answergauge.functions.text import is_blank, strip, tokens
 from answergauge.rules import Rules
 
@@ -118,7 +118,8 @@ def judge_prompts(cases: DataFrame, answers: DataFrame, template: str = texts.JU
 def _override(df: DataFrame, gradable: Column) -> DataFrame:
     """Let an acceptable judgement replace level and message; the total stays as it is."""
     asked = gradable & (F.col("_judge_code") == 0) & ~is_blank(F.col("standard_answer"))
-    df = df.withColumn("_verdict", F.when(asked, judge_verdict(F.col("_judge_data"))))
+    df = df.withColumn("_reply", parse_reply(F.when(asked, F.col("_judge_data"))))
+    df = df.withColumn("_verdict", judge_verdict(F.col("_reply")))
     verdict = F.col("_verdict")
     return df.withColumns(
         {

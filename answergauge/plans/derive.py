@@ -155,7 +155,7 @@ def attempts(events: DataFrame) -> DataFrame:
         F.lit('{"choices":[{"message":{"content":"user '), "user_id", F.lit('"}}]}')
     )).otherwise(F.col("props"))
     return events.select(
-        F.floor(F.col("event_id") / 3).alias("request_id"),
+        F.expr("event_id div 3").alias("request_id"),
         (F.col("event_id") % 3).cast("int").alias("attempt_no"),
         F.when(kind == "error", "timeout").when(kind == "view", "connect").when(kind == "signup", "other")
         .alias("error_kind"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from answergauge import schemas
 from answergauge.functions import calls
-from answergauge.functions.judge import fill_template, judge_prompt, judge_verdict
+from answergauge.functions.judge import fill_template, judge_prompt, judge_verdict, parse_reply
 from answergauge.operators.attempts import call_outcomes, final_attempts
 
 
@@ -111,7 +111,7 @@ def test_hot_request_is_combined_before_the_shuffle(spark):
     ],
 )
 def test_judge_replies(spark, reply, want):
-    got = one(spark, reply, judge_verdict)
+    got = one(spark, reply, lambda c: judge_verdict(parse_reply(c)))
     assert (got and (got.level, got.reason)) == want
 
 

@@ -215,7 +215,7 @@ def test_asking(spark):
     echo, judge = stand_ins()
     asked = ask_all(cases, echo, concurrent_num=3, judge=judge)
     assert asked.rdd.getNumPartitions() == 3
-    answers, judgements = collect_answers(cases, echo, 3, judge)
+    answers, judgements = collect_answers(cases, echo, 3, judge, waves=4)
     assert answers.columns == ["case_pos", "code", "data", "msg", "cost_ms"]
     assert answers.count() == 41  # no call without a prompt
     rows = {r.case_pos: r for r in evaluate(cases, answers, judgements).collect()}
