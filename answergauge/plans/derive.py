@@ -33,6 +33,16 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
 
 
+# Lower-case letters and the Han characters that stand in for them, chosen so that stop words occur.
+LATIN_LETTERS = "abcdefghijklmnopqrst"
+HAN_LETTERS = "大因以为的可能们这所由也系个一种过是在我"
+
+
+def han_texts(docs: DataFrame) -> DataFrame:
+    """The documents with most letters replaced by Han characters."""
+    return docs.select("doc_id", F.translate("text", LATIN_LETTERS, HAN_LETTERS).alias("text"))
+
+
 def _without_words_with(text: Column, letters: str) -> Column:
     return F.regexp_replace(text, rf"(?<![^ \n])[^ \n{letters}]*+[{letters}][^ \n]*+", "")
 

@@ -5,8 +5,9 @@ Each statement is put together from common table expressions, so that a definiti
 from __future__ import annotations
 
 from answergauge import texts
-from answergauge.functions.text import WHITESPACE, WS
+from answergauge.functions.text import HAN, HAN_BREAK, WHITESPACE, WS
 from answergauge.plans import derive, workloads
+from answergauge.rules import STOP_WORDS
 
 RULES = derive.DOC_RULES
 
@@ -518,12 +519,27 @@ def _placeholders() -> str:
     )
 
 
+def _han_tokens() -> str:
+    pairs = (
+        "list_filter(list_transform(list_zip(c[1:len(c) - 1], c[2:]), lambda z: concat(z[1], z[2])),"
+        f" lambda p: regexp_matches(p, '^[{HAN}]{{2}}$') AND NOT list_contains({list_of(STOP_WORDS)}, p))"
+    )
+    rest = toks(f"regexp_replace(h, '{HAN_BREAK}', ' ', 'g')")
+    words = f"CASE WHEN regexp_matches(h, '[{HAN}]') THEN list_distinct(list_concat({pairs}, {rest})) ELSE {toks('h')} END"
+    return f"""WITH han AS (
+  SELECT doc_id, translate(text, '{derive.LATIN_LETTERS}', '{derive.HAN_LETTERS}') AS h FROM documents),
+split AS (SELECT doc_id, h, regexp_extract_all(h, '(?s).') AS c FROM han),
+words AS (SELECT doc_id, {words} AS t FROM split)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens FROM words"""
+
+
 def all_sql() -> dict[str, str]:
     batch = lit(workloads.BATCH)
     doc_stripped = f"stripped AS (SELECT doc_id AS key, text AS content, {strip('text')} AS s FROM documents)"
     return {
         "tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens"
         f" FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
+        "han_tokens": _han_tokens(),
         "validity_blank_len": f"""SELECT doc_id, CAST(length(s) AS INTEGER) AS stripped_chars,
   CASE WHEN s = '' THEN {lit(code_text(texts.EMPTY_ANSWER))}
     WHEN length(s) < 50 THEN concat('{code_text(texts.SHORT_ANSWER)}，仅', length(s), '字,低于阈值:50字')
