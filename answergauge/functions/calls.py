@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
+from answergauge.functions.text import fill_template
 
 ANSWER_PATH = "$.choices[0].message.content"
 
@@ -55,8 +56,8 @@ def parse_body(body: Column) -> Column:
         .when(absent("$.choices[0].message"), "'message'")
         .otherwise("'content'")
     )
-    not_json = F.lit(f"{texts.CODE_TEXTS[texts.BODY_NOT_JSON]}，预期为JSON格式")
-    no_answer = F.concat(F.lit(f"{texts.CODE_TEXTS[texts.NO_ANSWER_IN_BODY]}："), step)
+    not_json = F.lit(texts.BODY_NOT_JSON_TEXT)
+    no_answer = fill_template(texts.NO_ANSWER_IN_BODY_TEXT, {"detail": step})
     return (
         F.when(parsed.isNull(), _outcome(texts.BODY_NOT_JSON, body, not_json))
         .when(answer.isNull(), _outcome(texts.NO_ANSWER_IN_BODY, body, no_answer))
@@ -84,23 +85,21 @@ def call_outcome(
 ) -> Column:
     """``struct<code, data, msg>`` of one call, failed or not."""
 
-    def text(code: int) -> str:
-        return texts.CODE_TEXTS[code]
-
-    detail = F.coalesce(error_text, F.lit(""))
-    timed_out = F.lit(f"{text(texts.TIMEOUT)}，超时限制{timeout_seconds}秒")
-    unreachable = F.lit(f"{text(texts.CONNECT_ERROR)}，无法访问接口地址")
+    detail = {"detail": F.coalesce(error_text, F.lit(""))}
+    timed_out = fill_template(texts.TIMEOUT_TEXT, {"seconds": timeout_seconds})
     nothing = F.lit(None)
     return (
         F.when(error_kind == "timeout", _outcome(texts.TIMEOUT, nothing, timed_out))
-        .when(error_kind == "connect", _outcome(texts.CONNECT_ERROR, nothing, unreachable))
+        .when(
+            error_kind == "connect", _outcome(texts.CONNECT_ERROR, nothing, F.lit(texts.CONNECT_ERROR_TEXT))
+        )
         .when(
             http_status >= 400,
-            _outcome(texts.HTTP_ERROR, body, F.concat(F.lit(f"{text(texts.HTTP_ERROR)}："), detail)),
+            _outcome(texts.HTTP_ERROR, body, fill_template(texts.HTTP_ERROR_TEXT, detail)),
         )
         .when(
             error_kind.isNotNull(),
-            _outcome(texts.OTHER_ERROR, nothing, F.concat(F.lit(f"{text(texts.OTHER_ERROR)}："), detail)),
+            _outcome(texts.OTHER_ERROR, nothing, fill_template(texts.OTHER_ERROR_TEXT, detail)),
         )
         .otherwise(parse_body(body))
     )

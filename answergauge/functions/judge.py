@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from string import Formatter
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
-
-
-def fill_template(template: str, slots: dict[str, Column]) -> Column:
-    """A ``{slot}`` template as one concatenation. The template is cut on the driver, so slot names
-    inside the filled-in texts stay as they are."""
-    pieces = []
-    for literal, slot, _, _ in Formatter().parse(template):
-        if literal:
-            pieces.append(F.lit(literal))
-        if slot is not None:
-            if slot not in slots:
-                raise ValueError(f"template slot {slot!r} is not one of {sorted(slots)}")
-            pieces.append(F.coalesce(slots[slot], F.lit("None")))
-    return F.concat(*pieces) if pieces else F.lit("")
+from answergauge.functions.text import fill_template
 
 
 def judge_prompt(standard: Column, answer: Column, template: str = texts.JUDGE_TEMPLATE) -> Column:
+    answer = F.coalesce(answer, F.lit("None"))  # the model call failed without any data
     return fill_template(template, {"standard_answer": standard, "answer_content": answer})
 
 

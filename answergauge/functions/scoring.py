@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
-from answergauge.functions.text import is_blank, literals, percent1, round2, tokens
+from answergauge.functions.text import fill_template, is_blank, literals, percent1, round2, tokens
 from answergauge.rules import Rules
 
 
@@ -80,21 +80,17 @@ def risk_level(content: Column, standard: Column, n_extra: Column, ratio: Column
 def risk_msg(content: Column, level: Column, extra: Column, n_extra: Column, ratio: Column) -> Column:
     """Explanation of the level with a few of the unsupported words, in sorted order."""
 
-    def sample(k: int) -> Column:
-        return F.array_join(F.slice(F.sort_array(extra), 1, k), ",")
-
-    def told(opening: str, closing: str, k: int) -> Column:
-        return F.concat(
-            F.lit(opening), n_extra, F.lit("个（占比"), percent1(ratio), F.lit(closing), sample(k)
-        )
+    def told(template: str, sample_size: int) -> Column:
+        sample = F.array_join(F.slice(F.sort_array(extra), 1, sample_size), ",")
+        return fill_template(template, {"count": n_extra, "ratio": percent1(ratio), "sample": sample})
 
     return (
         F.when(is_blank(content), texts.BLANK_RISK_TEXT)
         .when(level == texts.LEVEL_UNKNOWN, texts.CODE_TEXTS[texts.NO_STANDARD])
         .when(level == texts.LEVEL_NONE, texts.NO_RISK_TEXT)
-        .when(level == texts.LEVEL_LOW, told("疑似新增事实点", "）：", 3))
-        .when(level == texts.LEVEL_MEDIUM, told("存在较多未核实内容，共", "）：", 5))
-        .otherwise(told("存在大量未核实内容，共", "），高幻觉风险：", 5))
+        .when(level == texts.LEVEL_LOW, told(texts.LOW_RISK_TEXT, texts.LOW_SAMPLE))
+        .when(level == texts.LEVEL_MEDIUM, told(texts.MEDIUM_RISK_TEXT, texts.HIGHER_SAMPLE))
+        .otherwise(told(texts.HIGH_RISK_TEXT, texts.HIGHER_SAMPLE))
     )
 
 

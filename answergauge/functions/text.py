@@ -7,6 +7,8 @@ import operator
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from string import Formatter
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,6 +130,21 @@ def literals(words: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(list(words))), "array<string>")
 
 
+def fill_template(template: str, slots: Mapping[str, Any]) -> Column:
+    """A ``{slot}`` template as one concatenation of columns and constants. The template is cut on the
+    driver, so slot names inside the filled-in texts stay as they are."""
+    pieces = []
+    for literal, slot, _, _ in Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if slot is not None:
+            if slot not in slots:
+                raise ValueError(f"template slot {slot!r} is not one of {sorted(slots)}")
+            value = slots[slot]
+            pieces.append(value.cast("string") if isinstance(value, Column) else F.lit(str(value)))
+    return F.concat(*pieces) if pieces else F.lit("")
+
+
 def fill_placeholders(text: Column, env: Mapping[str, str]) -> Column:
     """Replace ``${NAME}`` by its value in ``env``; unknown names stay. The text is cut into pieces
     first, so a value that looks like a placeholder is not expanded again."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
-from answergauge.functions.text import fixed2, literals
+from answergauge.functions.text import fill_template, fixed2, literals
 from answergauge.rules import Rules
 
 
@@ -88,25 +88,22 @@ def validity_parts(stripped: Column, rules: Rules) -> dict[str, Column]:
 def validity_msg(stripped: Column, share: Column, run: Column, rules: Rules) -> Column:
     """Text of the first failed test, or the pass text: blank, too short, one character too often,
     one phrase too often in a row."""
-    empty, short, repeated = (
-        texts.CODE_TEXTS[c] for c in (texts.EMPTY_ANSWER, texts.SHORT_ANSWER, texts.REPETITIVE_ANSWER)
-    )
     text = F.coalesce(stripped, F.lit(""))
     return (
-        F.when(text == "", empty)
+        F.when(text == "", texts.CODE_TEXTS[texts.EMPTY_ANSWER])
         .when(
             F.length(text) < rules.min_length,
-            F.concat(F.lit(f"{short}，仅"), F.length(text), F.lit(f"字,低于阈值:{rules.min_length}字")),
+            fill_template(texts.SHORT_TEXT, {"length": F.length(text), "limit": rules.min_length}),
         )
         .when(
             share > F.lit(float(rules.max_repeat_rate)),
-            F.concat(F.lit(f"{repeated}："), fixed2(share), F.lit(f"，高于阈值：{rules.max_repeat_rate}")),
+            fill_template(texts.CHAR_REPEAT_TEXT, {"rate": fixed2(share), "limit": rules.max_repeat_rate}),
         )
         .when(
             run.isNotNull(),
-            F.concat(
-                F.lit(f"{repeated}：短语「"), run["phrase"], F.lit("」连续重复"), run["times"],
-                F.lit(f"次，超过阈值：{rules.max_continuous_repeat}次"),
+            fill_template(
+                texts.PHRASE_REPEAT_TEXT,
+                {"phrase": run["phrase"], "times": run["times"], "limit": rules.max_continuous_repeat},
             ),
         )
         .otherwise(texts.VALID_TEXT)
@@ -124,7 +121,7 @@ def compliance_msg(banned: Column, rules: Rules) -> Column:
     """The banned words found, or a pass text. ``banned`` is projected beforehand."""
     if not rules.sensitive_words:
         return F.lit(texts.COMPLIANCE_SKIPPED_TEXT)
-    found = F.concat(F.lit(f"{texts.CODE_TEXTS[texts.BANNED_WORD]}："), F.array_join(banned, ","))
+    found = fill_template(texts.BANNED_TEXT, {"words": F.array_join(banned, ",")})
     return F.when(F.size(banned) > 0, found).otherwise(texts.COMPLIANT_TEXT)
 
 

@@ -39,7 +39,7 @@ def ask_all(
     its own case. Lazy: Spark may run it more than once, so use ``collect_answers`` unless ``ask``
     is a pure function."""
     # Plain values only: the closure travels to workers that need not have this package.
-    columns, fault_prefix = list(ASKED), texts.FAULT_PREFIX
+    columns, fault_text = list(ASKED), texts.FAULT_TEXT
 
     def ask_case(case) -> tuple:
         if case.prompt is None:
@@ -53,7 +53,7 @@ def ask_all(
                     )
                 )
         except Exception as e:
-            return case.case_pos, FAULT_CODE, None, f"{fault_prefix}{e}", 0.0, None, None
+            return case.case_pos, FAULT_CODE, None, fault_text.format(fault=e), 0.0, None, None
         reply_part = (reply["code"], reply.get("data"), reply.get("msg"), reply.get("cost_ms"))
         return case.case_pos, *reply_part, verdict.get("code"), verdict.get("data")
 

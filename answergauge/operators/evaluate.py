@@ -13,11 +13,6 @@ from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
 from answergauge.functions.text import is_blank, strip, tokens
 from answergauge.rules import Rules
 
-# What grading a NULL answer reports, with and without a list of banned words.
-NULL_ANSWER_WITH_WORDS = "argument of type 'NoneType' is not iterable"
-NULL_ANSWER_WITHOUT_WORDS = "'NoneType' object has no attribute 'strip'"
-MISSING_PROMPT = "'prompt'"
-
 # Columns that each grading step adds, for callers who want only some of them.
 VALIDITY_COLUMNS = ["is_valid", "is_compliant", "validity_msg", "compliance_msg"]
 SCORE_COLUMNS = [
@@ -184,10 +179,10 @@ def _result_columns(rules: Rules, gradable: Column, execute_timestamp: str | Col
         if execute_timestamp is None
         else execute_timestamp if isinstance(execute_timestamp, Column) else F.lit(execute_timestamp)
     )
-    null_text = NULL_ANSWER_WITH_WORDS if rules.sensitive_words else NULL_ANSWER_WITHOUT_WORDS
+    null_fault = texts.NULL_ANSWER_FAULT if rules.sensitive_words else texts.NULL_ANSWER_FAULT_NO_WORDS
     error = (
-        F.when(~asked, texts.FAULT_PREFIX + MISSING_PROMPT)
-        .when(ok & ~gradable, texts.FAULT_PREFIX + null_text)
+        F.when(~asked, texts.FAULT_TEXT.format(fault=texts.MISSING_PROMPT_FAULT))
+        .when(ok & ~gradable, texts.FAULT_TEXT.format(fault=null_fault))
         .when(ok, "")
         .when(F.col("_code").isNull(), texts.NO_OUTCOME_TEXT)
         .otherwise(F.col("_msg"))

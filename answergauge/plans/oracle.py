@@ -310,21 +310,17 @@ given AS (SELECT key, content FROM gradable)"""
 
 
 def _doc_results(select: str) -> str:
-    from answergauge.operators.evaluate import NULL_ANSWER_WITH_WORDS
-
     return _with(
         DOC_CASES, DOC_ANSWERS, _called("doc_cases", "doc_answers"), VALIDITY, _scores(RULES.whitelist),
         RESULT_SELECT.format(
             keep="c.batch_id,", stamp=derive.STAMP, answers="doc_answers",
-            null_text=NULL_ANSWER_WITH_WORDS.replace("'", "''"), no_outcome=texts.NO_OUTCOME_TEXT,
+            null_text=texts.NULL_ANSWER_FAULT.replace("'", "''"), no_outcome=texts.NO_OUTCOME_TEXT,
         ),
         select=select,
     )
 
 
 def _chat_results() -> str:
-    from answergauge.operators.evaluate import NULL_ANSWER_WITHOUT_WORDS
-
     # The chat cases run with default rules: no banned words, no whitelist.
     unbanned = VALIDITY.replace(
         f"ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg", f"ELSE {lit(texts.COMPLIANCE_SKIPPED_TEXT)} END AS compliance_msg"
@@ -335,7 +331,7 @@ def _chat_results() -> str:
         CHAT_CASES, CHAT_ANSWERS, _called("chat_cases", "chat_answers"), unbanned, _scores(()),
         RESULT_SELECT.format(
             keep="", stamp=derive.STAMP, answers="chat_answers",
-            null_text=NULL_ANSWER_WITHOUT_WORDS.replace("'", "''"), no_outcome=texts.NO_OUTCOME_TEXT,
+            null_text=texts.NULL_ANSWER_FAULT_NO_WORDS.replace("'", "''"), no_outcome=texts.NO_OUTCOME_TEXT,
         ),
         select="SELECT * FROM results",
     )

@@ -33,14 +33,35 @@ BANNED_WORD = 3004
 NO_ANSWER_IN_BODY = 4001
 NO_STANDARD = 4002
 
-# ---- Fixed values: verdict texts ------------------------------------------------
+# ---- Fixed values: verdict texts, with slots for what was found -------------------
 VALID_TEXT = "有效性校验通过"
+SHORT_TEXT = "回答长度不足，仅{length}字,低于阈值:{limit}字"
+CHAR_REPEAT_TEXT = "回答重复率过高：{rate}，高于阈值：{limit}"
+PHRASE_REPEAT_TEXT = "回答重复率过高：短语「{phrase}」连续重复{times}次，超过阈值：{limit}次"
 COMPLIANT_TEXT = "合规性校验通过"
 COMPLIANCE_SKIPPED_TEXT = "未配置敏感词库，跳过合规性校验"
-NO_RISK_TEXT = "未检测到疑似幻觉内容"
+BANNED_TEXT = "检测到敏感词：{words}"
 BLANK_RISK_TEXT = "回答内容为空，无幻觉风险"
+NO_RISK_TEXT = "未检测到疑似幻觉内容"
+LOW_RISK_TEXT = "疑似新增事实点{count}个（占比{ratio}）：{sample}"
+MEDIUM_RISK_TEXT = "存在较多未核实内容，共{count}个（占比{ratio}）：{sample}"
+HIGH_RISK_TEXT = "存在大量未核实内容，共{count}个（占比{ratio}），高幻觉风险：{sample}"
+LOW_SAMPLE = 3
+HIGHER_SAMPLE = 5
 JUDGE_DEFAULT_TEXT = "LLM评判完成"
-FAULT_PREFIX = "执行异常："
+
+# ---- Fixed values: what failed calls and faults report ----------------------------
+TIMEOUT_TEXT = "请求超时，超时限制{seconds}秒"
+CONNECT_ERROR_TEXT = "网络连接失败，无法访问接口地址"
+HTTP_ERROR_TEXT = "接口返回HTTP错误状态码：{detail}"
+OTHER_ERROR_TEXT = "未知网络异常：{detail}"
+BODY_NOT_JSON_TEXT = "响应内容解析失败，预期为JSON格式"
+NO_ANSWER_IN_BODY_TEXT = "模型回答提取失败：{detail}"
+FAULT_TEXT = "执行异常：{fault}"
+MISSING_PROMPT_FAULT = "'prompt'"
+# A NULL answer, with and without a list of banned words.
+NULL_ANSWER_FAULT = "argument of type 'NoneType' is not iterable"
+NULL_ANSWER_FAULT_NO_WORDS = "'NoneType' object has no attribute 'strip'"
 
 # ---- Fixed values: risk levels and the score each one is worth -------------------
 LEVEL_NONE = "无"

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from answergauge import schemas
 from answergauge.functions import calls
-from answergauge.functions.judge import fill_template, judge_prompt, judge_verdict, parse_reply
+from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
+from answergauge.functions.text import fill_template
 from answergauge.operators.attempts import call_outcomes, final_attempts
 
 
@@ -120,6 +121,7 @@ def test_judge_prompt_fills_each_slot_once(spark):
     assert prompt == (
         "【参考原文】\n{answer_content}\n\n【待检测回答】\nsay {standard_answer} {x}\n\n请输出校验结果JSON。\n"
     )
-    assert one(spark, None, lambda c: fill_template("{{{a}}}", {"a": c})) == "{None}"
+    assert one(spark, "x", lambda c: fill_template("{{{a}}}{b}", {"a": c, "b": 0.7})) == "{x}0.7"
+    assert "\nNone\n" in one(spark, None, lambda c: judge_prompt(F.lit("s"), c))
     with pytest.raises(ValueError):
         fill_template("{nobody}", {"a": F.lit("x")})
