@@ -1,4 +1,5 @@
-"""The same queries as plain SQL over the given tables, written from the definitions alone.
+"""The same queries as plain SQL over the given tables. Only fixed texts, character classes and the
+parameters of the queries are shared with the Spark side; all logic is written again.
 
 Each statement is put together from common table expressions, so that a definition stands once."""
 
