@@ -6,13 +6,15 @@ import pytest
 
 import __spark_entry__
 import compare
+from answergauge.plans import oracle, workloads
 
 FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+# The queries of the subpackage ``llm`` have tests of their own.
+QUERIES = workloads.all_queries()
+SQL = oracle.all_sql()
 
 
 @pytest.fixture(scope="module")
