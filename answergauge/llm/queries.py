@@ -18,7 +18,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.BASE_KINDS}
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = {f"n_{k}": F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long") for k in pii.BASE_KINDS}
     return found.select(
         "doc_id",
         *[c.alias(name) for name, c in counts.items()],
