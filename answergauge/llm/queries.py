@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import mixing, pii
-from answergauge.llm.common import table
+from answergauge.llm import language_id, line_quality, mixing, packing, pii, topk
+from answergauge.llm.common import id_remainder, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,101 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.plan(tickets)
 
 
+def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        F.expr("octet_length(ids) div 4").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "tier",
+        "step_id",
+    )
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+OP3_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.measures(table(spark, sf_dir, "documents"))
+
+
+# The rules of line_quality.py in the terms of DuckDB. Windows are told apart by their text.
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), parts AS (
+  SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), windows AS (
+  SELECT k, i, array_to_string(words[i:i + 7], ' ') AS win
+  FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM parts)
+), twice AS (
+  SELECT k, win FROM windows GROUP BY k, win HAVING count(*) > 1
+), covered AS (
+  SELECT k, count(DISTINCT i + o) AS n FROM windows JOIN twice USING (k, win), range(8) r(o) GROUP BY k
+), lined AS (
+  SELECT *, list_filter(lines, lambda l: NOT (
+      {boilerplate}
+      OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 2 > len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
+      OR (NOT regexp_matches(l, '{ending}') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) < {unended})
+      OR regexp_matches(l, '{navigation}') OR regexp_matches(l, '{shouting}'))) AS good
+  FROM parts
+), figures AS (
+  SELECT k, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) - len(good) AS BIGINT) AS n_failed_lines,
+    length(coalesce(array_to_string(lines, ''), '')) AS chars, length(coalesce(array_to_string(good, ''), '')) AS kept_chars
+  FROM lined LEFT JOIN covered USING (k)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (chars - kept_chars) <= 50 * chars AS kept
+FROM figures
+""".format(
+    boilerplate=" OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE),
+    ending=line_quality.ENDING.replace("'", "''"),
+    navigation=line_quality.NAVIGATION,
+    shouting=line_quality.SHOUTING,
+    unended=line_quality.UNENDED_WORDS,
+)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 3) == 1
+    model = language_id.train(docs.where(~held_out))
+    return model.predict(docs).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -33,4 +128,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL}
