@@ -24,11 +24,16 @@ def materialised(df: DataFrame) -> DataFrame:
     tasks on replaced executors do not compute (or call a model) again. Kept as Parquet, of which each
     reader loads only the columns it needs."""
     session = df.sparkSession
-    path = f"{_checkpoint_folder(session)}/answergauge-{uuid.uuid4().hex}"
+    path = shared_path(session)
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
 
+def shared_path(session: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_checkpoint_folder(session)}/answergauge-{uuid.uuid4().hex}"
+
+
 def _checkpoint_folder(session: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one in local mode."""
     context = session.sparkContext
