@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import language_id, line_quality, mixing, packing, pii, topk
+from answergauge.llm import capture_index, language_id, line_quality, mixing, packing, pii, topk
 from answergauge.llm.common import id_remainder, table
 
 
@@ -111,6 +111,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = capture_index.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), firsts AS (
+  SELECT *, min(CASE WHEN payload_bytes >= 100 THEN page_id END) OVER (PARTITION BY html) AS first FROM sized
+)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -128,4 +146,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL, "op9_capture_index": OP9_SQL}
