@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import capture_index, language_id, line_quality, mixing, packing, pii, topk
+from answergauge.llm import capture_index, language_id, lattice_lm, line_quality, mixing, packing, pii, topk, weighted_minhash
 from answergauge.llm.common import id_remainder, table
 
 
@@ -55,6 +55,17 @@ SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
 """
 
 
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = id_remainder("doc_id", 7) == 2
+    return lattice_lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.measures(table(spark, sf_dir, "documents"))
 
@@ -79,7 +90,10 @@ WITH docs AS (
       {boilerplate}
       OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 2 > len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
       OR (NOT regexp_matches(l, '{ending}') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) < {unended})
-      OR regexp_matches(l, '{navigation}') OR regexp_matches(l, '{shouting}'))) AS good
+      OR (len(regexp_extract_all(l, '{separators}')) >= {least_separators}
+        AND len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) <= {per_separator} * len(regexp_extract_all(l, '{separators}')))
+      OR (len(regexp_extract_all(l, '{shouts}')) >= {least_shouts}
+        AND len(regexp_extract_all(l, '{shouts}')) * 2 > len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'))))) AS good
   FROM parts
 ), figures AS (
   SELECT k, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
@@ -96,8 +110,11 @@ FROM figures
 """.format(
     boilerplate=" OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE),
     ending=line_quality.ENDING.replace("'", "''"),
-    navigation=line_quality.NAVIGATION,
-    shouting=line_quality.SHOUTING,
+    separators=line_quality.SEPARATORS,
+    least_separators=line_quality.LEAST_SEPARATORS,
+    per_separator=line_quality.WORDS_PER_SEPARATOR,
+    shouts=line_quality.SHOUTS,
+    least_shouts=line_quality.LEAST_SHOUTS,
     unended=line_quality.UNENDED_WORDS,
 )
 
