@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from answergauge.llm.common import in_slices
+from answergauge.llm.common import in_slices, schema_of
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -133,26 +134,25 @@ class LanguageModel:
         at = int(p.argmax())
         return self.languages[at], float(p[at] / p.sum())
 
-    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Per row: the id, ``lang_pred`` and ``score``, the calibrated probability of that language."""
-        spark = docs.sparkSession
-        held = spark.sparkContext.broadcast(self)  # at most BUCKETS * MOST_CLASSES weights
-        chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    def annotate(
+        self, docs: DataFrame, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score"
+    ) -> DataFrame:
+        """All columns, and at the end the language and its calibrated probability."""
+        held = docs.sparkSession.sparkContext.broadcast(self)  # at most BUCKETS * MOST_CLASSES weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in in_slices(batches, "text", SLICE_BYTES):
-                found = [held.value.predict_text(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        pa.array([f[0] for f in found], pa.string()),
-                        pa.array([f[1] for f in found], pa.float64()),
-                    ],
-                    names=["id", "lang_pred", "score"],
+            for part in in_slices(batches, text_col, SLICE_BYTES):
+                found = [held.value.predict_text(t) for t in part.column(text_col).to_pylist()]
+                yield part.append_column(pred_col, pa.array([f[0] for f in found], pa.string())).append_column(
+                    score_col, pa.array([f[1] for f in found], pa.float64())
                 )
 
-        kind = docs.schema[id_col].dataType.simpleString()
-        return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+        return docs.mapInArrow(run, schema_of(docs, **{pred_col: StringType(), score_col: DoubleType()}))
+
+    def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Per row: the id, ``lang_pred`` and ``score``, the calibrated probability of that language."""
+        chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        return self.annotate(chosen).select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import capture_index, language_id, lattice_lm, line_quality, mixing, packing, pii, topk, weighted_minhash
+from answergauge.llm import capture_index, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
 from answergauge.llm.common import id_remainder, table
 
 
@@ -16,10 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.plan(tickets)
 
 
-def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
         "doc_id",
         "start",
@@ -33,6 +33,10 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -62,6 +66,11 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -159,7 +168,10 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
+
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five words, weighted by their number in the text times an inverse document frequency between 1 and 2.
+Shingles are five words, weighted by their number in the text times an inverse document frequency between 1 and
+1 + ``IDF_SPAN``, narrow enough for groups of many copies, whose common shingles are frequent, to stay together.
 Document frequencies are counted over all documents, in a fixed number of hashed buckets. Each text draws
 ``BANDS * ROWS`` weighted samples; texts that agree on a whole band become candidates, and candidates
 are verified by the weighted Jaccard similarity of their full shingle vectors.
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergauge.llm.common import WORD, in_slices, materialised
+from answergauge.llm.hashing import ODD, Ranges, mix
 
 SHINGLE = 5
 BANDS, ROWS = 18, 4
 SIMILARITY = 0.8
+IDF_SPAN = 0.5
 ROUNDS = 3
 BUCKET_BITS = 18
 DRAW_BITS = 14
@@ -37,33 +40,10 @@ FILTER_BITS = 20
 SLICE_BYTES = 2 << 20
 
 _U = np.uint64
-_ODD = _U(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads 64-bit values (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of the word hash and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, _U(base), np.uint64)
-            steps[0] = _U(1)
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, text after text and sorted within each, and the bounds of the texts."""
     held = [t or b"" for t in texts]
@@ -71,10 +51,7 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACES[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _power_tables(len(data))
-    sums = np.cumsum((data.astype(np.uint64) + _U(1)) * up)
-    before = np.where(starts > 0, sums[starts - 1], _U(0))
-    words = mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    words = Ranges(data)(starts, ends)
     text_ends = np.cumsum([len(t) + 1 for t in held])
     last = np.searchsorted(starts, text_ends)
     first = np.concatenate([[0], last[:-1]])
@@ -144,9 +121,9 @@ def band_keys(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np
         a = c[k][i] / np.exp(r[k][i] * (t - beta[k][i]) + r[k][i])
         order = np.lexsort((hashes[near], a, text))
         chosen = order[np.searchsorted(text[order], np.arange(n))]
-        sample = mix(hashes[near[chosen]] + t[chosen].astype(np.int64).astype(np.uint64) * _ODD)
+        sample = mix(hashes[near[chosen]] + t[chosen].astype(np.int64).astype(np.uint64) * ODD)
         b = k // ROWS
-        keys[:, b] = mix(keys[:, b] * _ODD + sample + _U(b + 1))
+        keys[:, b] = mix(keys[:, b] * ODD + sample + _U(b + 1))
     return keys.view(np.int64)
 
 
@@ -175,7 +152,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def inverse_document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Per bucket, 1 + ln((N + 1) / (df + 1)) / ln(N + 1), over all texts. Each task sends one vector."""
+    """Per bucket, 1 + IDF_SPAN * ln((N + 1) / (df + 1)) / ln(N + 2), over all texts. Each task sends one vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(1 << BUCKET_BITS, np.int64), 0
@@ -199,7 +176,7 @@ def inverse_document_frequencies(texts: DataFrame) -> np.ndarray:
     out, total = np.zeros((64, (1 << BUCKET_BITS) // 64)), 0
     for piece, place, n, total in sums.collect():  # one row a bucket
         out[piece, place] = n
-    return 1 + np.log((total + 1) / (out.ravel() + 1)) / np.log(total + 2)
+    return 1 + IDF_SPAN * np.log((total + 1) / (out.ravel() + 1)) / np.log(total + 2)
 
 
 def _signatures(texts: DataFrame, idf) -> DataFrame:
@@ -289,14 +266,13 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialised(labels.join(final, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
 
 
-def classes(
+def node_classes(
     docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per row: the id, ``copy_of`` (the smallest id with an equal text) and ``class_id`` (the smallest id of
-    the near-duplicates it belongs to)."""
-    spark = docs.sparkSession
+    """One row per distinct text with a word: node, copy_of (the smallest id with that text), label (names the
+    class of near-duplicates)."""
     texts = _texts(docs, text_col)
-    idf = spark.sparkContext.broadcast(inverse_document_frequencies(texts))  # 2**BUCKET_BITS numbers
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_document_frequencies(texts))  # 2**BUCKET_BITS numbers
     signed = materialised(_signatures(texts, idf)).select("node", F.explode("keys").alias("key"))
     shared = (
         signed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -315,14 +291,25 @@ def classes(
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
         labels = components(labels, materialised(_verified(pairs, vectors, idf, least)))
-    rows = docs.select(F.col(id_col).alias("_id"), node_of(F.col(text_col)).alias("node"))
-    rows = materialised(rows)
-    copies = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("copy_of"))
-    named = materialised(
-        copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    copies = (
+        docs.select(node_of(F.col(text_col)).alias("node"), F.col(id_col).alias("id"))
+        .where(F.col("node").isNotNull())
+        .groupBy("node")
+        .agg(F.min("id").alias("copy_of"))
     )
+    named = copies.join(labels, "node", "left")
+    return materialised(named.select("node", "copy_of", F.coalesce("label", "node").alias("label")))
+
+
+def classes(
+    docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row: the id, ``copy_of`` (the smallest id with an equal text) and ``class_id`` (the smallest id of
+    the near-duplicates it belongs to)."""
+    named = node_classes(docs, least, id_col, text_col)
     smallest = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     of_node = materialised(named.join(smallest, "label").select("node", "copy_of", "class_id"))
+    rows = docs.select(F.col(id_col).alias("_id"), node_of(F.col(text_col)).alias("node"))
     alone = rows.where(F.col("node").isNull()).select(
         F.col("_id").alias(id_col), F.col("_id").alias("copy_of"), F.col("_id").alias("class_id")
     )
@@ -330,6 +317,25 @@ def classes(
     return joined.select(F.col("_id").alias(id_col), "copy_of", "class_id").unionAll(alone)
 
 
+def deduplicate(
+    docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest id stays, once;
+    texts that take no part stay. All columns are kept; names that begin with ``_near`` are reserved."""
+    named = node_classes(docs, least, id_col, text_col)
+    chosen = (
+        named.groupBy("label")
+        .agg(F.min(F.struct(F.col("copy_of").isNull().alias("last"), "copy_of", "node")).alias("one"))
+        .select(F.col("one.node").alias("_near_n"), F.col("one.copy_of").alias("_near_i"))
+    )
+    with_node = docs.withColumn("_near_node", node_of(F.col(text_col)))
+    # Node and id together: the ids spread the copies of one text.
+    match = (F.col("_near_node") == F.col("_near_n")) & F.col(id_col).eqNullSafe(F.col("_near_i"))
+    kept = with_node.where(F.col("_near_node").isNotNull()).join(materialised(chosen), match, "left_semi")
+    once = kept.dropDuplicates(["_near_node", id_col])
+    return once.unionByName(with_node.where(F.col("_near_node").isNull())).drop("_near_node")
+
+
 def _star_pairs(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
     """Pairs to compare: in each bucket, one node of every component with that of the bucket's centre.
     The centre is the same node in all buckets in round 0, and drawn per bucket and round after it."""
