@@ -86,7 +86,7 @@ def _cut(tickets: DataFrame, state: DataFrame) -> DataFrame:
         )
         over = F.col("_mix_upto") > F.col("_mix_rest")
         found = (
-            state.join(upto, F.col("_mix_source").eqNullSafe(F.col("_mix_key")))
+            state.join(upto, F.col("_mix_source").eqNullSafe(F.col("_mix_key")), "left")
             .groupBy(state.columns)
             .agg(
                 F.min(F.when(over, F.struct("_mix_bin", "_mix_upto", "_mix_mass"))).alias("_mix_first"),
@@ -94,11 +94,12 @@ def _cut(tickets: DataFrame, state: DataFrame) -> DataFrame:
                 F.max("_mix_upto").alias("_mix_all"),
             )
         )
-        below = F.coalesce(F.col("_mix_first._mix_upto") - F.col("_mix_first._mix_mass"), F.col("_mix_all"))
+        below = F.coalesce(F.col("_mix_first._mix_upto") - F.col("_mix_first._mix_mass"), F.col("_mix_all"), F.lit(0))
+        beyond = F.coalesce(F.col("_mix_last") + 1, F.shiftleft("_mix_cut", DIGIT_BITS))  # nothing goes over
         state = materialised(
             found.withColumns(
                 {
-                    "_mix_cut": F.coalesce(F.col("_mix_first._mix_bin"), F.col("_mix_last") + 1),
+                    "_mix_cut": F.coalesce(F.col("_mix_first._mix_bin"), beyond),
                     "_mix_rest": F.col("_mix_rest") - below,
                 }
             ).drop("_mix_first", "_mix_last", "_mix_all")
@@ -166,7 +167,7 @@ def mix(
     ``weights`` are dealt out in order of the sources, or come as a table (source, weight). Every document is
     taken whole ``floor(target / size)`` times. What is left of the target is filled by one more
     repetition of the documents with the lowest seeded tickets, then by the largest documents that still
-    fit, so the words taken come to the target within about the smallest documents' sizes."""
+    fit and the one that comes nearest, so the words taken miss the target by half a small document or so."""
     tickets = materialised(
         sized(docs, id_col, text_col, source_col, seed).select(
             F.col(id_col), "_mix_source", "_mix_size", "_mix_ticket"
@@ -189,18 +190,20 @@ def mix(
         )
     )
     state = _cut(tickets, state).withColumn("_mix_fills", F.array().cast("array<bigint>"))
-    for _ in range(FILLS):
+    for k in range(FILLS):
+        # The largest document that fits; in the last round, the one that comes nearest, also from above.
+        most, off = (1, F.lit(0)) if k < FILLS - 1 else (2, F.abs(F.col("_mix_rest") - F.col("_mix_size")))
         fits = (
             ~_below()
             & (F.col("_mix_size") > 0)
-            & (F.col("_mix_size") <= F.col("_mix_rest"))
+            & (F.col("_mix_size") <= F.col("_mix_rest") * most)
             & ~F.array_contains(F.col("_mix_fills"), F.col("_mix_ticket"))
         )
         best = (
             _with(tickets, state)
             .where(fits)
             .groupBy("_mix_source")
-            .agg(F.max(F.struct("_mix_size", "_mix_ticket")).alias("_mix_best"))
+            .agg(F.max(F.struct((-off).alias("off"), "_mix_size", "_mix_ticket")).alias("_mix_best"))
             .withColumnRenamed("_mix_source", "_mix_key")
         )
         state = materialised(

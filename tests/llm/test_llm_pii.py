@@ -1,0 +1,96 @@
+"""Personal data: the base kinds against plain patterns, the added kinds, redaction."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from answergauge.llm import pii, queries
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(digits[::-1]):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m.group())
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.sub(r"[^0-9]", "", m.group())) <= 15]
+
+
+def found(text):
+    return [s for s in pii.spans_of(text) if s[0] in pii.BASE_KINDS]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B.", "@", "@x", ".com", "-", "%", " ", "1", "25", "256", ".", "0.", "+", "(", "é", "\n", "4111111111111111", "00", "日"]), max_size=30))
+def test_base_kinds_equal_the_patterns(parts):
+    text = "".join(parts)
+    assert found(text) == base(text)
+
+
+def test_query_on_the_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op10_anchor_pii(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base(texts[r["doc_id"]])
+        named = [f"{k}:{s}:{e}" for k, s, e in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(w[0] == k for w in want) for k in pii.BASE_KINDS]
+        assert set(named) <= set(r["spans"].split(",")) | {""}
+    assert sum(r["n_email"] for r in rows) > 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("write to josé.m@exämple.com now", "mailbox", "josé.m@exämple.com"),
+        ("mail joe(at)example.com please", "mailbox", "joe(at)example.com"),
+        ("ftp://joe:secret@files.example.com/x", "login", "joe:secret@files.example.com"),
+        ("IBAN: DE89 3704 0044 0532 0130 00, thanks", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("his SSN is 123-45-6789.", "ssn", "123-45-6789"),
+        ("Account number: 12345678 is mine", "account", "12345678"),
+    ],
+)
+def test_added_kinds(text, kind, span):
+    assert [text[s:e] for k, s, e in pii.spans_of(text) if k == kind] == [span]
+
+
+@pytest.mark.parametrize("text", ["SSN 000-12-3456", "IBAN DE88 3704 0044 0532 0130 00", "account of the year", "http://example.com/a@b", "a @ b", "SSN 123-45-67890"])
+def test_checks_reject(text):
+    assert [s for s in pii.spans_of(text) if s[0] in pii.ADDED_KINDS] == []
+
+
+def test_long_runs_take_linear_time():
+    n = 200_000
+    for text in ("1" * n, "a" * n, "a" * n + "@", "@" * n, "+1" * n, "1." * n, "1 " * n, "+1" + " (" * n, "0" * 5000 + ".1.1.1"):
+        pii.spans_of(text)
+
+
+def test_redaction_and_odd_rows(spark):
+    rows = [(1, "mail a@b.co, call +1 555 123 4567", "x"), (2, None, "y"), (3, "", None), (None, "ip 10.0.0.1", "z"), (1, "mail a@b.co", "w")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = pii.redact(table)
+    assert out.columns == table.columns
+    got = sorted(((r["text"] or "", r["spans"]) for r in out.collect()), key=repr)
+    assert got == sorted([("mail [EMAIL], call [PHONE]", "x"), ("", "y"), ("", None), ("ip [IP]", "z"), ("mail [EMAIL]", "w")], key=repr)
+    assert pii.find_pii(table).count() == 5
+    assert pii.find_pii(table.limit(0)).count() == 0 and pii.redact(table.limit(0)).count() == 0
+    assert pii.redacted("abcdef", [("a", 1, 4), ("b", 2, 5)]) == "a[A]f"
