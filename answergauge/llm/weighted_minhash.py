@@ -59,7 +59,7 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     windows = np.maximum(counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     bounds = np.concatenate([[0], np.cumsum(windows)])
     total = np.zeros(max(0, len(words)), np.uint64)
-    for j in range(SHINGLE):
+    for j in range(min(SHINGLE, len(words))):
         total[: len(words) - j] += words[j:] * _U((2 * j + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
     owner = np.repeat(np.arange(len(held)), windows)
     at = np.arange(bounds[-1]) - bounds[owner] + first[owner]
