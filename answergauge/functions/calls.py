@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
-from answergauge.functions.text import fill_template
+from answergauge.functions.text import fill_template, parse_json
 
 ANSWER_PATH = "$.choices[0].message.content"
 
@@ -21,7 +21,7 @@ MAX_RETRY = 1
 
 def request_body(prompt: Column, model: str | None = None) -> Column:
     """JSON body of a one-message chat request. Without ``model``, the environment variable
-    ``LLM_MODEL`` names it."""
+    ``LLM_MODEL`` names it; no vendor's model is assumed, so without either the name is ``unknown``."""
     model = model or os.environ.get("LLM_MODEL", "unknown")
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
     return F.to_json(
@@ -42,7 +42,7 @@ def parse_body(body: Column) -> Column:
     """``struct<code, data, msg>`` of a reply body: the answer text, or why there is none.
 
     A JSON null answer is a successful call with a NULL answer; so is an answer that is not text."""
-    parsed = F.try_parse_json(body)
+    parsed = parse_json(body)
     answer = F.try_variant_get(parsed, ANSWER_PATH, "variant")
     kind = F.schema_of_variant(answer)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answergauge import texts
-from answergauge.functions.text import fill_template
+from answergauge.functions.text import fill_template, parse_json
 
 
 def judge_prompt(standard: Column, answer: Column, template: str = texts.JUDGE_TEMPLATE) -> Column:
@@ -17,8 +17,8 @@ def judge_prompt(standard: Column, answer: Column, template: str = texts.JUDGE_T
 def parse_reply(reply: Column) -> Column:
     """The judge's reply as a variant; NULL unless the whole of it is one JSON object. Project it before
     ``judge_verdict`` looks at its parts, so that it is parsed once."""
-    # The parser takes trailing text after an object, hence the test of the whole shape.
-    return F.try_parse_json(F.when(reply.rlike(r"(?s)^\s*\{.*\}\s*$"), reply))
+    parsed = parse_json(reply)
+    return F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed)
 
 
 def judge_verdict(parsed: Column) -> Column:

@@ -72,6 +72,19 @@ def round2(x: Column) -> Column:
     return fixed2(x).cast("double")
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text with its shortest digits and at least one decimal, without an exponent below 1e16 (from
+    there on, and below 0.0001, as Spark writes it)."""
+    text = x.cast("string")
+    whole = F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(\d+)$", 3)
+    digits, power = F.length(whole), F.regexp_extract(text, r"E(\d+)$", 1).cast("int")
+    sign_and_first = F.regexp_replace(text, r"^(-?\d)\..*$", "$1")
+    fraction = F.when(digits > power, F.substr(whole, power + 1)).otherwise("0")
+    body = F.rpad(F.substr(whole, F.lit(1), power), power, "0")
+    plain = F.concat(sign_and_first, body, F.lit("."), fraction)
+    return F.when(text.rlike(r"E\d") & (F.abs(x) < 1e16), plain).otherwise(text)
+
+
 def percent1(ratio: Column) -> Column:
     """A ratio as a percentage with one decimal, e.g. 33.3%."""
     return F.call_function("format_number", ratio, F.lit("0.0%"))
@@ -87,13 +100,15 @@ def _spaced_words(text: Column) -> Column:
 
 def han_tokens(text: Column, lexicon: Sequence[str] = ()) -> Column:
     """Distinct words of a text with Han characters, without stop words: the longest lexicon word at
-    each place where a lexicon is given, else character pairs; other scripts by white space."""
+    each place where a lexicon is given, and character pairs of all else; other scripts by white space."""
     if lexicon:
         longest_first = sorted({w for w in lexicon if w}, key=lambda w: (-len(w), w))
         words = "|".join(re.escape(w) for w in longest_first)
-        han = F.regexp_extract_all(text, F.lit(f"{words}|[{HAN}]"), F.lit(0))
-        # Drops the single characters between lexicon words.
-        han = F.filter(han, lambda w: (F.length(w) >= 2) & w.rlike(f"[{WORDLIKE}]"))
+        found = F.regexp_extract_all(text, F.lit(f"{words}|[{HAN}]"), F.lit(0))
+        found = F.filter(found, lambda w: (F.length(w) >= 2) & w.rlike(f"[{WORDLIKE}]"))
+        # What stands between lexicon words is cut into pairs, so that unknown words count too.
+        between = F.regexp_replace(text, words, " ")
+        han = F.concat(found, F.regexp_extract_all(between, F.lit(HAN_PAIR), F.lit(1)))
     else:
         han = F.regexp_extract_all(text, F.lit(HAN_PAIR), F.lit(1))
     rest = _spaced_words(F.regexp_replace(F.regexp_replace(text, HAN_BREAK, " "), ODD_SPACE, " "))
@@ -145,6 +160,14 @@ def fill_template(template: str, slots: Mapping[str, Any]) -> Column:
     return F.concat(*pieces) if pieces else F.lit("")
 
 
+def parse_json(text: Column) -> Column:
+    """A JSON text as a variant, NULL unless all of it is one JSON value. The parser alone would take text
+    after a value; inside a list and inside an object, no tail passes."""
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.try_parse_json(F.when(in_list.isNotNull() & in_object.isNotNull(), text))
+
+
 def fill_placeholders(text: Column, env: Mapping[str, str]) -> Column:
     """Replace ``${NAME}`` by its value in ``env``; unknown names stay. The text is cut into pieces
     first, so a value that looks like a placeholder is not expanded again."""

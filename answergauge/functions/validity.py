@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from answergauge.functions.text import fill_template, fixed2, literals
 from answergauge.rules import Rules
 
 
+SEARCHED_CHARS = 8
+LISTED_WORDS = 64
+
+
 def _count_of(text: Column, char: Column) -> Column:
     """How often a character occurs. Byte lengths are known without reading the text."""
     removed = F.octet_length(text) - F.octet_length(F.replace(text, char, F.lit("")))
@@ -20,9 +25,16 @@ def _count_of(text: Column, char: Column) -> Column:
 
 
 def top_char_share(text: Column) -> Column:
-    """Share of the commonest character in a non-empty text."""
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: _count_of(text, c))
-    return F.array_max(counts) / F.length(text)
+    """Share of the commonest character in a non-empty text: the longest run among its sorted characters.
+    Linear apart from the sort, however many distinct characters there are."""
+    ordered = F.sort_array(F.split(text, ""))
+    start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state: Column, char: Column) -> Column:
+        run = F.when(char == state["char"], state["run"] + 1).otherwise(1)
+        return F.struct(char.alias("char"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(ordered, start, step, lambda state: state["best"]) / F.length(text)
 
 
 def top_char_share_above(text: Column, limit: float) -> Column:
@@ -44,8 +56,10 @@ def top_char_share_above(text: Column, limit: float) -> Column:
     in_runs = F.array_distinct(
         F.regexp_extract_all(text, F.lit(rf"(?s)(.)\1{{{k - 1}}}"), F.lit(1))
     )
-    candidates = F.when(F.length(text) > enough, in_runs).otherwise(F.array_distinct(F.split(text, "")))
-    return F.array_max(F.transform(candidates, lambda c: _count_of(text, c))) / F.length(text)
+    few = F.when(F.length(text) > enough, in_runs)
+    counted = F.array_max(F.transform(few, lambda c: _count_of(text, c))) / F.length(text)
+    # Each candidate is a search of the text; beyond a few, one sort is cheaper.
+    return F.when(F.size(few) <= SEARCHED_CHARS, counted).otherwise(top_char_share(text))
 
 
 def longest_phrase_run(text: Column, phrase_lengths: Sequence[int], more_than: int) -> Column:
@@ -114,9 +128,40 @@ def banned_words(content: Column, rules: Rules) -> Column:
     """Every configured word that occurs in the raw text, in the order of the list."""
     if not rules.sensitive_words:
         return literals(())
+    if len(rules.sensitive_words) > LISTED_WORDS:
+        return _listed_words(content, rules.sensitive_words)
     return F.filter(literals(rules.sensitive_words), lambda word: F.contains(content, word))
 
 
+def _listed_words(content: Column, words: Sequence[str]) -> Column:
+    """The same for long lists: one automaton finds all words in one pass over each text, in Arrow batches."""
+    words = tuple(words)
+
+    @F.pandas_udf("array<string>")
+    def found(texts_of: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        places: dict[str, list[int]] = {}
+        for at, word in enumerate(words):
+            places.setdefault(word, []).append(at)
+        for word, at in places.items():
+            if word:
+                automaton.add_word(word, at)
+        automaton.make_automaton()
+        always = places.get("", [])  # the empty word occurs in every text
+
+        def of(text: str | None) -> list[str] | None:
+            if text is None:
+                return []
+            hits = {i for _, at in automaton.iter(text) for i in at}
+            return [words[i] for i in sorted(hits.union(always))]
+
+        return texts_of.map(of, na_action=None)
+
+    return found(content)
+
+
 def compliance_msg(banned: Column, rules: Rules) -> Column:
     """The banned words found, or a pass text. ``banned`` is projected beforehand."""
     if not rules.sensitive_words:

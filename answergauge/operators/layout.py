@@ -8,27 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for costly row-local work over a scan of few, large splits.
+def spread(scan: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """``scan`` in as many partitions as the caller asks for, by ``keys`` where given; as it is without a number.
 
-    A big table has more splits than the cluster has cores and comes back unchanged, so nothing is
-    shuffled at scale; only an input smaller than that is dealt out again, by ``keys`` where a join
-    on them follows. Counts the splits of the plan without running it, so pass scans, not shuffled
-    frames."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+    For costly row-local work over files that cannot be split, such as one large row group. The plan
+    depends on the argument alone, never on the size of the data or of the cluster."""
+    return scan if partitions is None else scan.repartition(partitions, *keys)
 
 
-def materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame, path: str | None = None) -> DataFrame:
     """Run ``df`` once and read its rows back from the shared checkpoint folder, so that later readers and
     tasks on replaced executors do not compute (or call a model) again. Kept as Parquet, of which each
-    reader loads only the columns it needs."""
+    reader loads only the columns it needs. ``path`` is for owners who ``discard`` it later."""
     session = df.sparkSession
-    path = shared_path(session)
+    path = path or shared_path(session)
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
 
+def discard(session: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, on whatever file system it lies."""
+    jvm = session.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_path(session: SparkSession) -> str:
     """A new path in the folder that all executors share."""
     return f"{_checkpoint_folder(session)}/answergauge-{uuid.uuid4().hex}"

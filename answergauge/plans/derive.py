@@ -17,6 +17,9 @@ DOC_RULES = Rules(
     sensitive_words=("worthless", "der die", " the ", "Von", "schst"),
     whitelist=("Than", "than", "para", "pour", "der", "die"),
 )
+# Banned words by rule, far more than fit into a plan as single searches.
+LONG_LIST = tuple(a + b for a in ("th", "en", "qu", "sch", "ción", "é", "St", " a") for b in "abcdefghijklmnopqrstuvwxyzäéñ")
+LONG_RULES = Rules(sensitive_words=LONG_LIST)
 STAMP = "2024-02-01 08:00:00"
 KEYWORDS = ("the", "der", "que", "of the", "und die", "la", "a", "; ")
 
@@ -28,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Session setting: into how many partitions the documents are dealt, for files that cannot be split.
+PARTITIONS = "spark.answergauge.partitions"
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of the documents. Unlike the other tables they are long, and costly per row."""
-    return spread(table(spark, sf_dir, "documents").select(*columns), "doc_id")
+    given = spark.conf.get(PARTITIONS, None)
+    return spread(table(spark, sf_dir, "documents").select(*columns), int(given) if given else None, "doc_id")
 
 
 # Lower-case letters and the Han characters that stand in for them, chosen so that stop words occur.
@@ -79,7 +87,8 @@ def doc_answers(docs: DataFrame) -> DataFrame:
         code.alias("code"),
         F.when(~source.isin("src8", "src10"), F.col("text")).alias("data"),
         F.when(code == 0, "ok").otherwise(F.concat(F.lit("failed with "), code)).alias("msg"),
-        (F.col("n_chars") * F.lit(0.5)).alias("cost_ms"),
+        # Some calls take long enough for a number that Spark writes with an exponent.
+        (F.col("n_chars") * F.when(source == "src1", 20000.0).otherwise(0.5)).alias("cost_ms"),
     )
 
 
@@ -96,6 +105,10 @@ REPLIES = (
     '{"level": 5, "reason": "@"}',
     '{"level": null}',
     '{"level": 2, "reason": "@"} as asked',
+    '{"level": 2, "reason": "@"} and {x}',
+    '{"level": 0}{"level": 3}',
+    '{"level": 2}, {"level": 1}',
+    '{"level": 2}, "y": {"level": 1}',
     '[{"level": 2}]',
     "{}",
     "level 2",
@@ -140,7 +153,7 @@ def chat_answers(turns: DataFrame) -> DataFrame:
 
 
 def reply_bodies(turns: DataFrame) -> DataFrame:
-    """A raw reply body per turn: an answer, an answer of null, or a body without one."""
+    """A raw reply body per turn: an answer, an answer of null, a body without one, or one with a tail."""
     text, turn = F.col("text"), F.col("turn")
     answer = F.to_json(
         F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices"))
@@ -151,6 +164,9 @@ def reply_bodies(turns: DataFrame) -> DataFrame:
         .when(turn == 0, F.to_json(F.struct(F.array().cast("array<string>").alias("choices"), text.alias("note"))))
         .when(turn == 2, '{"choices":[{"message":{"content":null}}]}')
         .when(turn == 4, '{"choices":[{"message":{}}]}')
+        .when(turn == 6, F.concat(answer, F.lit(" oops")))
+        .when(turn == 8, F.concat(answer, answer))
+        .when(turn == 10, F.concat(answer, F.lit(" and {x}")))
         .otherwise('{"error":"busy"}')
     )
     return turns.select("conv_id", "turn", body.alias("body"))

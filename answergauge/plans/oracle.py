@@ -90,7 +90,7 @@ doc_answers AS (
     CASE WHEN source NOT IN ('src8', 'src10') THEN text END AS data,
     CASE source WHEN 'src8' THEN 'failed with {texts.TIMEOUT}' WHEN 'src9'
       THEN 'failed with {texts.BODY_NOT_JSON}' ELSE 'ok' END AS msg,
-    n_chars * 0.5::DOUBLE AS cost_ms
+    n_chars * CASE WHEN source = 'src1' THEN 20000::DOUBLE ELSE 0.5::DOUBLE END AS cost_ms
   FROM documents)"""
 
 
@@ -384,6 +384,9 @@ bodies AS (
     WHEN turn = 0 THEN concat('{"choices":[],"note":', to_json(text), '}')
     WHEN turn = 2 THEN '{"choices":[{"message":{"content":null}}]}'
     WHEN turn = 4 THEN '{"choices":[{"message":{}}]}'
+    WHEN turn = 6 THEN concat('{"choices":[{"message":{"content":', to_json(text), '}}]} oops')
+    WHEN turn = 8 THEN repeat(concat('{"choices":[{"message":{"content":', to_json(text), '}}]}'), 2)
+    WHEN turn = 10 THEN concat('{"choices":[{"message":{"content":', to_json(text), '}}]} and {x}')
     ELSE '{"error":"busy"}' END AS body
   FROM conversations)"""
 
@@ -490,6 +493,34 @@ def _detail_view() -> str:
     return _history(lines)
 
 
+def _compare_batches() -> str:
+    change = ", ".join(
+        f"{round2(f'new.{c}_score - old.{c}_score')} AS {c}_score_change"
+        for c in ("total", "relevance", "completeness")
+    )
+    return _history(f"""
+SELECT coalesce(new.case_pos, old.case_pos) AS case_pos, coalesce(new.case_id, old.case_id) AS case_id,
+  CASE WHEN new.case_pos IS NULL THEN 'baseline' WHEN old.case_pos IS NULL THEN 'candidate' ELSE 'both' END AS side,
+  old.total_score AS old_total_score, new.total_score AS new_total_score, {change},
+  old.hallucination_level AS old_hallucination_level, new.hallucination_level AS new_hallucination_level,
+  old.hallucination_level <> new.hallucination_level AS level_changed,
+  old.success_flag AS old_success_flag, new.success_flag AS new_success_flag
+FROM (SELECT * FROM details WHERE case_desc <> 'signup') old
+FULL JOIN (SELECT case_pos, case_id, relevance_score AS total_score, total_score AS relevance_score,
+  completeness_score, CASE WHEN total_score > 50 THEN '低' ELSE hallucination_level END AS hallucination_level,
+  success_flag FROM details WHERE case_desc <> 'error') new ON old.case_pos = new.case_pos""")
+
+
+def _model_trend() -> str:
+    change = ", ".join(
+        f"{round2(f'{c} - lag({c}) OVER w')} AS {c}_change" for c in ("success_rate", "avg_total_score")
+    )
+    return _history(f"""
+SELECT concat('model ', right(batch_id, 1)) AS model_name, CAST(row_number() OVER w AS INTEGER) AS run, batch_id,
+  execute_time, success_rate, avg_total_score, {change}
+FROM batches WINDOW w AS (PARTITION BY right(batch_id, 1) ORDER BY execute_time, batch_id)""")
+
+
 def _csv_rows() -> str:
     from answergauge.schemas import RESULT_FIELDS
     from answergauge.sources.report import REPORT_COLUMNS
@@ -500,6 +531,8 @@ def _csv_rows() -> str:
             text = f"CASE WHEN {name} THEN 'True' ELSE 'False' END"
         elif name.endswith("_score"):
             text = f"CASE WHEN success_flag AND error_msg = '' THEN {text} ELSE '0' END"
+        elif name == "api_cost_ms":
+            text = f"CASE WHEN {name} = 0 THEN '0' ELSE {text} END"
         return f"coalesce({text}, '') AS {name}"
 
     return _doc_results("SELECT case_pos, " + ", ".join(shown(c) for c in REPORT_COLUMNS) + " FROM results")
@@ -537,6 +570,10 @@ def all_sql() -> dict[str, str]:
         "tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens"
         f" FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
         "han_tokens": _han_tokens(),
+        "compliance_long_list": f"""SELECT doc_id, CASE WHEN len(hits) > 0
+    THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
+      {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg
+FROM (SELECT doc_id, list_filter({list_of(derive.LONG_LIST)}, lambda w: contains(text, w)) AS hits FROM documents)""",
         "validity_blank_len": f"""SELECT doc_id, CAST(length(s) AS INTEGER) AS stripped_chars,
   CASE WHEN s = '' THEN {lit(code_text(texts.EMPTY_ANSWER))}
     WHEN length(s) < 50 THEN concat('{code_text(texts.SHORT_ANSWER)}，仅', length(s), '字,低于阈值:50字')
@@ -605,6 +642,13 @@ FROM (SELECT doc_id, {strip('text')} AS s FROM documents)""",
             " FROM batches JOIN details USING (batch_id)"
         ),
         "batch_delete": _history(f"SELECT * FROM batches WHERE batch_id <> {batch}"),
+        "details_delete": _history(
+            "SELECT batch_id, case_pos, total_score FROM (SELECT * REPLACE ("
+            "CASE WHEN case_desc <> 'view' THEN batch_id END AS batch_id) FROM details)"
+            f" WHERE batch_id IS DISTINCT FROM {batch}"
+        ),
+        "compare_batches": _compare_batches(),
+        "model_trend": _model_trend(),
         "batch_list_view": _history(
             "SELECT batch_id, execute_time, model_name, total_cases, success_rate, avg_total_score FROM batches"
             " ORDER BY execute_time DESC, batch_id LIMIT 25"

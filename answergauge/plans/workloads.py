@@ -11,7 +11,7 @@ from answergauge import texts
 from answergauge.functions import calls, scoring, validity
 from answergauge.functions.text import fill_placeholders, strip, tokens
 from answergauge.operators.ask import ask_all
-from answergauge.operators.attempts import call_outcomes, final_attempts
+from answergauge.operators.attempts import call_outcomes, final_attempts, slow_calls
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
 )
@@ -85,11 +85,18 @@ def q_compliance(spark, sf):
     return _checked(spark, sf).select("doc_id", "is_compliant", "compliance_msg")
 
 
+def q_compliance_long_list(spark, sf):
+    docs = derive.documents(spark, sf, "doc_id", "text")
+    banned = docs.select("doc_id", validity.banned_words(F.col("text"), derive.LONG_RULES).alias("banned"))
+    return banned.select("doc_id", validity.compliance_msg(F.col("banned"), derive.LONG_RULES).alias("compliance_msg"))
+
+
 # ---- Answers against cases -------------------------------------------------------
 
 
 def _docs(spark, sf):
-    return derive.documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
+    """By key: cases and answers, both derived from these rows, then share one exchange of the texts."""
+    return derive.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").repartition("doc_id")
 
 
 def _scored(spark, sf):
@@ -204,8 +211,7 @@ def q_outcome_code(spark, sf):
 
 
 def q_slow_calls(spark, sf):
-    outcomes = call_outcomes(derive.attempts(derive.table(spark, sf, "events")), max_retry=2, slow_ms=1000)
-    return outcomes.select("case_pos", "cost_ms", "is_slow")
+    return slow_calls(derive.attempts(derive.table(spark, sf, "events")), max_retry=2, slow_ms=1000)
 
 
 def q_generate_answers(spark, sf):
@@ -315,6 +321,34 @@ def q_batch_delete(spark, sf):
     return history.without_batch(_batches(spark, sf), BATCH)
 
 
+def q_details_delete(spark, sf):
+    """Some rows have no batch id; they stay."""
+    details = _details(spark, sf).withColumn("batch_id", F.when(F.col("case_desc") != "view", F.col("batch_id")))
+    return history.without_batch(details, BATCH).select("batch_id", "case_pos", "total_score")
+
+
+def q_compare_batches(spark, sf):
+    """Two runs of one suite. The later one lacks some cases, has others anew, and scores differently."""
+    details = _details(spark, sf)
+    old = details.where("case_desc <> 'signup'").withColumn("batch_id", F.lit("old"))
+    raised = F.when(F.col("total_score") > 50, "低").otherwise(F.col("hallucination_level"))
+    new = details.where("case_desc <> 'error'").withColumns(
+        {
+            "batch_id": F.lit("new"),
+            "total_score": F.col("relevance_score"),
+            "relevance_score": F.col("total_score"),
+            "hallucination_level": raised,
+        }
+    )
+    return history.compare_batches(old.unionByName(new), "old", "new")
+
+
+def q_model_trend(spark, sf):
+    """Batches of ten models, in order of execution."""
+    models = F.concat(F.lit("model "), F.right("batch_id", F.lit(1)))
+    return history.model_trend(_batches(spark, sf).withColumn("model_name", models))
+
+
 def q_batch_list_view(spark, sf):
     return history.list_view(_batches(spark, sf), 25)
 

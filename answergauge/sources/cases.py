@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -34,7 +35,8 @@ def read_cases(
     there is nothing at ``path``.
 
     ``case_pos`` is part of parquet and JSON data. In YAML, a list under the dotted ``key_path``, it is the
-    place in the list, so a YAML path names one file. Malformed JSON lines stop the read."""
+    place in the list, so a YAML path names one file. Malformed JSON lines stop the read. Placeholders are
+    filled from the environment unless ``env`` is given; an empty one leaves them."""
     try:
         if format == "yaml":
             cases = _read_yaml(spark, path, key_path)
@@ -45,6 +47,7 @@ def read_cases(
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         cases = spark.createDataFrame([], schemas.CASES)
+    env = os.environ if env is None else env
     return fill_case_placeholders(cases, env) if env else cases
 
 
@@ -52,6 +55,19 @@ def _read_yaml(spark: SparkSession, path: str, key_path: str) -> DataFrame:
     """Each file is parsed inside the task that reads it. A file that is not YAML, or has no list at
     ``key_path``, has no cases."""
 
+    fields = CASE_FIELDS[1:-1]
+
+    def as_text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else str(value)
+
+    def row(pos: int, case) -> list:
+        """A case of texts. An item that is no mapping is a case of nothing, and so fails when it is graded."""
+        case = case if isinstance(case, dict) else {}
+        words = case.get("expect_keywords")
+        if words is not None:
+            words = [as_text(w) for w in (words if isinstance(words, list) else [words])]
+        return [pos, *(as_text(case.get(name)) for name in fields), words]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
@@ -63,11 +79,13 @@ def _read_yaml(spark: SparkSession, path: str, key_path: str) -> DataFrame:
                         node = node[key]
                 except (yaml.YAMLError, KeyError, TypeError):
                     node = []
-                rows = [[pos, *map(case.get, CASE_FIELDS[1:])] for pos, case in enumerate(node or [])]
+                rows = [row(pos, case) for pos, case in enumerate(node if isinstance(node, list) else [])]
                 yield pd.DataFrame(rows, columns=CASE_FIELDS, dtype=object)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(parse, schemas.CASES)
+    files = spark.read.format("binaryFile").load(path)
+    if len(files.inputFiles()) > 1:
+        raise ValueError(f"{path} holds more than one file; cases are numbered by their place in one list")
+    return files.select("content").mapInPandas(parse, schemas.CASES)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "case_pos") -> None:

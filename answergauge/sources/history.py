@@ -1,4 +1,4 @@
-"""The history of batches: two catalog tables, both partitioned by batch."""
+"""The history of batches: Parquet folders at one place, which any later session can open."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import logging
 import secrets
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answergauge import schemas, texts
+from answergauge.functions.text import plain_number, round2
 from answergauge.operators.summarise import batch_rows, summarise
 
 LIST_COLUMNS = ["batch_id", "execute_time", "model_name", "total_cases", "success_rate", "avg_total_score"]
@@ -45,15 +46,16 @@ def with_details(batches: DataFrame, details: DataFrame, salts: int = 32) -> Dat
 
     A batch may hold a large share of all details, so each batch row is repeated once per salt and the
     details of a batch go to as many partitions. Batch rows are one per batch; where Spark finds them
-    small enough to broadcast, nothing is shuffled at all."""
+    small enough to broadcast, nothing is shuffled at all. ``salts`` is for the caller who knows the batches:
+    1 where none is large, since every batch row is repeated that often."""
     repeated = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = details.withColumn("_salt", F.pmod(F.xxhash64("case_pos"), F.lit(salts)).cast("int"))
     return repeated.join(salted, ["batch_id", "_salt"]).drop("_salt")
 
 
 def without_batch(rows: DataFrame, batch_id: str) -> DataFrame:
-    """Rows of either table that remain once a batch is deleted."""
-    return rows.where(F.col("batch_id") != batch_id)
+    """Rows of either table that remain once a batch is deleted; rows without a batch id remain too."""
+    return rows.where(~F.col("batch_id").eqNullSafe(F.lit(batch_id)))
 
 
 def list_view(batches: DataFrame, limit: int = 10) -> DataFrame:
@@ -63,8 +65,12 @@ def list_view(batches: DataFrame, limit: int = 10) -> DataFrame:
 def detail_view(batches: DataFrame, batch_id: str) -> DataFrame:
     """One batch as key/value lines, in column order (``line``)."""
     row = batch_by_id(batches, batch_id)
+
+    def shown(name: str) -> Column:
+        return plain_number(F.col(name)) if schemas.BATCH_FIELDS[name] == "DOUBLE" else F.col(name).cast("string")
+
     pairs = [
-        F.struct(F.lit(i).alias("line"), F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(i).alias("line"), F.lit(c).alias("key"), shown(c).alias("value"))
         for i, c in enumerate(schemas.BATCH_COLUMNS)
     ]
     return row.select(F.inline(F.array(*pairs)))
@@ -78,21 +84,80 @@ def case_overview(details: DataFrame, batch_id: str) -> DataFrame:
     )
 
 
+def compare_batches(details: DataFrame, baseline: str, candidate: str) -> DataFrame:
+    """Two batches case by case: which of them has the case (``side``), both totals and levels, the differences
+    of the scores, and whether the level changed. Cases meet by ``case_pos``, their unique place in the suite
+    (``case_id`` is free text that many cases may share)."""
+    measured = [c for c in schemas.RESULT_COLUMNS if c.endswith("_score")]
+
+    def of(batch_id: str, prefix: str) -> DataFrame:
+        rows = batch_by_id(details, batch_id)
+        named = [F.col(c).alias(f"{prefix}_{c}") for c in (*measured, "hallucination_level", "success_flag", "case_id")]
+        return rows.select(F.col("case_pos").alias(f"{prefix}_pos"), *named)
+
+    both = of(baseline, "old").join(of(candidate, "new"), F.col("old_pos") == F.col("new_pos"), "full_outer")
+    side = F.when(F.col("new_pos").isNull(), "baseline").when(F.col("old_pos").isNull(), "candidate").otherwise("both")
+    return both.select(
+        F.coalesce("new_pos", "old_pos").alias("case_pos"),
+        F.coalesce("new_case_id", "old_case_id").alias("case_id"),
+        side.alias("side"),
+        "old_total_score",
+        "new_total_score",
+        *[round2(F.col(f"new_{c}") - F.col(f"old_{c}")).alias(f"{c}_change") for c in measured],
+        "old_hallucination_level",
+        "new_hallucination_level",
+        (F.col("old_hallucination_level") != F.col("new_hallucination_level")).alias("level_changed"),
+        "old_success_flag",
+        "new_success_flag",
+    )
+
+
+def model_trend(batches: DataFrame) -> DataFrame:
+    """The batches of each model in order of execution (``run`` from 1), with the change of the mean total and of
+    the success rate against the model's batch before. Works on batch rows only, one a batch."""
+    order = Window.partitionBy("model_name").orderBy("execute_time", "batch_id")
+
+    def change(name: str) -> Column:
+        return round2(F.col(name) - F.lag(name).over(order)).alias(f"{name}_change")
+
+    return batches.select(
+        "model_name",
+        F.row_number().over(order).alias("run"),
+        "batch_id",
+        "execute_time",
+        "success_rate",
+        change("success_rate"),
+        "avg_total_score",
+        change("avg_total_score"),
+    )
+
+
 class HistoryStore:
-    """Saved batches in the session catalog.
+    """Saved batches below one folder, on any file system that Spark knows; no catalog is needed.
 
-    Parquet has no transactions, so order stands in for them: a batch's details are written before its
-    batch row and the batch row is dropped first. A batch is visible exactly while its batch row is."""
+    ``eval_batch`` is partitioned by day, so that a listing opens few folders; ``eval_case_detail`` by batch, so
+    that a batch is read and deleted alone; ``eval_deleted`` names the batches that were deleted. Parquet has
+    no transactions, so order stands in for them: a batch's details are written before its batch row, and
+    the batch is named as deleted before its details go. A batch is visible exactly while its row is."""
 
-    def __init__(self, spark: SparkSession, database: str = "default"):
+    def __init__(self, spark: SparkSession, name: str = "default", location: str | None = None):
         self.spark = spark
-        self.batch_table = f"{database}.eval_batch"
-        self.detail_table = f"{database}.eval_case_detail"
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-        detail_fields = {"case_pos": "BIGINT", **schemas.RESULT_FIELDS, "batch_id": "STRING"}
-        for table, fields in ((self.batch_table, schemas.BATCH_FIELDS), (self.detail_table, detail_fields)):
-            columns = ", ".join(f"{name} {kind}" for name, kind in fields.items())
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (batch_id)")
+        root = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}.history"
+        self.batch_path, self.detail_path, self.deleted_path = (
+            f"{root.rstrip('/')}/{part}" for part in ("eval_batch", "eval_case_detail", "eval_deleted")
+        )
+        for path in (self.batch_path, self.detail_path, self.deleted_path):
+            self._file_system(path).mkdirs(self._path(path))
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _file_system(self, path: str):
+        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self, path: str, fields: dict[str, str]) -> DataFrame:
+        columns = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+        return self.spark.read.schema(columns).parquet(path)
 
     def save_batch(
         self, results: DataFrame, model_name: str = "unknown", total_time: float | None = None
@@ -105,29 +170,28 @@ class HistoryStore:
         start = time.monotonic()
         try:
             rows = results.select("case_pos", *schemas.RESULT_COLUMNS, F.lit(batch_id).alias("batch_id"))
-            rows.write.mode("append").format("parquet").partitionBy("batch_id").saveAsTable(self.detail_table)
+            rows.write.mode("append").partitionBy("batch_id").parquet(self.detail_path)
             if total_time is None:
                 total_time = round(time.monotonic() - start, 2)
             # Grouped over nothing, so that an empty batch has a row too.
             summary = self.summary(batch_id, total_time).withColumn("batch_id", F.lit(batch_id))
-            row = batch_rows(summary, model_name, stamp)
-            ordered = [c for c in schemas.BATCH_COLUMNS if c != "batch_id"] + ["batch_id"]
-            row.select(*ordered).write.mode("append").format("parquet").partitionBy("batch_id").saveAsTable(
-                self.batch_table
-            )
+            row = batch_rows(summary, model_name, stamp).select(*schemas.BATCH_COLUMNS)
+            row.withColumn("day", F.lit(stamp[:10])).write.mode("append").partitionBy("day").parquet(self.batch_path)
         except Exception:
             log.exception("batch %s was not saved", batch_id)
-            self._drop(self.detail_table, batch_id)
+            self._drop(batch_id)
             return ""
         return batch_id
 
     @property
     def batches(self) -> DataFrame:
-        return self.spark.table(self.batch_table).select(*schemas.BATCH_COLUMNS)
+        saved = self._read(self.batch_path, schemas.BATCH_FIELDS | {"day": "STRING"})
+        deleted = self._read(self.deleted_path, {"batch_id": "STRING"})
+        return saved.join(deleted, "batch_id", "left_anti").select(*schemas.BATCH_COLUMNS)
 
     @property
     def details(self) -> DataFrame:
-        return self.spark.table(self.detail_table)
+        return self._read(self.detail_path, {"case_pos": "BIGINT", **schemas.RESULT_FIELDS, "batch_id": "STRING"})
 
     def latest(self, limit: int = 10) -> DataFrame:
         return latest_batches(self.batches, limit)
@@ -151,14 +215,25 @@ class HistoryStore:
     def case_overview(self, batch_id: str) -> DataFrame:
         return case_overview(self.details, batch_id)
 
+    def compare(self, baseline: str, candidate: str) -> DataFrame:
+        return compare_batches(self.details, baseline, candidate)
+
+    def trend(self) -> DataFrame:
+        return model_trend(self.batches)
+
     def delete(self, batch_id: str) -> bool:
         """Delete a batch with its details; true if there was a batch row. Details without one are
-        deleted all the same. Only partitions are dropped, no file is rewritten."""
+        deleted all the same. No file is rewritten."""
         existed = not self.batch(batch_id).isEmpty()
-        self._drop(self.batch_table, batch_id)
-        self._drop(self.detail_table, batch_id)
+        self._drop(batch_id)
         return existed
 
-    def _drop(self, table: str, batch_id: str) -> None:
-        quoted = batch_id.replace("\\", "\\\\").replace("'", "\\'")
-        self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_id = '{quoted}')")
+    def _drop(self, batch_id: str) -> None:
+        self._hide(batch_id)
+        escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        folder = f"{self.detail_path}/batch_id={escaped.escapePathName(batch_id)}"
+        self._file_system(folder).delete(self._path(folder), True)
+
+    def _hide(self, batch_id: str) -> None:
+        named = self.spark.range(1).select(F.lit(batch_id).alias("batch_id"))
+        named.coalesce(1).write.mode("append").parquet(self.deleted_path)

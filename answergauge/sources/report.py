@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergauge import schemas
+from answergauge.functions.text import plain_number
 
 # The columns of the report, in order.
 REPORT_COLUMNS = [
@@ -23,13 +24,16 @@ BYTE_ORDER_MARK = "\ufeff"
 
 def _as_text(name: str) -> Column:
     kind = schemas.RESULT_FIELDS[name]
-    text = F.col(name).cast("string")
+    text = plain_number(F.col(name)) if kind == "DOUBLE" else F.col(name).cast("string")
     if kind == "BOOLEAN":
         text = F.initcap(text)
     elif name.endswith("_score"):
         # A score that was never computed is a plain 0.
         scored = F.col("success_flag") & (F.col("error_msg") == "")
         text = F.when(scored, text).otherwise("0")
+    elif name == "api_cost_ms":
+        # A case that never called has a plain 0 too.
+        text = F.when(F.col(name) == 0, "0").otherwise(text)
     return F.coalesce(text, F.lit("")).alias(name)
 
 

@@ -3,10 +3,6 @@
 # ---- Fixed values: outcome codes and their texts --------------------------------
 CODE_TEXTS = {
     0: "执行成功",
-    1001: "配置文件不存在",
-    1002: "配置节点不存在",
-    1003: "入参为空",
-    1004: "API密钥未配置",
     2001: "请求超时",
     2002: "网络连接失败",
     2003: "接口返回HTTP错误状态码",

@@ -8,7 +8,7 @@ from answergauge import schemas
 from answergauge.functions import calls
 from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
 from answergauge.functions.text import fill_template
-from answergauge.operators.attempts import call_outcomes, final_attempts
+from answergauge.operators.attempts import call_outcomes, deciding_attempts, final_attempts, slow_calls
 
 
 def one(spark, value, expr):
@@ -83,8 +83,19 @@ def test_hot_request_is_combined_before_the_shuffle(spark):
     attempts = log(spark, [(1, 0, None, 200, OK_BODY, None, 0, 1)] * 500 + [(2, 0, None, 200, OK_BODY, None, 0, 1)])
     final = final_attempts(attempts)
     assert final.count() == 2
-    plan = final._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("partial_min") == 2 and plan.count("Exchange") == 1 and "Window" not in plan
+    plan = deciding_attempts(attempts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_min(") == 2 and plan.count("Exchange") == 1
+    assert "Window" not in plan and "SortAggregate" not in plan and "Sort " not in plan
+
+
+def test_slow_calls_read_no_bodies(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log(spark, [(1, 0, None, 200, OK_BODY, None, 0, 1)]).write.parquet(path)
+    plan = slow_calls(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema") :]
+    assert "body" not in schema and "error_text" not in schema
+    plan = final_attempts(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "SortMergeJoin" not in plan
 
 
 @pytest.mark.parametrize(

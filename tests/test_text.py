@@ -79,6 +79,11 @@ def test_han_text_with_lexicon_takes_the_longest_word(spark):
     assert got == ["解释型", "编程语言", "编程", "Java"]
 
 
+def test_unknown_han_words_count_as_pairs_beside_a_lexicon(spark):
+    (got,) = column(spark, ["天空很蓝编程大海"], lambda c: T.tokens(c, ("编程",)))
+    assert sorted(got) == sorted(["编程", "天空", "空很", "很蓝", "大海"])
+
+
 def test_placeholders(spark):
     env = {"A": "1", "B": "${A}", "名-x": "n"}
     texts = ["plain", "${A}${B}", "$${A}$", "${C} ${名-x}", "${A", "${}", "a${A}b\n${A}", None]
