@@ -40,9 +40,12 @@ BOILERPLATE = (
 )
 # A sentence's end, also before closing quotes and brackets.
 ENDING = r"[.!?…。！？:;][\"'”’»)\]]*[\x20\x09-\x0D]*$"
-# Three separators or more, each with at most three words before it.
-NAVIGATION = r"^(?:[^|>»•·]{0,60}[|>»•·][\x20\x09-\x0D]*){3,}[^|>»•·]{0,60}$"
-SHOUTING = r"(?:[^\x20\x09-\x0D]*!!+[\x20\x09-\x0D]*){3,}$"
+# Counted rather than matched as repeated groups, for which Java's regex engine would recurse in long lines.
+SEPARATORS = r"[|>»•·]"
+LEAST_SEPARATORS = 3
+WORDS_PER_SEPARATOR = 4
+SHOUTS = r"!!+"
+LEAST_SHOUTS = 3
 UNENDED_WORDS = 8
 
 
@@ -101,7 +104,10 @@ def fails(line: Column) -> Column:
         words = F.regexp_count(low, F.lit(WORD))
         unended = ~low.rlike(ENDING) & (words < UNENDED_WORDS)
         symbols = F.regexp_count(low, F.lit(SYMBOLS)) * 2 > words
-        return boilerplate | symbols | unended | low.rlike(NAVIGATION) | low.rlike(SHOUTING)
+        separators, shouts = F.regexp_count(low, F.lit(SEPARATORS)), F.regexp_count(low, F.lit(SHOUTS))
+        navigation = (separators >= LEAST_SEPARATORS) & (words <= separators * WORDS_PER_SEPARATOR)
+        shouting = (shouts >= LEAST_SHOUTS) & (shouts * 2 > words)
+        return boilerplate | symbols | unended | navigation | shouting
 
     return let(F.lower(line), rules)
 
