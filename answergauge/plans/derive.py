@@ -46,6 +46,10 @@ LATIN_LETTERS = "abcdefghijklmnopqrst"
 HAN_LETTERS = "大因以为的可能们这所由也系个一种过是在我"
 
 
+# Words that occur in those texts, one the beginning of another.
+LEXICON = ("可能", "这所", "可能为", "种过是", "个一", "大因", "们由")
+
+
 def han_texts(docs: DataFrame) -> DataFrame:
     """The documents with most letters replaced by Han characters."""
     return docs.select("doc_id", F.translate("text", LATIN_LETTERS, HAN_LETTERS).alias("text"))

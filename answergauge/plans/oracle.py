@@ -563,6 +563,28 @@ words AS (SELECT doc_id, {words} AS t FROM split)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens FROM words"""
 
 
+def _lexicon_tokens() -> str:
+    lexicon = "|".join(sorted(derive.LEXICON, key=lambda w: (-len(w), w)))
+    stop = list_of(STOP_WORDS)
+    found = (
+        f"list_filter(regexp_extract_all(h, '{lexicon}|[{HAN}]'), lambda w: len(w) >= 2 AND NOT list_contains({stop}, w))"
+    )
+    pairs = (
+        "list_filter(list_transform(list_zip(c[1:len(c) - 1], c[2:]), lambda z: concat(z[1], z[2])),"
+        f" lambda p: regexp_matches(p, '^[{HAN}]{{2}}$') AND NOT list_contains({stop}, p))"
+    )
+    rest = toks(f"regexp_replace(h, '{HAN_BREAK}', ' ', 'g')")
+    words = (
+        f"CASE WHEN regexp_matches(h, '[{HAN}]') THEN list_distinct(list_concat({found}, {pairs}, {rest}))"
+        f" ELSE {toks('h')} END"
+    )
+    return f"""WITH han AS (
+  SELECT doc_id, translate(text, '{derive.LATIN_LETTERS}', '{derive.HAN_LETTERS}') AS h FROM documents),
+split AS (SELECT doc_id, h, regexp_extract_all(regexp_replace(h, '{lexicon}', ' ', 'g'), '(?s).') AS c FROM han),
+words AS (SELECT doc_id, {words} AS t FROM split)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens FROM words"""
+
+
 def all_sql() -> dict[str, str]:
     batch = lit(workloads.BATCH)
     doc_stripped = f"stripped AS (SELECT doc_id AS key, text AS content, {strip('text')} AS s FROM documents)"
@@ -570,6 +592,7 @@ def all_sql() -> dict[str, str]:
         "tokens": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens"
         f" FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
         "han_tokens": _han_tokens(),
+        "lexicon_tokens": _lexicon_tokens(),
         "compliance_long_list": f"""SELECT doc_id, CASE WHEN len(hits) > 0
     THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
       {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg

@@ -46,6 +46,12 @@ def q_han_tokens(spark, sf):
     return found.select("doc_id", F.size("words").alias("n_tokens"), _joined(F.col("words")).alias("tokens"))
 
 
+def q_lexicon_tokens(spark, sf):
+    docs = derive.han_texts(derive.documents(spark, sf, "doc_id", "text"))
+    found = docs.select("doc_id", tokens(F.col("text"), derive.LEXICON).alias("words"))
+    return found.select("doc_id", F.size("words").alias("n_tokens"), _joined(F.col("words")).alias("tokens"))
+
+
 def q_validity_blank_len(spark, sf):
     rules = Rules(min_length=50, max_repeat_rate=1.0, max_continuous_repeat=1_000_000)
     docs = derive.documents(spark, sf, "doc_id", "text").withColumn("_s", strip(F.col("text")))
