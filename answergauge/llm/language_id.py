@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from answergauge.llm.common import in_slices, schema_of
+from answergauge.llm.common import in_slices, schema_of, ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -138,6 +138,7 @@ class LanguageModel:
         self, docs: DataFrame, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score"
     ) -> DataFrame:
         """All columns, and at the end the language and its calibrated probability."""
+        ship_package(docs.sparkSession)
         held = docs.sparkSession.sparkContext.broadcast(self)  # at most BUCKETS * MOST_CLASSES weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
                 {"bucket": np.append(at, BUCKETS).astype(np.int32), "texts": np.append(counts[at], total)}
             )
 
+    ship_package(docs.sparkSession)
     per_task = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, texts long")
     counts = np.zeros(BUCKETS + 1, np.int64)
     for bucket, texts in per_task.groupBy("bucket").agg(F.sum("texts")).collect():  # at most BUCKETS + 1 rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices, schema_of
+from answergauge.llm.common import in_slices, schema_of, ship_package
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("mailbox", "login", "iban", "ssn", "account")
@@ -161,6 +161,7 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and ``spans``, all personal data of the whole text."""
+    ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -178,6 +179,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns, with the personal data in the text replaced by names of kinds in brackets."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_slices(batches, text_col, SLICE_BYTES):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import materialised
+from answergauge.llm.common import materialised, ship_package
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
@@ -99,6 +99,7 @@ def search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, factor: int = 256, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """One row per query and rank: query_id, rank, vec_id, score."""
+    ship_package(vectors.sparkSession)
 
     def usable(df: DataFrame) -> DataFrame:
         chosen = df.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("vector"))
