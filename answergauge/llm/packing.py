@@ -25,58 +25,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices
+from answergauge.llm.common import in_slices, ship_package
 
 CONTEXT = 2048
 SMALLEST_TIER = 64
 STEP_TOKENS = 8 * CONTEXT
 BUFFER_TOKENS = 128 * CONTEXT
 SLICE_BYTES = 2 << 20
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 ID_BYTES = 4
 
 # A space between two others, or the last of several, does not begin a new piece of the pre-tokeniser.
 _JOINED_SPACES = re.compile(r"\s (?:\s|\Z)")
+# A line break between other characters is a piece of its own; beside other white space it may not be.
+_JOINED_LINES = re.compile(r"\s\n|\n(?:\s|\Z)")
+
+
+class _Kept(dict):
+    """Values by key, made where missing, in two generations of bounded size: what a generation does not use goes."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that a byte-level vocabulary writes for bytes: printable Latin-1 for itself, the others
+    numbered on from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids as packed little-endian 32-bit numbers.
 
     The pre-tokeniser never joins what stands before a space with what follows it (except within runs of white
-    space, which go to the tokenizer whole), so the ids of a text are those of its space-led parts,
-    one after the other. Parts recur, and are kept in two generations of bounded size."""
+    space, which go to the tokenizer whole), so the ids of a text are those of its space-led parts, one after
+    the other, and those of a part are those of its words. Both recur, and are kept."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.entries, self.young, self.old = entries, {}, {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(ID_BYTES, "little") for i in e.ids) for e in found]
+        self.model = self.tokenizer.model
+        # Words in Latin script are cut by the tokenizer's own pattern; all others by the tokenizer.
+        self.plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.words, self.parts = _Kept(self._word, entries), _Kept(self._part, entries)
+
+    def rest(self) -> None:
+        """Keep but the newer generation for the next task of this worker."""
+        self.words.old = self.parts.old = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(ID_BYTES, "little") for t in found])
+
+    def _part(self, part: str) -> bytes:
+        if self.plain.fullmatch(part):
+            return b"".join(map(self.words.__getitem__, self.cut(part)))
+        return self._whole(part)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return b"".join([i.to_bytes(ID_BYTES, "little") for i in ids])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [
-            [t or ""] if "\0" in (t or "") or _JOINED_SPACES.search(t or "") else (t or "").replace(" ", "\0 ").split("\0")
-            for t in texts
-        ]
-        missing = []
-        for part in {p for parts in split for p in parts} - self.young.keys():
-            ids = self.old.get(part)
-            if ids is None:
-                missing.append(part)
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif "\0" in text or _JOINED_SPACES.search(text):
+                out.append(self._whole(text))
             else:
-                self.young[part] = ids
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            self.young.update(zip(some, self._encode(some)))
-        ids = [b"".join(map(self.young.__getitem__, parts)) for parts in split]
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
-        return ids
+                marked = text.replace(" ", "\0 ")
+                if "\n" in text and not _JOINED_LINES.search(text):
+                    marked = marked.replace("\n", "\0\n\0")
+                out.append(b"".join(map(self.parts.__getitem__, marked.split("\0"))))
+        self.words.trim()
+        self.parts.trim()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -171,6 +217,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: the document's id, ``start``, ``doc_tokens``, ``ids`` (packed), ``sequence_id``,
     ``offset``, ``tier`` (the sequence's size), ``step_id``."""
+    ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     end = end_id.to_bytes(ID_BYTES, "little")
 
@@ -215,6 +262,7 @@ def pack(
             if packer.held > BUFFER_TOKENS:
                 packer.pack(BUFFER_TOKENS // 2)
             yield ready()
+        encoder.rest()
         if id_type is not None:
             packer.pack(0)
             yield ready()
