@@ -12,9 +12,9 @@ common prefixes, blind tries, built level by level over all groups: each node co
 skips to the first place where any differs, and branches on that byte. Windows equal to the end are repeats of the
 earliest of them.
 
-Spans come back to their documents by a join. Cases: a NULL text is empty; documents are ordered by id, then by
-digest, NULL ids last; rows equal in id and text are one document and get equal results; windows are
-judged on the input, so copies of copies go as well; periodic texts have many short runs, most of them equal;
+Spans come back to their documents by a join. Cases: a NULL text is empty; documents are ordered by id, rows without id
+are last and count as one id; rows with one id are one document, and a string at the same place of two of them is
+no repeat, so rows equal in id and text get equal results; windows are judged on the input, so copies of copies go as well; periodic texts have many short runs, most of them equal;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -25,26 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices, materialised
+from answergauge.llm.common import in_slices, materialised, ship_package
 from answergauge.llm.hashing import BASES, ODD, Ranges, mix
 
 WIDTH = 100
 GRAM = 16
 SHALLOW = 32
 PLACE_BITS = 31
-SLICE_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+SLICE_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 SENT_PER_BYTE = 3.4
 LAST_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
 _PLACE = _U((1 << PLACE_BITS) - 1)
-_HEAD = np.dtype(
-    [("anchor", "<u8"), ("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("at", "<i8"), ("windows", "<i4"), ("offset", "<i4")]
-)
+# What is known of each run of a blob, column by column: the document's id, its number in the slice (as
+# differences), the run's place in it, its windows and where its anchor lies. The anchor itself is in the bytes.
+_HEAD = (("id", np.int64), ("doc", np.int32), ("at", np.int32), ("windows", np.uint8), ("offset", np.uint8))
 
 
 def runs_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     buffer = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((n,), "<u8", buffer, 0, (1,)).copy()
     count = n - GRAM + 1
-    grams = mix(words[:count] * ODD + mix(words[8 : 8 + count]))
+    grams = mix(words[:count] * ODD + mix(words[8 : 8 + count]))  # _grams at every place
     least = (grams & ~_PLACE) | np.arange(count, dtype=np.uint64)
     width, span = WIDTH - GRAM + 1, 1
     while span * 2 <= width:
@@ -166,148 +168,146 @@ def _spans(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.
     return starts[first], (reach - rank * step)[last], owner[first]
 
 
-def _doc_ranks(ids: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
-    order = np.lexsort((d2, d1, ids))
-    fresh = np.zeros(len(order), np.int64)
-    fresh[1:] = (np.diff(ids[order]) != 0) | (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
-    ranks = np.empty(len(order), np.int64)
-    ranks[order] = np.cumsum(fresh)
-    return ranks
+def _grams(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the k-grams at places of a text, of which ``words`` has the eight bytes from each place on."""
+    return mix(words[at] * ODD + mix(words[at + 8]))
 
 
-_SPAN = "bucket int, blob binary, id long, digest binary, starts array<long>, ends array<long>"
+_SPAN = "bucket int, blob binary, slice long, doc int, id long, digest binary, starts array<long>, ends array<long>"
+_ARROW_SPAN = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("blob", pa.binary()),
+        ("slice", pa.int64()),
+        ("doc", pa.int32()),
+        ("id", pa.int64()),
+        ("digest", pa.binary()),
+        ("starts", pa.list_(pa.int64())),
+        ("ends", pa.list_(pa.int64())),
+    ]
+)
 
 
-def _span_batch(rows: list[tuple[int, bytes, list, list]]) -> pa.RecordBatch:
-    numbers = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.nulls(len(rows), pa.int32()),
-            pa.nulls(len(rows), pa.binary()),
-            pa.array([r[0] for r in rows], pa.int64()),
-            pa.array([r[1] for r in rows], pa.binary()),
-            pa.array([r[2] for r in rows], numbers),
-            pa.array([r[3] for r in rows], numbers),
-        ],
-        names=["bucket", "blob", "id", "digest", "starts", "ends"],
-    )
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """Rows of ``_SPAN`` in which other columns are NULL."""
+    made = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW_SPAN]
+    return pa.RecordBatch.from_arrays(made, schema=_ARROW_SPAN)
 
 
-def _grouped(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, ids: np.ndarray, digests) -> list[tuple]:
-    """One row per owner with its united ranges."""
+def _span_batch(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    """One row per owner (slice * 2**32 + document) with its united ranges."""
     starts, ends, owner = _spans(starts, ends, owner)
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    last = np.append(first[1:], len(owner)) if len(owner) else []
-    return [
-        (int(ids[owner[a]]), digests(owner[a]), starts[a:b].tolist(), ends[a:b].tolist()) for a, b in zip(first, last)
-    ]
+    first = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
+    bounds = np.append(first, len(owner)).tolist()
+    return _batch(
+        len(first),
+        slice=owner[first] >> 32,
+        doc=(owner[first] & 0xFFFFFFFF).astype(np.int32),
+        starts=[starts[a:b] for a, b in zip(bounds, bounds[1:])],
+        ends=[ends[a:b] for a, b in zip(bounds, bounds[1:])],
+    )
 
 
 def _deal(buckets: int):
-    """Texts to runs, packed per bucket, and the spans that are settled within a slice."""
+    """Texts to runs, packed per bucket; the spans that are settled within a slice; and which document is which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
         for part in in_slices(batches, "text", SLICE_BYTES):
             texts = part.column("text").to_pylist()
             ids = part.column("id").to_numpy()
-            digests = part.column("digest").to_pylist()
-            halves = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+            yield _batch(
+                len(texts),
+                slice=[number] * len(texts),
+                doc=range(len(texts)),
+                id=part.column("id"),
+                digest=part.column("digest"),
+            )
             data = np.frombuffer(b"".join(texts), np.uint8)
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             start, windows, anchor, gram = runs_of(data, bounds)
             doc = np.searchsorted(bounds, start, "right") - 1
             end = start + windows + (WIDTH - 1)
             at = start - bounds[doc]
-            place = (_doc_ranks(ids, halves[:, 0], halves[:, 1])[doc] << PLACE_BITS) + at
+            _, rank = np.unique(ids[doc], return_inverse=True)
             keys = tuple(Ranges(data, base)(start, end) for base in BASES) + (end - start, anchor - start)
-            lead, later = classed(keys, place)
-            if later.any():
-                rows = _grouped(at[later], at[later] + (end - start)[later], doc[later], ids, digests.__getitem__)
-                yield _span_batch(rows)
+            lead, later = classed(keys, (rank << PLACE_BITS) + at)
+            yield _span_batch(at[later], at[later] + (end - start)[later], (number << 32) + doc[later])
             kept = np.flatnonzero(lead == np.arange(len(lead)))
-            head = np.empty(len(kept), _HEAD)
-            head["anchor"], head["id"] = gram[kept], ids[doc[kept]]
-            head["d1"], head["d2"] = halves[doc[kept], 0], halves[doc[kept], 1]
-            head["at"], head["windows"], head["offset"] = at[kept], windows[kept], (anchor - start)[kept]
             to = (gram[kept] % _U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
             numbers, blobs = [], []
-            for b in range(buckets):
-                some = order[edges[b] : edges[b + 1]]
-                if len(some):
-                    body = gathered(data, start[kept[some]], (end - start)[kept[some]])
-                    raw = np.int64(len(some)).tobytes() + head[some].tobytes() + body.tobytes()
-                    numbers.append(b)
-                    blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True))
-            n = len(numbers)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(numbers, pa.int32()),
-                    pa.array(blobs, pa.binary()),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.binary()),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                ],
-                names=["bucket", "blob", "id", "digest", "starts", "ends"],
-            )
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                some = kept[order[edges[b] : edges[b + 1]]]
+                columns = (ids[doc[some]], np.diff(doc[some], prepend=0), at[some], windows[some], (anchor - start)[some])
+                head = b"".join(c.astype(kind).tobytes() for c, (_, kind) in zip(columns, _HEAD))
+                body = gathered(data, start[some], (end - start)[some])
+                raw = np.int64(len(some)).tobytes() + head + body.tobytes()
+                numbers.append(b)
+                blobs.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True))
+            yield _batch(len(numbers), bucket=numbers, blob=blobs, slice=[number] * len(numbers))
+            number += 1
 
     return run
 
 
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """All spans that the runs of one bucket settle; rows that are spans already pass through."""
-    names = ["bucket", "blob", "id", "digest", "starts", "ends"]
-    blobs = [b for b in table["blob"] if b.is_valid]
-    if not blobs:
-        return table.select(names)
+def _unpacked(blobs: pa.ChunkedArray, slices: list[int]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The heads of all runs, with the slice of each, and their bytes, followed by sixteen more."""
     heads, bodies = [], []
-    for blob in blobs:
+    for blob, own in zip(blobs, slices):
         raw = blob.as_buffer()
         raw = pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd", asbytes=True)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        heads.append(np.frombuffer(raw, _HEAD, n, 8))
-        bodies.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize))
-    head = np.concatenate(heads)
-    sizes = head["windows"].astype(np.int64) + (WIDTH - 1)
+        n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
+        head = {}
+        for name, kind in _HEAD:
+            head[name] = np.frombuffer(raw, kind, n, at).astype(np.int64)
+            at += n * np.dtype(kind).itemsize
+        head["doc"] = np.cumsum(head["doc"]) + (own << 32)
+        heads.append(head)
+        bodies.append(np.frombuffer(raw, np.uint8, offset=at))
+    return (
+        {name: np.concatenate([h[name] for h in heads]) for name, _ in _HEAD},
+        np.concatenate([*bodies, np.zeros(16, np.uint8)]),
+    )
+
+
+def _sort_bucket(table: pa.Table) -> pa.Table:
+    """All spans that the runs of one bucket settle; rows without a bucket pass through."""
+    packed = table.filter(pc.is_valid(table["bucket"]))
+    if not packed.num_rows:
+        return table.select(_ARROW_SPAN.names)
+    head, data = _unpacked(packed["blob"], packed["slice"].to_pylist())
+    sizes = head["windows"] + (WIDTH - 1)
     begin = np.cumsum(sizes) - sizes
-    data = np.concatenate([*bodies, np.zeros(8, np.uint8)])
-    del heads, bodies
-    _, number, times = np.unique(head["anchor"], return_inverse=True, return_counts=True)
+    words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    _, number, times = np.unique(_grams(words, begin + head["offset"]), return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[number] > 1)
-    head, number = head[some], number[some]
-    data, begin, sizes = (
-        np.concatenate([gathered(data, begin[some], sizes[some]), np.zeros(8, np.uint8)]),
-        np.cumsum(sizes[some]) - sizes[some],
-        sizes[some],
-    )
-    docs = _doc_ranks(head["id"], head["d1"], head["d2"])
-    place = (docs << PLACE_BITS) + head["at"]
+    head, number = {name: values[some] for name, values in head.items()}, number[some]
+    begin, sizes = begin[some], sizes[some]
+    data = np.concatenate([gathered(data, begin, sizes), np.zeros(8, np.uint8)])
+    begin = np.cumsum(sizes) - sizes
+    _, rank = np.unique(head["id"], return_inverse=True)
+    at = head["at"]
+    place = (rank << PLACE_BITS) + at
     keys = tuple(Ranges(data, base)(begin, begin + sizes) for base in BASES)
     lead, later = classed((*keys, sizes, head["offset"], number), place)
     whole = np.flatnonzero(later)
     left = np.flatnonzero(lead == np.arange(len(lead)))
     left = left[np.bincount(number[left], minlength=1)[number[left]] > 1]
-    windows = head["windows"][left].astype(np.int64)
+    windows = head["windows"][left]
     run = np.repeat(left, windows)
     inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     groups = number[run] * np.int64(2 * WIDTH) + head["offset"][run] - inside
     later = repeated_windows(data, begin[run] + inside, groups, place[run] + inside)
-    at = head["at"]
     hit, hit_at = run[later], (at[run] + inside)[later]
     starts, ends = np.concatenate([at[whole], hit_at]), np.concatenate([at[whole] + sizes[whole], hit_at + WIDTH])
-    row = np.concatenate([whole, hit])
-    owner = docs[row]
-    some_row = np.zeros(docs.max(initial=-1) + 1, np.int64)
-    some_row[docs] = np.arange(len(docs))
-    pair = np.stack([head["d1"], head["d2"]], 1).astype(">u8")
-    rows = _grouped(starts, ends, owner, head["id"][some_row], lambda d: pair[some_row[d]].tobytes())
-    return pa.Table.from_batches([_span_batch(rows)])
+    return pa.Table.from_batches([_span_batch(starts, ends, head["doc"][np.concatenate([whole, hit])])])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256 and the spans."""
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID)))
     chosen = docs.select(F.col(id_col).alias("own_id"), order.alias("id"), text.alias("text")).withColumn(
@@ -316,12 +316,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total * SENT_PER_BYTE) // BUCKET_BYTES))
     dealt = chosen.select("id", "digest", "text").mapInArrow(_deal(buckets), _SPAN)
-    # Rows that are spans already have no bucket; they go to groups of their own, which hand them on.
-    spread = F.coalesce("bucket", -1 - F.pmod(F.xxhash64("id", "digest"), F.lit(buckets)).cast("int"))
+    # Rows of documents and of spans have no bucket; they go to groups of their own, which hand them on.
+    spread = F.coalesce("bucket", -1 - F.pmod(F.xxhash64("slice", "doc"), F.lit(buckets)).cast("int"))
     found = dealt.groupBy(spread.alias("group")).applyInArrow(_sort_bucket, _SPAN)
-    spans = materialised(found.select("id", "digest", "starts", "ends"))
-    gathered_spans = spans.groupBy("id", "digest").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
+    spans = materialised(found.select("slice", "doc", "id", "digest", "starts", "ends"))
+    both = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends"))
+    of_doc = spans.groupBy("slice", "doc").agg(F.max("id").alias("id"), F.max("digest").alias("digest"), *both)
+    # Rows equal in id and text have equal spans.
+    gathered_spans = (
+        of_doc.where(F.size("starts") > 0)
+        .groupBy("id", "digest")
+        .agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
     )
     joined = chosen.join(gathered_spans, ["id", "digest"], "left").select("own_id", "text", "starts", "ends")
 

@@ -11,19 +11,22 @@ from answergauge.llm import queries, suffix_dedup
 
 
 def brute(docs):
-    """docs: (id, text) in order of appearance; rows equal in both are one document."""
-    order = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, hashlib.sha256(d[1]).digest()[:16]))
-    seen, out = {}, {}
-    for doc in order:
-        data, removed = doc[1], np.zeros(len(doc[1]), bool)
+    """docs: (id, text). A window's place is its document's id and its start; the least place of a string stays."""
+    last = (1 << 63) - 1
+    first, out = {}, []
+    for key, data in docs:
         for i in range(len(data) - 99):
-            if data[i : i + 100] in seen:
+            place = (last if key is None else key, i)
+            first[data[i : i + 100]] = min(place, first.get(data[i : i + 100], place))
+    for key, data in docs:
+        removed = np.zeros(len(data), bool)
+        for i in range(len(data) - 99):
+            if first[data[i : i + 100]] != (last if key is None else key, i):
                 removed[i : i + 100] = True
-            seen[data[i : i + 100]] = True
         kept = np.frombuffer(data, np.uint8)[~removed].tobytes()
         spans = int((np.diff(np.concatenate([[0], removed.astype(int)])) == 1).sum())
-        out[doc] = (len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest())
-    return sorted((str(d[0]), *out[d]) for d in docs)
+        out.append((str(key), len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
 
 
 def cut(df):
