@@ -28,15 +28,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import materialised
+from answergauge.llm.common import materialised, ship_package
 from answergauge.operators.layout import shared_path
 
 LEAST_BYTES = 100
 BLOCK_LINES = 300
 FILE_RECORDS = 5000
+READ_ROWS = 500
 CRLF = "\r\n"
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -52,9 +54,24 @@ _RECORD = (
 )
 
 
+_ARROW_RECORD = pa.schema(
+    [
+        ("url", pa.string()),
+        ("file", pa.string()),
+        ("offset", pa.int64()),
+        ("page_id", pa.int64()),
+        ("record_type", pa.string()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("refers_to", pa.int64()),
+        ("payload", pa.string()),
+    ]
+)
+
+
 def surt(url: str | None) -> str:
     """The key of a url: host labels reversed, then port, path and query; no scheme, user or fragment."""
-    rest = (url or "").split("#", 1)[0]
+    rest = (url or "").replace("\r", "%0D").replace("\n", "%0A").split("#", 1)[0]
     rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://)?", "", rest, count=1)
     at = re.search(r"[/?]", rest)
     host, path = (rest[: at.start()], rest[at.start() :]) if at else (rest, "")
@@ -221,7 +238,31 @@ class CaptureIndex:
         return pointed.groupBy("part", "block").cogroup(blocks).applyInArrow(in_blocks, _CAPTURE)
 
     def fetch(self, captures: DataFrame) -> DataFrame:
-        """The records at the byte ranges of ``captures``, parsed. Each archive that has any is read once."""
+        """The records at the byte ranges of ``captures``, parsed. Only the ranges are read, in order within each
+        archive, where the tasks can open the store; else Spark reads the archives that have any."""
+        store = _opened(self.folder)
+        if store is None:
+            return self._fetch_whole(captures)
+        uri = self.folder
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, root = _opened(uri)
+            name, file = None, None
+            for batch in batches:
+                for at in range(0, batch.num_rows, READ_ROWS):
+                    out = []
+                    some = batch.slice(at, READ_ROWS)
+                    for own, offset, length in zip(*(some.column(c).to_pylist() for c in ("file", "offset", "length"))):
+                        if own != name:
+                            name, file = own, system.open_input_file(f"{root}/{own}")
+                        file.seek(offset)
+                        out.append({"file": own, "offset": offset} | parse_record(file.read(length)))
+                    yield pa.RecordBatch.from_pylist(out, _ARROW_RECORD)
+
+        placed = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+        return placed.mapInArrow(read, _RECORD)
+
+    def _fetch_whole(self, captures: DataFrame) -> DataFrame:
         files = (
             self.spark.read.format("binaryFile")
             .load(self.folder)
@@ -229,32 +270,27 @@ class CaptureIndex:
         )
 
         def read(ranges: pa.Table, content: pa.Table) -> pa.Table:
-            out = []
             held = content["content"][0].as_py() if content.num_rows else b""
-            for file, offset, length in zip(*(ranges[c].to_pylist() for c in ("file", "offset", "length"))):
-                out.append({"file": file, "offset": offset} | parse_record(held[offset : offset + length]))
-            return pa.Table.from_pylist(
-                out,
-                pa.schema(
-                    [
-                        ("url", pa.string()),
-                        ("file", pa.string()),
-                        ("offset", pa.int64()),
-                        ("page_id", pa.int64()),
-                        ("record_type", pa.string()),
-                        ("payload_bytes", pa.int64()),
-                        ("payload_digest", pa.string()),
-                        ("refers_to", pa.int64()),
-                        ("payload", pa.string()),
-                    ]
-                ),
-            )
+            rows = [
+                {"file": file, "offset": offset} | parse_record(held[offset : offset + length])
+                for file, offset, length in zip(*(ranges[c].to_pylist() for c in ("file", "offset", "length")))
+            ]
+            return pa.Table.from_pylist(rows, _ARROW_RECORD)
 
         return captures.groupBy("file").cogroup(files.groupBy("file")).applyInArrow(read, _RECORD)
 
 
+def _opened(uri: str):
+    """The file system and the path of a folder, if pyarrow has the file system; else None."""
+    try:
+        return FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    except (pa.ArrowException, OSError):
+        return None
+
+
 def build_index(spark: SparkSession, folder: str, block_lines: int = BLOCK_LINES) -> CaptureIndex:
     """Parses the archives in ``folder`` and builds both levels of the index."""
+    ship_package(spark)
 
     def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
