@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import WORD, in_slices, materialised
+from answergauge.llm.common import WORD, in_slices, materialised, ship_package
 from answergauge.llm.hashing import ODD, Ranges, mix
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ ROUNDS = 3
 BUCKET_BITS = 18
 DRAW_BITS = 14
 FILTER_BITS = 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
@@ -145,6 +145,7 @@ def node_of(text: Column) -> Column:
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     """Node and text of all rows that take part."""
+    ship_package(docs.sparkSession)
     text = F.col(text_col).cast("string")
     return docs.select(node_of(F.col(text_col)).alias("node"), text.cast("binary").alias("text")).where(
         F.col("node").isNotNull()
