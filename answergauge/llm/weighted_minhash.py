@@ -6,9 +6,10 @@ Document frequencies are counted over all documents, in a fixed number of hashed
 ``BANDS * ROWS`` weighted samples; texts that agree on a whole band become candidates, and candidates
 are verified by the weighted Jaccard similarity of their full shingle vectors.
 
-Equal texts are one node from the start. Within a bucket, every node is compared with one centre, never with all
-others; nodes that the comparison leaves in other components than their centre meet new centres, chosen
-by other hashes, in further rounds. So work is linear in the bucket, and buckets are combined before the shuffle.
+Equal texts are one node from the start. Within a bucket, every node is first compared with one centre, and again
+with other centres in ``ROUNDS`` rounds, which is linear in the bucket and unites large groups. What is then left
+apart in one bucket is settled exactly: every pair of two components that shares a bucket is verified, unless
+filters that lose no pair (prefixes of the rarest shingles, and the weight from the first common one on) rule it out.
 
 Cases: NULL texts and texts without a word are classes of their own; texts of fewer than five words have one
 shingle, of all their words; repeated rows share a class; the class is named by its smallest id, NULL
@@ -23,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergauge.llm.common import WORD, in_slices, materialised, ship_package
@@ -292,6 +293,12 @@ def node_classes(
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
         labels = components(labels, materialised(_verified(pairs, vectors, idf, least)))
+    pairs = _rest_pairs(members, labels, vectors, idf, least)
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = materialised(pairs)
+    if pairs.limit(1).count():
+        labels = components(labels, materialised(_verified(pairs, vectors, idf, least)))
     copies = (
         docs.select(node_of(F.col(text_col)).alias("node"), F.col(id_col).alias("id"))
         .where(F.col("node").isNotNull())
@@ -351,3 +358,80 @@ def _star_pairs(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame
     )
     met = one.join(centre, "key").where("label != c_label").select(F.col("one.node").alias("n"), "c")
     return met.select(F.least("n", "c").alias("a"), F.greatest("n", "c").alias("b")).distinct()
+
+
+def _shingle_weights(vectors: DataFrame, idf) -> DataFrame:
+    """node, hash, weight: one row per distinct shingle of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_slices(batches, "hashes", SLICE_BYTES):
+            packed = part.column("hashes").to_pylist()
+            bounds = np.concatenate([[0], np.cumsum([len(p) // 8 for p in packed])]).astype(np.int64)
+            hashes, times, bounds = _weighted(np.frombuffer(b"".join(packed), _U), bounds)
+            owner = np.repeat(np.arange(len(packed)), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("node").take(pa.array(owner)),
+                    pa.array(hashes.view(np.int64)),
+                    pa.array(times * idf.value[bucket(hashes)], pa.float64()),
+                ],
+                names=["node", "hash", "weight"],
+            )
+
+    return vectors.mapInArrow(run, "node binary, hash long, weight double")
+
+
+def _rest_pairs(members: DataFrame, labels: DataFrame, vectors: DataFrame, idf, least: float) -> DataFrame:
+    """All pairs of nodes that share a bucket, are in different components and may have a similarity of ``least``.
+
+    Such a pair has an overlap of at least ``least`` times either weight. All common shingles stand at or after
+    the first common one, with the rarest first; so that one lies where the weight from it on is as much, in both
+    texts, and only such shingles are joined on. Two nodes alone in a bucket have met in round 0."""
+    slack = 1 - 1e-9
+    labelled = members.join(labels, "node")
+    unsettled = (
+        labelled.groupBy("key")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+        .where("lo != hi and n > 2")
+        .select("key")
+    )
+    nodes = materialised(
+        labelled.join(unsettled, "key", "left_semi")
+        .groupBy("node")
+        .agg(F.first("label").alias("label"), F.collect_list("key").alias("keys"))  # at most BANDS keys
+    )
+    weighed = materialised(_shingle_weights(vectors.join(nodes.select("node"), "node", "left_semi"), idf))
+    shared = weighed.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
+    of_node = Window.partitionBy("node")  # as long as the node's text
+    onward = of_node.orderBy(F.col("df").desc_nulls_last(), F.col("hash").desc())
+    first = (
+        weighed.join(shared, "hash", "left")
+        .select(
+            "node", "hash", "df", F.sum("weight").over(of_node).alias("total"), F.sum("weight").over(onward).alias("onward")
+        )
+        .where(F.col("df").isNotNull() & (F.col("onward") >= F.col("total") * (least * slack)))
+        .drop("df")
+    )
+    postings = materialised(first.join(nodes, "node"))
+    # Components first, then their nodes: pairs within a component are never made.
+    groups = postings.groupBy("hash", F.col("label").alias("other")).agg(
+        F.max("onward").alias("most"), F.min("total").alias("lightest")
+    )
+    share = least / (1 + least) * slack
+    met = postings.join(groups, "hash").where(
+        (F.col("label") < F.col("other"))
+        & (F.least("onward", "most") >= (F.col("total") + F.col("lightest")) * share)
+    )
+    others = postings.select(
+        "hash",
+        F.col("label").alias("other"),
+        F.col("node").alias("n"),
+        F.col("keys").alias("n_keys"),
+        F.col("total").alias("n_total"),
+        F.col("onward").alias("n_onward"),
+    )
+    both = met.drop("most", "lightest").join(others, ["hash", "other"]).where(
+        (F.least("onward", "n_onward") >= (F.col("total") + F.col("n_total")) * share)
+        & F.arrays_overlap("keys", "n_keys")
+    )
+    return both.select(F.least("node", "n").alias("a"), F.greatest("node", "n").alias("b")).distinct()

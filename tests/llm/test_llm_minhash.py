@@ -102,3 +102,19 @@ def test_one_of_each_class_stays(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     assert near.classes(table).count() == 0 and near.deduplicate(table).count() == 0
+
+
+def test_families_over_a_shared_template(spark):
+    """Pairs of texts around 0.82 in buckets full of other pairs, which are alike to about 0.7 over a template."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(118)], []
+    for family in range(200):
+        base = template + [word() for _ in range(6)]
+        rows += [(2 * family + copy, " ".join(base + [word() for _ in range(9)])) for copy in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = near.inverse_document_frequencies(near._texts(table, "text"))
+    want = brute(rows, idf)
+    assert sum(i != c for i, c in want) > 150 and len({c for _, c in want}) > 150
+    got = near.classes(table).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in got) == want
