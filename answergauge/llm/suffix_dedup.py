@@ -4,7 +4,8 @@ Dealing out. A window (a string of ``WIDTH`` bytes) is anchored at its least k-g
 equal anchors at equal places. Windows that follow each other with one anchor are a run. Runs are dealt to
 buckets by their anchor, so equal windows meet, and a text is sent as about three times its bytes whatever
 repeats in it. Runs that a task sees twice are settled there and sent once, which keeps anchors of
-frequent passages small.
+frequent passages small. Anchors whose runs would still be more than a bucket, as their surroundings differ, are hot:
+each of their windows is dealt alone, by the anchor's place in it and the hash of the whole window, which equal windows share.
 
 Sorting. In a bucket, anchors with one run are done; equal runs are settled at once. Of the others, the suffixes at
 all windows are sorted: multikey quicksort by words of eight bytes to the shallow depth, then, for groups with longer
@@ -40,6 +41,7 @@ PLACE_BITS = 31
 SLICE_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 SENT_PER_BYTE = 3.4
+HOT_BITS = 20
 LAST_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -208,38 +210,104 @@ def _span_batch(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> pa.R
     )
 
 
-def _deal(buckets: int):
+def _slice_runs(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The bytes of a slice, the bounds of its texts and its runs: start, windows, place and hash of the anchor,
+    document, and place by document and start; ``kept`` are the runs that no earlier one equals, ``later`` the repeats."""
+    texts = part.column("text").to_pylist()
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    start, windows, anchor, gram = runs_of(data, bounds)
+    doc = np.searchsorted(bounds, start, "right") - 1
+    end = start + windows + (WIDTH - 1)
+    _, rank = np.unique(part.column("id").to_numpy()[doc], return_inverse=True)
+    place = (rank << PLACE_BITS) + start - bounds[doc]
+    keys = tuple(Ranges(data, base)(start, end) for base in BASES) + (end - start, anchor - start)
+    lead, later = classed(keys, place)
+    kept = np.flatnonzero(lead == np.arange(len(lead)))
+    return dict(
+        data=data, bounds=bounds, start=start, windows=windows, anchor=anchor, gram=gram, doc=doc, place=place, kept=kept, later=later
+    )
+
+
+def _bin(gram: np.ndarray) -> np.ndarray:
+    return (mix(gram ^ ODD) >> _U(64 - HOT_BITS)).astype(np.int64)
+
+
+def hot_bins(texts: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """The bins of anchors whose runs come to ``BUCKET_BYTES`` or more, and how many windows they have.
+
+    A task reports the bins that hold at least their part, by its share of all bytes, of half that much. So all that
+    goes unreported of a bin is below that half, and no such bin is missed; reported bins grow with the number of
+    buckets, not of anchors."""
+    half = BUCKET_BYTES / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, many, held = np.zeros(1 << HOT_BITS), np.zeros(1 << HOT_BITS), 0
+        for part in in_slices(batches, "text", SLICE_BYTES):
+            runs = _slice_runs(part)
+            windows, to = runs["windows"][runs["kept"]], _bin(runs["gram"][runs["kept"]])
+            mass += np.bincount(to, windows + (WIDTH - 1), 1 << HOT_BITS)
+            many += np.bincount(to, windows, 1 << HOT_BITS)
+            held += len(runs["data"])
+        at = np.flatnonzero((mass > 0) & (mass >= half * held / max(total, 1)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at), pa.array(mass[at].astype(np.int64)), pa.array(many[at].astype(np.int64))],
+            names=["bin", "mass", "windows"],
+        )
+
+    reported = texts.mapInArrow(run, "bin long, mass long, windows long").groupBy("bin")
+    hot = reported.agg(F.sum("mass").alias("mass"), F.sum("windows").alias("windows")).where(F.col("mass") >= half)
+    found = hot.collect()  # at most 2 * SENT_PER_BYTE rows per BUCKET_BYTES of input
+    return np.sort(np.array([r["bin"] for r in found], np.int64)), sum(r["windows"] for r in found)
+
+
+def _deal(buckets: int, hot: np.ndarray):
     """Texts to runs, packed per bucket; the spans that are settled within a slice; and which document is which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for part in in_slices(batches, "text", SLICE_BYTES):
-            texts = part.column("text").to_pylist()
             ids = part.column("id").to_numpy()
             yield _batch(
-                len(texts),
-                slice=[number] * len(texts),
-                doc=range(len(texts)),
+                part.num_rows,
+                slice=[number] * part.num_rows,
+                doc=range(part.num_rows),
                 id=part.column("id"),
                 digest=part.column("digest"),
             )
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            start, windows, anchor, gram = runs_of(data, bounds)
-            doc = np.searchsorted(bounds, start, "right") - 1
-            end = start + windows + (WIDTH - 1)
-            at = start - bounds[doc]
-            _, rank = np.unique(ids[doc], return_inverse=True)
-            keys = tuple(Ranges(data, base)(start, end) for base in BASES) + (end - start, anchor - start)
-            lead, later = classed(keys, (rank << PLACE_BITS) + at)
-            yield _span_batch(at[later], at[later] + (end - start)[later], (number << 32) + doc[later])
-            kept = np.flatnonzero(lead == np.arange(len(lead)))
-            to = (gram[kept] % _U(buckets)).astype(np.int64)
+            runs = _slice_runs(part)
+            data, bounds, later = runs["data"], runs["bounds"], runs["later"]
+            start, windows, anchor, doc = (runs[c] for c in ("start", "windows", "anchor", "doc"))
+            at, size = start - bounds[doc], windows + (WIDTH - 1)
+            yield _span_batch(at[later], at[later] + size[later], (number << 32) + doc[later])
+            kept = runs["kept"]
+            to = (runs["gram"][kept] % _U(buckets)).astype(np.int64)
+            is_hot = np.isin(_bin(runs["gram"][kept]), hot)
+            single = kept[is_hot]
+            # Windows of hot anchors become runs of one window each, sent once per slice.
+            own = np.repeat(single, windows[single])
+            inside = np.arange(len(own)) - np.repeat(np.cumsum(windows[single]) - windows[single], windows[single])
+            first = start[own] + inside
+            offset = anchor[own] - first
+            hashes = tuple(Ranges(data, base)(first, first + WIDTH) for base in BASES) if len(own) else (first, first)
+            lead, later = classed((*hashes, offset), runs["place"][own] + inside)
+            hit = np.flatnonzero(later)
+            yield _span_batch(
+                (at[own] + inside)[hit], (at[own] + inside)[hit] + WIDTH, (number << 32) + doc[own[hit]]
+            )
+            sent = np.flatnonzero(lead == np.arange(len(lead)))
+            spread = mix(hashes[0][sent].astype(np.uint64) + offset[sent].astype(np.uint64) * ODD) % _U(buckets)
+            kept, to = kept[~is_hot], np.concatenate([to[~is_hot], spread.astype(np.int64)])
+            start = np.concatenate([start[kept], first[sent]])
+            windows = np.concatenate([windows[kept], np.ones(len(sent), np.int64)])
+            anchor = np.concatenate([anchor[kept], anchor[own[sent]]])
+            doc = np.concatenate([doc[kept], doc[own[sent]]])
+            at, end = start - bounds[doc], start + windows + (WIDTH - 1)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(buckets + 1))
             numbers, blobs = [], []
             for b in np.flatnonzero(np.diff(edges)).tolist():
-                some = kept[order[edges[b] : edges[b + 1]]]
+                some = order[edges[b] : edges[b + 1]]
                 columns = (ids[doc[some]], np.diff(doc[some], prepend=0), at[some], windows[some], (anchor - start)[some])
                 head = b"".join(c.astype(kind).tobytes() for c, (_, kind) in zip(columns, _HEAD))
                 body = gathered(data, start[some], (end - start)[some])
@@ -314,8 +382,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
     )
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-int(total * SENT_PER_BYTE) // BUCKET_BYTES))
-    dealt = chosen.select("id", "digest", "text").mapInArrow(_deal(buckets), _SPAN)
+    hot, hot_windows = hot_bins(chosen.select("id", "text"), total)
+    buckets = max(1, -(-int(total * SENT_PER_BYTE + hot_windows * WIDTH) // BUCKET_BYTES))
+    dealt = chosen.select("id", "digest", "text").mapInArrow(_deal(buckets, hot), _SPAN)
     # Rows of documents and of spans have no bucket; they go to groups of their own, which hand them on.
     spread = F.coalesce("bucket", -1 - F.pmod(F.xxhash64("slice", "doc"), F.lit(buckets)).cast("int"))
     found = dealt.groupBy(spread.alias("group")).applyInArrow(_sort_bucket, _SPAN)

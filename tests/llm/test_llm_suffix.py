@@ -56,6 +56,32 @@ def test_small_documents_in_small_slices(spark, monkeypatch):
         assert got == brute([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_a_hot_anchor_is_split(spark, monkeypatch):
+    """One short phrase in many different surroundings, and some texts that repeat one another around it."""
+    most = 20000
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", most)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("bcdefgh ") for _ in range(n))
+
+    def gram(t):
+        words = np.frombuffer(t.encode(), "<u8")
+        return int(suffix_dedup.mix(words[:1] * suffix_dedup.ODD + suffix_dedup.mix(words[1:]))[0])
+
+    phrase = min((text(16) for _ in range(3000)), key=gram)  # the anchor of nearly all windows that hold it
+    rows = [(i, text(rng.randint(80, 120)) + phrase + text(rng.randint(80, 120))) for i in range(600)]
+    rows += [(600 + i, "Q" + rows[7 * i][1][30:]) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = suffix_dedup._sort_bucket
+
+    def bounded(group):
+        held = sum(int.from_bytes(b[:8], "little") for b in group["blob"].to_pylist() if b is not None)
+        assert held < 4 * most, held
+        return whole(group)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_bucket", bounded)
+    assert cut(suffix_dedup.remove_repeats(table)) == brute([(i, t.encode()) for i, t in rows])
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r[0], (r[1] or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
