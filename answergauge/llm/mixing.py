@@ -1,7 +1,7 @@
 """Mixing sources to target weights: capped water-filling, then seeded whole and fractional repetitions.
 
 Only DataFrame functions. Cases: a NULL text has size 0; a NULL source is a source of its own, last in
-order; a source of size 0 has target 0; repeated rows (same id and text) are taken alike; a share above
+order; a source of size 0 has target 0; repeated rows (same id and text) are told apart by a number; a share above
 the maximum of epochs gives every source its maximum; an empty table gives no rows. Only the id, the text
 and the source column are read; names that begin with ``_mix`` are reserved.
 """
@@ -18,7 +18,7 @@ from answergauge.llm.common import WORD, materialised, ranked
 DIGIT_BITS = 10
 DIGITS = 3
 TICKET_BITS = 63
-FILLS = 4
+PARTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -68,13 +68,36 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     return sources.withColumn("_mix_target", F.least(cap, F.lit(level) * F.col("_mix_weight")).cast("double"))
 
 
+def _numbered(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Gives rows of one source, id and text tickets of their own, the same set of them at every reading.
+
+    ``shared`` has the tickets that stand more than once. Their rows are numbered within ``PARTS`` parts and the
+    parts put one after the other, so many equal rows are no hot task."""
+    if shared is None:
+        return rows
+    group = F.xxhash64("_mix_source", "_mix_ticket")
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+    many = materialised(rows.join(shared, "_mix_ticket", "left_semi").withColumns({"_mix_group": group, "_mix_part": part}))
+    counts = many.groupBy("_mix_group", "_mix_part").agg(F.count("*").alias("_mix_n"))
+    earlier = Window.partitionBy("_mix_group").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_mix_group", "_mix_part", F.coalesce(F.sum("_mix_n").over(earlier), F.lit(0)).alias("_mix_n"))
+    within = F.row_number().over(Window.partitionBy("_mix_group", "_mix_part").orderBy("_mix_ticket"))
+    number = F.col("_mix_n") + F.col("_mix_row") - 1
+    own = F.when(number == 0, F.col("_mix_ticket")).otherwise(
+        F.shiftrightunsigned(F.xxhash64("_mix_ticket", number), 1)
+    )
+    told = many.withColumn("_mix_row", within).join(before, ["_mix_group", "_mix_part"]).withColumn("_mix_ticket", own)
+    return rows.join(shared, "_mix_ticket", "left_anti").select(*rows.columns).unionAll(told.select(*rows.columns))
+
+
 def _cut(tickets: DataFrame, state: DataFrame) -> DataFrame:
-    """Finds per source the ticket prefix below which the extra repetition takes every document.
+    """Finds per source the last ticket up to which ``tickets`` are taken without going over ``_mix_rest``.
 
     A radix selection: each round sums the sizes by the next digit of the tickets that share the boundary
     prefix so far, which combines before it is shuffled, so a source with a third of the rows is no hot
-    task. Adds ``_mix_cut`` (the boundary prefix) and ``_mix_rest`` (what the documents below it leave)."""
-    state = state.withColumns({"_mix_cut": F.lit(0).cast("long"), "_mix_rest": F.col("_mix_extra")})
+    task; the few tickets that share the whole prefix are then taken in order. Adds the pass (the largest size that
+    it took and its last ticket) to ``_mix_passes`` and lessens ``_mix_rest`` by what was taken."""
+    state = state.withColumns({"_mix_cut": F.lit(0).cast("long"), "_mix_limit": F.col("_mix_rest")})
     for k in range(1, DIGITS + 1):
         prefix = F.shiftrightunsigned(F.col("_mix_ticket"), TICKET_BITS - k * DIGIT_BITS)
         inside = _with(tickets, state).where(F.shiftrightunsigned(prefix, DIGIT_BITS) == F.col("_mix_cut"))
@@ -104,7 +127,32 @@ def _cut(tickets: DataFrame, state: DataFrame) -> DataFrame:
                 }
             ).drop("_mix_first", "_mix_last", "_mix_all")
         )
-    return state
+    width = DIGITS * DIGIT_BITS
+    low = TICKET_BITS - width
+    edge = _with(tickets, state).where(F.shiftrightunsigned("_mix_ticket", low) == F.col("_mix_cut"))
+    upto = F.sum("_mix_size").over(Window.partitionBy("_mix_source").orderBy("_mix_ticket"))
+    edge = edge.select("_mix_source", "_mix_ticket", "_mix_rest", upto.alias("_mix_upto"))
+    over = F.col("_mix_upto") > F.col("_mix_rest")
+    found = edge.groupBy(F.col("_mix_source").alias("_mix_key")).agg(
+        F.min(F.when(over, F.col("_mix_ticket"))).alias("_mix_first"),
+        F.max(F.when(~over, F.col("_mix_upto"))).alias("_mix_more"),
+    )
+    beyond = F.when(F.col("_mix_cut") >= 1 << width, F.lit((1 << TICKET_BITS) - 1)).otherwise(
+        F.shiftleft("_mix_cut", low) - 1
+    )
+    one = F.struct(
+        F.col("_mix_limit").cast("double").alias("limit"), F.coalesce(F.col("_mix_first") - 1, beyond).alias("last")
+    )
+    return materialised(
+        state.join(found, F.col("_mix_source").eqNullSafe(F.col("_mix_key")), "left")
+        .withColumns(
+            {
+                "_mix_passes": F.concat("_mix_passes", F.array(one)),
+                "_mix_rest": F.col("_mix_rest") - F.coalesce("_mix_more", F.lit(0)),
+            }
+        )
+        .drop("_mix_key", "_mix_first", "_mix_more", "_mix_cut", "_mix_limit")
+    )
 
 
 def _with(tickets: DataFrame, state: DataFrame) -> DataFrame:
@@ -114,8 +162,9 @@ def _with(tickets: DataFrame, state: DataFrame) -> DataFrame:
     return tickets.join(keyed, F.col("_mix_source").eqNullSafe(F.col("_mix_key"))).drop("_mix_key")
 
 
-def _below(width: int = DIGITS * DIGIT_BITS) -> Column:
-    return F.shiftrightunsigned(F.col("_mix_ticket"), TICKET_BITS - width) < F.col("_mix_cut")
+def _passed() -> Column:
+    """Whether a pass took the row: it was small enough for the pass and its ticket was not beyond the last."""
+    return F.exists("_mix_passes", lambda p: (F.col("_mix_size") <= p["limit"]) & (F.col("_mix_ticket") <= p["last"]))
 
 
 @dataclass(frozen=True)
@@ -127,9 +176,10 @@ class Mixture:
     id_col: str
     text_col: str
     source_col: str
+    shared: DataFrame | None = None
 
     def _taken(self, rows: DataFrame) -> DataFrame:
-        extra = _below() | F.array_contains(F.col("_mix_fills"), F.col("_mix_ticket"))
+        extra = _passed() | F.coalesce(F.col("_mix_ticket") == F.col("_mix_fill"), F.lit(False))
         repeats = F.col("_mix_whole") + F.when(extra & (F.col("_mix_extra") > 0), 1).otherwise(0)
         return _with(rows, self.state).withColumn("_mix_repeats", repeats)
 
@@ -146,7 +196,7 @@ class Mixture:
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """The mixed documents themselves: each row as often as the mixture takes it."""
-        tickets = sized(docs, self.id_col, self.text_col, self.source_col, self.seed)
+        tickets = _numbered(sized(docs, self.id_col, self.text_col, self.source_col, self.seed), self.shared)
         copies = F.explode(F.sequence(F.lit(1), F.col("_mix_repeats")))
         taken = self._taken(tickets).where(F.col("_mix_repeats") > 0)
         return taken.withColumn("_mix_copy", copies).select(*docs.columns)
@@ -166,13 +216,18 @@ def mix(
 
     ``weights`` are dealt out in order of the sources, or come as a table (source, weight). Every document is
     taken whole ``floor(target / size)`` times. What is left of the target is filled by one more
-    repetition of the documents with the lowest seeded tickets, then by the largest documents that still
-    fit and the one that comes nearest, so the words taken miss the target by half a small document or so."""
+    repetition of the documents with the lowest seeded tickets, pass by pass over those that still fit until none
+    does, and by one more where it comes nearer to the target. A pass ends at a document larger than its rest."""
     tickets = materialised(
         sized(docs, id_col, text_col, source_col, seed).select(
             F.col(id_col), "_mix_source", "_mix_size", "_mix_ticket"
         )
     )
+    shared = materialised(tickets.groupBy("_mix_ticket").count().where("count > 1").select("_mix_ticket"))
+    if shared.limit(1).count():
+        tickets = materialised(_numbered(tickets, shared))
+    else:
+        shared = None
     sources = tickets.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_source_size"))
     if isinstance(weights, DataFrame):
         given = weights.select(F.col(weights.columns[0]).alias("_mix_key"), F.col(weights.columns[1]).alias("_w"))
@@ -189,36 +244,26 @@ def mix(
             "_mix_extra", F.col("_mix_target") - F.col("_mix_whole") * size
         )
     )
-    state = _cut(tickets, state).withColumn("_mix_fills", F.array().cast("array<bigint>"))
-    for k in range(FILLS):
-        # The largest document that fits; in the last round, the one that comes nearest, also from above.
-        most, off = (1, F.lit(0)) if k < FILLS - 1 else (2, F.abs(F.col("_mix_rest") - F.col("_mix_size")))
-        fits = (
-            ~_below()
-            & (F.col("_mix_size") > 0)
-            & (F.col("_mix_size") <= F.col("_mix_rest") * most)
-            & ~F.array_contains(F.col("_mix_fills"), F.col("_mix_ticket"))
-        )
-        best = (
-            _with(tickets, state)
-            .where(fits)
-            .groupBy("_mix_source")
-            .agg(F.max(F.struct((-off).alias("off"), "_mix_size", "_mix_ticket")).alias("_mix_best"))
-            .withColumnRenamed("_mix_source", "_mix_key")
-        )
-        state = materialised(
-            state.join(best, F.col("_mix_source").eqNullSafe(F.col("_mix_key")), "left")
-            .withColumns(
-                {
-                    "_mix_fills": F.concat(
-                        "_mix_fills",
-                        F.when(
-                            F.col("_mix_best").isNotNull(), F.array(F.col("_mix_best._mix_ticket"))
-                        ).otherwise(F.array().cast("array<bigint>")),
-                    ),
-                    "_mix_rest": F.col("_mix_rest") - F.coalesce(F.col("_mix_best._mix_size"), F.lit(0)),
-                }
-            )
-            .drop("_mix_key", "_mix_best")
-        )
-    return Mixture(state, seed, id_col, text_col, source_col), tickets
+    passes = F.array().cast("array<struct<limit:double,last:bigint>>")
+    state = state.withColumns({"_mix_rest": F.col("_mix_extra"), "_mix_passes": passes})
+    left = tickets
+    while True:
+        fits = (F.col("_mix_size") > 0) & (F.col("_mix_size") <= F.col("_mix_rest")) & ~_passed()
+        left = materialised(_with(left, state).where(fits).select(*tickets.columns))
+        if not left.limit(1).count():
+            break
+        state = _cut(left, state)  # takes at least the first that fits
+    # Nothing fits any more; the document that comes nearest from above, if it misses by less.
+    nearest = (
+        _with(tickets, state)
+        .where((F.col("_mix_size") > F.col("_mix_rest")) & (F.col("_mix_size") <= F.col("_mix_rest") * 2) & ~_passed())
+        .groupBy("_mix_source")
+        .agg(F.min(F.struct("_mix_size", "_mix_ticket")).alias("_mix_best"))
+        .withColumnRenamed("_mix_source", "_mix_key")
+    )
+    state = materialised(
+        state.join(nearest, F.col("_mix_source").eqNullSafe(F.col("_mix_key")), "left")
+        .withColumn("_mix_fill", F.col("_mix_best._mix_ticket"))
+        .drop("_mix_key", "_mix_best")
+    )
+    return Mixture(state, seed, id_col, text_col, source_col, shared), tickets

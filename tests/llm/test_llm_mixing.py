@@ -77,6 +77,29 @@ def test_weights_from_a_table_and_more_than_all(spark):
     assert all(r["taken"] == 2 * r["size"] for r in mixture.plan(tickets).collect())
 
 
+def test_a_long_text_at_the_cut_and_equal_rows(spark):
+    """Sources of many short texts and a long one, and a source of one row many times: all come near their targets."""
+    rng = random.Random(8)
+    rows = []
+    for source in "abcdefgh":
+        rows += [(len(rows) + i, "w " * rng.randint(10, 60), source) for i in range(300)]
+        rows.append((len(rows), "w " * 4000, source))
+    rows += [(99999, "w " * 100, "z")] * 41
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text) // 2
+    weights = spark.createDataFrame([(s, float(n)) for s, n in sizes.items()], "source string, weight double")
+    mixture, tickets = mixing.mix(table, weights, share=0.5)
+    taken = {}
+    for r in mixture.plan(tickets).collect():
+        taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+    assert len(taken) == len(sizes)
+    for source, size in sizes.items():
+        assert abs(taken[size] - size / 2) <= (50 if source == "z" else 0.005 * size)
+    assert mixture.rows(table).where("source = 'z'").count() in (20, 21)
+
+
 def test_empty_table(spark):
     mixture, tickets = mixing.mix(spark.createDataFrame([], SCHEMA))
     assert mixture.plan(tickets).count() == 0
