@@ -1,13 +1,13 @@
-"""The queries of the ten operators and their SQL where SQL can express them."""
+"""The queries of the operators and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import capture_index, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
+from answergauge.llm import capture_index, chat_format, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
 from answergauge.llm.common import id_remainder, table
 
 
@@ -167,6 +167,66 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_records(turns: DataFrame) -> DataFrame:
+    """The rows of ``conversations`` as records in the layouts that data of this kind has: by conversation, rows as they
+    are, lists of messages under two sets of names, prompts with completions, instructions with outputs."""
+    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+
+    def fields(**names: str) -> Column:
+        """A field named after the role; other roles stand in a list of messages."""
+        named = F.lit(None).cast("string")
+        for of, name in names.items():
+            named = F.when(role == of, F.to_json(F.struct(text.alias(name)))).otherwise(named)
+        return F.coalesce(named, messages)
+
+    def listed(at: str, who: Column, role_name: str, text_name: str) -> Column:
+        item = F.struct(who.alias(role_name), text.alias(text_name), F.col("turn").alias("weight"))
+        return F.to_json(F.struct(F.array(item).alias(at), F.col("conv_id").alias("id")))
+
+    messages = listed("messages", role, "role", "content")
+    speaker = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    known = role.isin("user", "assistant", "system")
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(5))
+    record = (
+        F.when(kind == 1, messages)
+        .when((kind == 2) & known, listed("conversations", speaker, "from", "value"))
+        .when(kind == 3, fields(system="system", user="prompt", assistant="completion"))
+        .when(kind == 4, fields(system="system", user="instruction", assistant="output"))
+        .otherwise(F.to_json(F.struct(F.coalesce(role, F.lit("")).alias("role"), text.alias("text"), "conv_id", "turn")))
+    )
+    return turns.select("conv_id", "turn", record.alias("record"))
+
+
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
+    turns = turns.unionByName(spark.createDataFrame(hard, turns.schema))
+    return chat_format.read_back(chat_format.format_turns(chat_format.turns_of(chat_records(turns))))
+
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(replace(replace(role, '', '\'), chr(10), '
+'))
+    + length(replace(replace(text, '### ', '\### '), '</turn>', '\</turn>')) + 15 AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -175,4 +235,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL, "op9_capture_index": OP9_SQL}
+    return {
+        "op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL, "op9_capture_index": OP9_SQL,
+        "op13_chat_format": OP13_SQL,
+    }
