@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import capture_index, chat_format, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
+from answergauge.llm import capture_index, chat_format, divergence, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
 from answergauge.llm.common import id_remainder, table
 
 
@@ -167,6 +167,51 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), found AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT k) >= 10
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT lang, source, term, lang_n, coalesce(n, 0) AS n
+  FROM groups JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+), totals AS (
+  SELECT lang, source, sum(n) AS total, sum(lang_n) AS lang_total, count(*) AS v FROM dense GROUP BY ALL
+), chances AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000 * (n + 2)::HUGEINT) // (total + 2 * v)::HUGEINT AS p,
+    1 + (1000000000 * (lang_n + 2)::HUGEINT) // (lang_total + 2 * v)::HUGEINT AS q
+  FROM dense JOIN totals USING (lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM chances a JOIN chances b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+  FROM chances WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def chat_records(turns: DataFrame) -> DataFrame:
     """The rows of ``conversations`` as records in the layouts that data of this kind has: by conversation, rows as they
     are, lists of messages under two sets of names, prompts with completions, instructions with outputs."""
@@ -237,5 +282,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_sql() -> dict[str, str]:
     return {
         "op3_exact_topk": OP3_SQL, "op7_line_quality": OP7_SQL, "op9_capture_index": OP9_SQL,
+        "op12_source_divergence": OP12_SQL,
         "op13_chat_format": OP13_SQL,
     }
