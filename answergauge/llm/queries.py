@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import capture_index, chat_format, divergence, language_id, lattice_lm, line_quality, mixing, packing, pii, suffix_dedup, topk, weighted_minhash
+from answergauge.llm import capture_index, chat_format, divergence, language_id, lattice_lm, line_quality, mixing, packing, pii, spelling, suffix_dedup, topk, weighted_minhash
 from answergauge.llm.common import id_remainder, table
 
 
@@ -167,6 +167,10 @@ def op10_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 

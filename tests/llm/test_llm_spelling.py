@@ -1,0 +1,116 @@
+"""Spelling variants against brute force on small vocabularies."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from answergauge.llm import queries, spelling
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def plain_counts(rows):
+    counts = Counter()
+    for key, text in rows:
+        for run in RUN.findall((text or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def near(a, b):
+    """Exactly one letter put in, taken out or replaced."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain(rows):
+    counts = plain_counts(rows)
+    around = {w: [v for v in counts if v != w and near(v, w)] for w in counts}
+    forms = {}
+    for w, vs in around.items():
+        best = min(vs, key=lambda v: (-counts[v], v), default=None)
+        forms[w] = best if best is not None and counts[best] >= 2 * counts[w] else None
+
+    def root(w):
+        return w if forms[w] is None else root(forms[w])
+
+    return sorted((w, forms[w], root(w), n, len(around[w]), counts.get(forms[w])) for w, n in counts.items())
+
+
+def given(df):
+    return sorted(tuple(r) for r in df.select("word", "form", "root", "n", "n_near", "form_n").collect())
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, word string, id string").repartition(3)
+
+
+def random_rows(seed, n=120):
+    """Few letters, so that words are near by chance; some words are long, some frequent; chains of forms."""
+    rng = random.Random(seed)
+    stem = ["aab", "bÿé", "ab", "ba", "é", "abcdefgh"]
+    words = ["".join(rng.choice(stem) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    words += [w[:i] + c + w[i + d :] for w in words[:40] for i, c, d in [(rng.randint(0, len(w)), rng.choice("abÿ"), rng.randint(0, 1))]]
+    words += ["x" * 40, "x" * 41, "x" * 39 + "y", "xy" * 300, "xy" * 300 + "x"]
+    words += ["chain" + "z" * k for k in range(6) for _ in range(3**k // 9 + 1)]
+    weights = [rng.choice([1, 1, 1, 5, 40]) for _ in words]
+    made = lambda: " ".join(rng.choices(words, weights, k=rng.randint(0, 90)))
+    return [(rng.choice([i, i, None]), rng.choice([made(), made(), made().upper(), None, ""])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed, block", [(1, spelling.BLOCK), (2, 2), (3, 7)])
+def test_equals_brute_force(spark, seed, block):
+    rows = random_rows(seed)
+    want = plain(rows)
+    assert any(w[1] != w[2] for w in want if w[1])  # some chain has more than one link
+    assert given(spelling.variants(table(spark, rows), block=block)) == want
+
+
+def test_edge_tables(spark):
+    assert given(spelling.variants(table(spark, [(1, None), (2, ""), (3, "a b c")]))) == []
+    assert given(spelling.variants(table(spark, [(1, "words words words")]).limit(0))) == []
+    same = [(1, "letter later latter")] * 4  # repeated rows, ties of all counts
+    assert given(spelling.variants(table(spark, same))) == plain(same)
+    hidden = [(i, "Étoile étoile ÉTOILE ×÷×÷× naïve-naïve_naïve") for i in range(9)]
+    assert given(spelling.variants(table(spark, hidden))) == plain(hidden)
+    long = [(1, "q" * 100_000 + " ")] * 3 + [(2, "q" * 99_999 + "  " + "q" * 50_000 + "r" + "q" * 49_999)] * 3
+    assert given(spelling.variants(table(spark, long))) == plain(long)
+
+
+def test_pairs_of_bytes():
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in (9, 9, 10, 17, 18) for _ in range(120)})
+    for size in (9, 17):
+        shorter, longer = ([w for w in words if len(w) == s] for s in (size, size + 1))
+        rows = lambda ws: np.array([list(w.encode()) for w in ws], np.uint8)
+        a, b, c = (spelling._packed(m) for m in (rows(shorter), rows(longer)[:, :-1], rows(longer)[:, 1:]))
+        for i, w in enumerate(shorter):
+            got = spelling.one_replaced(np.repeat(a[i : i + 1], len(a), 0), a)
+            assert got.tolist() == [near(w, v) for v in shorter]
+            got, _ = spelling.one_inserted(np.repeat(a[i : i + 1], len(b), 0), b, c)
+            assert got.tolist() == [near(w, v) for v in longer]
+
+
+def test_hot_chunk_is_dealt_to_tiles(spark):
+    words = [(i, f"common{a}{b}", 3) for i, (a, b) in enumerate((x, y) for x in "abcdefgh" for y in "abcdefgh")]
+    df = spark.createDataFrame(words, "id long, word string, n long")
+    tiles = spelling._tiles(spelling._pieces(df), 4)
+    assert max(r["count"] for r in tiles.groupBy("chunk", "which", "size", "left", "right").count().collect()) < 40
+    found = {r["id"]: r["n_near"] for r in spelling.near_words(df, 4).collect()}
+    assert found == {i: 14 for i in range(64)}
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert given(queries.op11_spelling_variants(spark, folder)) == plain(rows)
