@@ -11,6 +11,7 @@ from answergauge import schemas, texts
 from answergauge.functions import scoring, validity
 from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
 from answergauge.functions.text import is_blank, strip, tokens
+from answergauge.operators.segment import add_segmented_tokens
 from answergauge.rules import Rules
 
 # Columns that each grading step adds, for callers who want only some of them.
@@ -50,8 +51,13 @@ def add_validity(df: DataFrame, rules: Rules, content: str = "answer_content") -
     ).drop("_stripped", "_char_share", "_phrase_run", "_banned")
 
 
-def add_tokens(df: DataFrame, rules: Rules, content: str = "answer_content") -> DataFrame:
-    """Project every token set once; all scores read these columns."""
+def add_tokens(
+    df: DataFrame, rules: Rules, content: str = "answer_content", lexicon: DataFrame | None = None
+) -> DataFrame:
+    """Project every token set once; all scores read these columns. With a ``lexicon``, a table of ``word`` and ``freq``,
+    Han text is segmented by probability; the rows then need a unique ``case_pos``."""
+    if lexicon is not None:
+        return add_segmented_tokens(df, lexicon, content)
     return df.withColumns(
         {
             "_answer_tokens": F.coalesce(tokens(F.col(content), rules.lexicon), F.array().cast("array<string>")),
@@ -61,10 +67,12 @@ def add_tokens(df: DataFrame, rules: Rules, content: str = "answer_content") ->
     ).withColumn("_answer_only", F.array_except("_answer_tokens", "_standard_tokens"))
 
 
-def add_scores(df: DataFrame, rules: Rules, content: str = "answer_content") -> DataFrame:
+def add_scores(
+    df: DataFrame, rules: Rules, content: str = "answer_content", lexicon: DataFrame | None = None
+) -> DataFrame:
     """Add the five score columns. Invalid and non-compliant answers are scored like all others."""
     text, standard = F.col(content), F.col("standard_answer")
-    work = add_tokens(df, rules, content).withColumns(
+    work = add_tokens(df, rules, content, lexicon).withColumns(
         {
             "_n_answer": F.size("_answer_tokens"),
             "_n_standard": F.size("_standard_tokens"),
@@ -135,6 +143,7 @@ def evaluate(
     rules: Rules = Rules(),
     execute_timestamp: str | Column | None = None,
     keep: Sequence[str] = (),
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """One result row per case: case columns, call outcome, validity, compliance and scores.
 
@@ -143,7 +152,7 @@ def evaluate(
     join on it is the only exchange, hash-spread over unique keys; everything after is one chain of
     projections. Tables bucketed by ``case_pos`` join without any exchange. The order of the input
     is the order of ``case_pos``; sort where the rows leave Spark. ``keep`` names further columns of ``cases`` to carry
-    along, such as a batch id."""
+    along, such as a batch id. A ``lexicon`` segments Han text by probability (see ``add_tokens``), with joins of its own."""
     call = answers.select(
         "case_pos",
         F.col("code").alias("_code"),
@@ -164,7 +173,7 @@ def evaluate(
     df = df.withColumn("_ok", asked & F.coalesce(F.col("_code") == texts.SUCCESS, F.lit(False)))
     # The text to grade; NULL for failed calls and for successful ones without an answer.
     df = df.withColumn("_text", F.when(F.col("_ok"), F.col("_data")))
-    df = add_scores(add_validity(df, rules, "_text"), rules, "_text")
+    df = add_scores(add_validity(df, rules, "_text"), rules, "_text", lexicon)
     gradable = F.col("_text").isNotNull()
     if judgements is not None:
         df = _override(df, gradable)

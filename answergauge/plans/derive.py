@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answergauge import texts
-from answergauge.functions.text import round2
+from answergauge.functions.text import HAN, round2
 from answergauge.operators.layout import spread
 from answergauge.rules import Rules
 
@@ -55,6 +55,15 @@ def han_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.translate("text", LATIN_LETTERS, HAN_LETTERS).alias("text"))
 
 
+def han_lexicon(benchmark: DataFrame) -> DataFrame:
+    """Words with frequencies: the runs of Han characters that the items have after the same replacement, the first two
+    characters of each and its last three, so that words overlap."""
+    items = benchmark.select(F.translate("text", LATIN_LETTERS, HAN_LETTERS).alias("text"))
+    runs = items.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{HAN}]+"), F.lit(0))).alias("run"))
+    words = runs.select(F.explode(F.array("run", F.left("run", F.lit(2)), F.right("run", F.lit(3)))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("freq"))
+
+
 def _without_words_with(text: Column, letters: str) -> Column:
     return F.regexp_replace(text, rf"(?<![^ \n])[^ \n{letters}]*+[{letters}][^ \n]*+", "")
 

@@ -585,6 +585,67 @@ words AS (SELECT doc_id, {words} AS t FROM split)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens FROM words"""
 
 
+def _segmented(select: str) -> str:
+    """The best path of each run, one character a turn; lists hold the best ends of as many characters back as the longest
+    word has."""
+    return f"""WITH RECURSIVE han AS (
+  SELECT doc_id, translate(text, '{derive.LATIN_LETTERS}', '{derive.HAN_LETTERS}') AS h FROM documents),
+runs AS (
+  SELECT doc_id, h, regexp_extract_all(h, '[{HAN}]+') AS rs FROM han),
+items AS (
+  SELECT unnest(regexp_extract_all(translate(text, '{derive.LATIN_LETTERS}', '{derive.HAN_LETTERS}'), '[{HAN}]+')) AS run
+  FROM benchmark),
+counted AS (
+  SELECT word, count(*)::DOUBLE AS freq FROM (SELECT unnest([run, left(run, 2), right(run, 3)]) AS word FROM items)
+  GROUP BY word),
+lexicon AS (
+  SELECT word, CAST(floor(ln(freq / (SELECT sum(freq) FROM counted)) * 1000000) AS BIGINT) AS w FROM counted),
+fixed AS (
+  SELECT (SELECT max(length(word)) FROM counted) AS longest,
+    (SELECT CAST(floor(ln(1.0::DOUBLE / sum(freq)) * 1000000) AS BIGINT) FROM counted) AS unseen),
+distinct_runs AS (
+  SELECT DISTINCT run, length(run) AS n FROM (SELECT unnest(rs) AS run FROM runs)),
+spans AS (
+  SELECT run, last, unnest(range(1, least(last, longest) + 1)) AS k
+  FROM (SELECT run, longest, unnest(range(1, n + 1)) AS last FROM distinct_runs, fixed)),
+edges AS (
+  SELECT run, last, list({{'k': k, 'w': coalesce(w, unseen)}}) AS es
+  FROM (SELECT *, substr(run, last - k + 1, k) AS word FROM spans) LEFT JOIN lexicon USING (word), fixed
+  WHERE w IS NOT NULL OR k = 1 GROUP BY run, last),
+walk AS (
+  SELECT run, CAST(0 AS BIGINT) AS last, [CAST(0 AS BIGINT)] AS scores, [''] AS paths FROM distinct_runs
+  UNION ALL
+  SELECT run, last, list_prepend(best.s, scores)[1:longest],
+    list_prepend(concat(paths[best.k], ' ', substr(run, last - best.k + 1, best.k)), paths)[1:longest]
+  FROM (
+    SELECT w.run, e.last, scores, paths, longest,
+      list_reverse_sort(list_transform(es, lambda x: {{'s': scores[x.k] + x.w, 'k': x.k}}))[1] AS best
+    FROM walk w JOIN edges e ON e.run = w.run AND e.last = w.last + 1, fixed)),
+best AS (
+  SELECT walk.run, ltrim(paths[1]) AS path FROM walk JOIN distinct_runs d ON d.run = walk.run AND d.n = walk.last),
+numbered AS (
+  SELECT doc_id, unnest(rs) AS run, unnest(range(len(rs))) AS i FROM runs),
+told AS (
+  SELECT doc_id, list(path ORDER BY i) AS paths FROM numbered JOIN best USING (run) GROUP BY doc_id)
+{select}"""
+
+
+def _segmented_tokens() -> str:
+    singles = (
+        f"list_filter(string_split(replace(regexp_replace(array_to_string(paths, '|'), '[{HAN}]{{2,}}', '|', 'g'), ' ', ''), '|'),"
+        " lambda s: length(s) >= 2)"
+    )
+    pairs = f"flatten(list_transform({singles}, lambda s: list_transform(range(1, length(s)), lambda i: substr(s, i, 2))))"
+    words = "list_filter(string_split(replace(array_to_string(paths, '|'), '|', ' '), ' '), lambda w: length(w) >= 2)"
+    rest = toks(f"regexp_replace(h, '{HAN_BREAK}', ' ', 'g')")
+    of_han = f"list_filter(list_concat({words}, {pairs}, {rest}), lambda w: NOT list_contains({list_of(STOP_WORDS)}, w))"
+    return _segmented(
+        f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {sorted_join('t')} AS tokens FROM (
+  SELECT doc_id, CASE WHEN paths IS NULL THEN {toks('h')} ELSE list_distinct({of_han}) END AS t
+  FROM runs LEFT JOIN told USING (doc_id))"""
+    )
+
+
 def all_sql() -> dict[str, str]:
     batch = lit(workloads.BATCH)
     doc_stripped = f"stripped AS (SELECT doc_id AS key, text AS content, {strip('text')} AS s FROM documents)"
@@ -593,6 +654,11 @@ def all_sql() -> dict[str, str]:
         f" FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
         "han_tokens": _han_tokens(),
         "lexicon_tokens": _lexicon_tokens(),
+        "han_segments": _segmented(
+            "SELECT doc_id, CAST(len(rs) AS INTEGER) AS n_runs, coalesce(array_to_string(paths, '/'), '') AS segments"
+            " FROM runs LEFT JOIN told USING (doc_id)"
+        ),
+        "segmented_tokens": _segmented_tokens(),
         "compliance_long_list": f"""SELECT doc_id, CASE WHEN len(hits) > 0
     THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
       {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg

@@ -15,6 +15,7 @@ from answergauge.operators.attempts import call_outcomes, final_attempts, slow_c
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
 )
+from answergauge.operators.segment import han_segments, segmented_tokens
 from answergauge.operators.summarise import batch_rows, summarise
 from answergauge.plans import derive
 from answergauge.rules import Rules
@@ -52,6 +53,21 @@ def q_lexicon_tokens(spark, sf):
     return found.select("doc_id", F.size("words").alias("n_tokens"), _joined(F.col("words")).alias("tokens"))
 
 
+def q_han_segments(spark, sf):
+    docs = derive.han_texts(derive.documents(spark, sf, "doc_id", "text"))
+    lexicon = derive.han_lexicon(derive.table(spark, sf, "benchmark"))
+    return han_segments(docs, lexicon, ["doc_id"]).select(
+        "doc_id", F.size("runs").alias("n_runs"), F.array_join("runs", "/").alias("segments")
+    )
+
+
+def q_segmented_tokens(spark, sf):
+    docs = derive.han_texts(derive.documents(spark, sf, "doc_id", "text"))
+    lexicon = derive.han_lexicon(derive.table(spark, sf, "benchmark"))
+    found = segmented_tokens(docs, lexicon, ["doc_id"])
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), _joined(F.col("tokens")).alias("tokens"))
+
+
 def q_validity_blank_len(spark, sf):
     rules = Rules(min_length=50, max_repeat_rate=1.0, max_continuous_repeat=1_000_000)
     docs = derive.documents(spark, sf, "doc_id", "text").withColumn("_s", strip(F.col("text")))
