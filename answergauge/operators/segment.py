@@ -1,7 +1,7 @@
 """Words of Han text by probability: the path of highest probability through the graph of all lexicon words.
 
 The lexicon is a table of words and frequencies, joined and never written into a plan, so it may have any size: Spark
-broadcasts it where its own size check allows, and else shuffles both sides by the first two characters of words. Each
+broadcasts it where its own size check allows, and else shuffles both sides by the first characters of words. Each
 distinct run of Han characters is segmented once. Its graph falls apart wherever no word spans a gap; the best path is found
 piece by piece, with a window of as many open ends as the longest word has characters. Scores are whole numbers
 (millionths of a natural logarithm), so that ties are true ties: they go to the longer last word."""
@@ -19,6 +19,7 @@ from answergauge.rules import STOP_WORDS
 MILLION = 1_000_000
 # What stands between words of a path. No Han character, and no sign that a run can hold.
 _GAP = " "
+_EDGES = "array<struct<word: string, size: int, weight: bigint>>"
 
 
 def _digest(run: Column) -> Column:
@@ -42,23 +43,27 @@ def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
     ``weighted_lexicon``."""
     longest, unseen = lexicon.agg(F.coalesce(F.max("size"), F.lit(1)), F.coalesce(F.max("unseen"), F.lit(0))).first()
     longest = max(longest, 1)
-    places = F.sequence(F.lit(1), F.lit(longest))
     # Overlapping windows, one at each place, found in a single pass.
     windows = F.regexp_extract_all("run", F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
     spots = runs.select("run").distinct().select(_digest(F.col("run")).alias("digest"), F.posexplode(windows).alias("at", "window"))
 
-    single = lexicon.where(F.col("size") == 1).select(F.col("word").alias("_char"), F.col("weight").alias("_single"))
-    several = lexicon.where(F.col("size") > 1).groupBy(F.left("word", F.lit(2)).alias("_pair"))
-    several = several.agg(F.collect_list(F.struct("word", "size", "weight")).alias("_words"))
-    spots = spots.join(several, F.left("window", F.lit(2)) == F.col("_pair"), "left")
-    spots = spots.join(single, F.left("window", F.lit(1)) == F.col("_char"), "left")
-    here = F.filter("_words", lambda w: F.startswith(F.col("window"), w["word"]))
-    found = spots.withColumn("_here", here).select(
-        "digest", "at", "window",
-        F.coalesce("_single", F.lit(unseen)).alias("single"),
-        F.coalesce("_here", F.array().cast("array<struct<word: string, size: int, weight: bigint>>")).alias("here"),
-        (F.col("at") + F.coalesce(F.array_max(F.transform("_here", lambda w: w["size"])), F.lit(1))).alias("reach"),
-    )
+    # Words of one and of two characters are looked up whole, longer ones by their first three.
+    def looked_up(size: int) -> DataFrame:
+        return lexicon.where(F.col("size") == size).select(F.col("word").alias(f"_word{size}"), F.col("weight").alias(f"_weight{size}"))
+
+    longer = lexicon.where(F.col("size") > 2).groupBy(F.left("word", F.lit(3)).alias("_begin"))
+    longer = longer.agg(F.collect_list(F.struct("word", "size", "weight")).alias("_words"))
+    for size in (1, 2):
+        spots = spots.join(looked_up(size), F.left("window", F.lit(size)) == F.col(f"_word{size}"), "left")
+    spots = spots.join(longer, F.left("window", F.lit(3)) == F.col("_begin"), "left")
+    two = F.struct(F.col("_word2").alias("word"), F.lit(2).alias("size"), F.col("_weight2").alias("weight"))
+    more = F.coalesce(F.filter("_words", lambda w: F.startswith(F.col("window"), w["word"])), F.array().cast(_EDGES))
+    here = F.concat(F.when(F.col("_word2").isNotNull(), F.array(two)).otherwise(F.array().cast(_EDGES)), more)
+    found = spots.select(
+        "digest", "at", "window", F.coalesce("_weight1", F.lit(unseen)).alias("single"), here.alias("here")
+    )
+    widest = F.aggregate("here", F.lit(1), lambda most, w: F.greatest(most, w["size"]))
+    found = found.withColumn("reach", F.col("at") + widest)
 
     # A piece begins where nothing before it reaches further.
     order = Window.partitionBy("digest").orderBy("at")
@@ -66,19 +71,27 @@ def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
     found = found.withColumn("_new", (F.coalesce(before, F.lit(0)) <= F.col("at")).cast("int"))
     found = found.withColumn("piece", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     node = F.struct("at", "window", "single", "here")
-    pieces = found.groupBy("digest", "piece").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    pieces = found.groupBy("digest", "piece").agg(
+        F.sort_array(F.collect_list(node)).alias("nodes"), F.max(F.col("reach") - F.col("at")).alias("widest")
+    )
+    places = F.sequence(F.lit(1), F.col("widest"))  # no open end lies further on
 
     def step(open_ends: Column, spot: Column) -> Column:
         """``open_ends[k]`` is the best path so far that ends k characters on; NULL where there is none."""
 
         def reached(k: Column) -> Column:
             weights = F.transform(F.filter(spot["here"], lambda w: w["size"] == k), lambda w: w["weight"])
-            weight = F.when(k == 1, spot["single"]).otherwise(F.try_element_at(weights, F.lit(1)))
-            so_far, now = F.try_element_at(open_ends, k + 1), open_ends[0]
-            score = now["score"] + weight
-            better = weight.isNotNull() & (so_far.isNull() | (score > so_far["score"]))
-            path = F.concat(now["path"], F.lit(_GAP), F.left(spot["window"], k))
-            return F.when(better, F.struct(score.alias("score"), path.alias("path"))).otherwise(so_far)
+            score = open_ends[0]["score"] + F.when(k == 1, spot["single"]).otherwise(F.try_element_at(weights, F.lit(1)))
+            so_far = F.try_element_at(open_ends, k + 1)
+            path = F.concat(open_ends[0]["path"], F.lit(_GAP), F.left(spot["window"], k))
+
+            def better(ends: Column) -> Column:
+                """``ends`` binds what is so far and the new score, which each test would else compute again."""
+                known, new = ends["known"], ends["new"]
+                more = new.isNotNull() & (known.isNull() | (new > known["score"]))
+                return F.when(more, F.struct(new.alias("score"), path.alias("path"))).otherwise(known)
+
+            return F.transform(F.array(F.struct(so_far.alias("known"), score.alias("new"))), better)[0]
 
         return F.transform(places, reached)
 
