@@ -646,6 +646,20 @@ def _segmented_tokens() -> str:
     )
 
 
+def _ask_with_retries() -> str:
+    failed = texts.HTTP_ERROR_TEXT.format(detail="503 Server Error")
+    other = texts.OTHER_ERROR_TEXT.format(detail="bad handshake")
+    return f"""SELECT conv_id * {derive.TURNS_PER_CONVERSATION} + turn AS case_pos,
+  CAST(CASE WHEN k < 3 THEN k + 1 WHEN k = 3 THEN 3 ELSE 1 END AS BIGINT) AS tries,
+  CAST(CASE k WHEN 3 THEN {texts.TIMEOUT} WHEN 4 THEN {texts.HTTP_ERROR} WHEN 5 THEN {texts.OTHER_ERROR}
+    ELSE 0 END AS INTEGER) AS code,
+  CASE WHEN k < 3 THEN concat(k, ' ', text) WHEN k = 4 THEN concat('busy with ', text) WHEN k = 6
+    THEN concat('0 ', text) END AS data,
+  CASE k WHEN 3 THEN {lit(texts.TIMEOUT_TEXT.format(seconds=30))} WHEN 4 THEN {lit(failed)} WHEN 5 THEN {lit(other)}
+    ELSE {lit(code_text(texts.SUCCESS))} END AS msg
+FROM (SELECT *, length(text) % 7 AS k FROM conversations WHERE role = 'user' AND text IS NOT NULL)"""
+
+
 def all_sql() -> dict[str, str]:
     batch = lit(workloads.BATCH)
     doc_stripped = f"stripped AS (SELECT doc_id AS key, text AS content, {strip('text')} AS s FROM documents)"
@@ -659,6 +673,7 @@ def all_sql() -> dict[str, str]:
             " FROM runs LEFT JOIN told USING (doc_id)"
         ),
         "segmented_tokens": _segmented_tokens(),
+        "ask_with_retries": _ask_with_retries(),
         "compliance_long_list": f"""SELECT doc_id, CASE WHEN len(hits) > 0
     THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
       {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from answergauge import texts
 from answergauge.functions import calls, scoring, validity
 from answergauge.functions.text import fill_placeholders, strip, tokens
 from answergauge.operators.ask import ask_all
+from answergauge.operators.attempt_log import AttemptLog, ask_with_retries
 from answergauge.operators.attempts import call_outcomes, final_attempts, slow_calls
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
@@ -246,6 +248,30 @@ def q_generate_answers(spark, sf):
     return ask_all(cases, ask, concurrent_num=3).select("case_pos", "code", "data", "msg", "cost_ms")
 
 
+def q_ask_with_retries(spark, sf):
+    """Ask a stand-in about every user turn. Some requests time out once, some always, some are turned away or raise."""
+
+    def send(body: str, attempt_no: int) -> dict:
+        prompt = json.loads(body)["messages"][0]["content"]
+        kind = len(prompt) % 7
+        if kind < 3 and attempt_no < kind:
+            return {"error_kind": "timeout" if attempt_no else "connect"}
+        if kind == 3:
+            return {"error_kind": "timeout"}
+        if kind == 4:
+            return {"status": 503, "body": f"busy with {prompt}", "error_text": "503 Server Error"}
+        if kind == 5:
+            return {"error_kind": "other", "error_text": "bad handshake"}
+        return {"status": 200, "body": json.dumps({"choices": [{"message": {"content": f"{attempt_no} {prompt}"}}]})}
+
+    cases = derive.chat_cases(derive.table(spark, sf, "conversations"))
+    log = AttemptLog(spark)
+    outcomes = ask_with_retries(cases, send, log, "some-model", concurrent_num=8, max_retry=2, wait_seconds=0.0)
+    tries = log.read().groupBy("request_id").agg(F.count("*").alias("tries"))
+    joined = outcomes.join(tries, F.col("case_pos") == F.col("request_id"))
+    return joined.select("case_pos", "tries", "code", "data", "msg")
+
+
 def q_placeholders(spark, sf):
     events = derive.table(spark, sf, "events")
     text = F.concat(

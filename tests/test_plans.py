@@ -31,7 +31,7 @@ def test_judgements_reuse_the_layout_of_the_first_join(plan_of):
     assert plan_of("judge_override").count("Exchange ") == 3
 
 
-@pytest.mark.parametrize("name", sorted(set(workloads.all_queries()) - {"generate_answers", "compliance_long_list"}))
+@pytest.mark.parametrize("name", sorted(set(workloads.all_queries()) - {"generate_answers"}))
 def test_no_row_passes_through_python(plan_of, name):
     plan = plan_of(name)
     assert not any(word in plan for word in ("EvalPython", "InPandas", "InArrow", "PythonUDF"))
