@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +14,6 @@ from answergauge.rules import Rules
 
 
 SEARCHED_CHARS = 8
-LISTED_WORDS = 64
 
 
 def _count_of(text: Column, char: Column) -> Column:
@@ -125,46 +123,17 @@ def validity_msg(stripped: Column, share: Column, run: Column, rules: Rules) ->
 
 
 def banned_words(content: Column, rules: Rules) -> Column:
-    """Every configured word that occurs in the raw text, in the order of the list."""
+    """Every configured word that occurs in the raw text, in the order of the list. Each word is a search of the text, so
+    lists beyond configuration size belong in a table (``operators.word_list``)."""
     if not rules.sensitive_words:
         return literals(())
-    if len(rules.sensitive_words) > LISTED_WORDS:
-        return _listed_words(content, rules.sensitive_words)
     return F.filter(literals(rules.sensitive_words), lambda word: F.contains(content, word))
 
 
-def _listed_words(content: Column, words: Sequence[str]) -> Column:
-    """The same for long lists: one automaton finds all words in one pass over each text, in Arrow batches."""
-    words = tuple(words)
-
-    @F.pandas_udf("array<string>")
-    def found(texts_of: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        places: dict[str, list[int]] = {}
-        for at, word in enumerate(words):
-            places.setdefault(word, []).append(at)
-        for word, at in places.items():
-            if word:
-                automaton.add_word(word, at)
-        automaton.make_automaton()
-        always = places.get("", [])  # the empty word occurs in every text
-
-        def of(text: str | None) -> list[str] | None:
-            if text is None:
-                return []
-            hits = {i for _, at in automaton.iter(text) for i in at}
-            return [words[i] for i in sorted(hits.union(always))]
-
-        return texts_of.map(of, na_action=None)
-
-    return found(content)
-
-
-def compliance_msg(banned: Column, rules: Rules) -> Column:
-    """The banned words found, or a pass text. ``banned`` is projected beforehand."""
-    if not rules.sensitive_words:
+def compliance_msg(banned: Column, rules: Rules, any_words: bool | None = None) -> Column:
+    """The banned words found, or a pass text. ``banned`` is projected beforehand; ``any_words`` tells whether there is a
+    list at all, if the rules do not hold it."""
+    if not (rules.sensitive_words if any_words is None else any_words):
         return F.lit(texts.COMPLIANCE_SKIPPED_TEXT)
     found = fill_template(texts.BANNED_TEXT, {"words": F.array_join(banned, ",")})
     return F.when(F.size(banned) > 0, found).otherwise(texts.COMPLIANT_TEXT)

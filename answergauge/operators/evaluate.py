@@ -12,6 +12,7 @@ from answergauge.functions import scoring, validity
 from answergauge.functions.judge import judge_prompt, judge_verdict, parse_reply
 from answergauge.functions.text import is_blank, strip, tokens
 from answergauge.operators.segment import add_segmented_tokens
+from answergauge.operators.word_list import listed_words
 from answergauge.rules import Rules
 
 # Columns that each grading step adds, for callers who want only some of them.
@@ -33,15 +34,22 @@ def with_case_defaults(cases: DataFrame) -> DataFrame:
     )
 
 
-def add_validity(df: DataFrame, rules: Rules, content: str = "answer_content") -> DataFrame:
-    """Add the two validity and the two compliance columns for a text column."""
+def add_validity(
+    df: DataFrame, rules: Rules, content: str = "answer_content", banned: DataFrame | None = None, key: str = "case_pos"
+) -> DataFrame:
+    """Add the two validity and the two compliance columns for a text column. ``banned``, a table of ``pos`` and ``word``,
+    takes the place of the rules' list of banned words; the rows then need a unique ``key``."""
     work = df.withColumn("_stripped", strip(F.col(content)))
     parts = validity.validity_parts(F.col("_stripped"), rules)
-    parts["_banned"] = validity.banned_words(F.col(content), rules)
+    if banned is None:
+        parts["_banned"] = validity.banned_words(F.col(content), rules)
+    else:
+        found = listed_words(df, banned, [key], content).select(F.col(key).alias("_of"), F.col("found").alias("_banned"))
+        work = work.join(found, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
     work = work.withColumns(parts)
     msg = validity.validity_msg(F.col("_stripped"), F.col("_char_share"), F.col("_phrase_run"), rules)
     work = work.withColumns(
-        {"validity_msg": msg, "compliance_msg": validity.compliance_msg(F.col("_banned"), rules)}
+        {"validity_msg": msg, "compliance_msg": validity.compliance_msg(F.col("_banned"), rules, banned is not None or None)}
     )
     return work.withColumns(
         {
@@ -144,6 +152,7 @@ def evaluate(
     execute_timestamp: str | Column | None = None,
     keep: Sequence[str] = (),
     lexicon: DataFrame | None = None,
+    banned: DataFrame | None = None,
 ) -> DataFrame:
     """One result row per case: case columns, call outcome, validity, compliance and scores.
 
@@ -152,7 +161,8 @@ def evaluate(
     join on it is the only exchange, hash-spread over unique keys; everything after is one chain of
     projections. Tables bucketed by ``case_pos`` join without any exchange. The order of the input
     is the order of ``case_pos``; sort where the rows leave Spark. ``keep`` names further columns of ``cases`` to carry
-    along, such as a batch id. A ``lexicon`` segments Han text by probability (see ``add_tokens``), with joins of its own."""
+    along, such as a batch id. A ``lexicon`` segments Han text by probability (see ``add_tokens``), and ``banned``
+    is a long list of banned words (see ``add_validity``); both have joins of their own."""
     call = answers.select(
         "case_pos",
         F.col("code").alias("_code"),
@@ -173,22 +183,25 @@ def evaluate(
     df = df.withColumn("_ok", asked & F.coalesce(F.col("_code") == texts.SUCCESS, F.lit(False)))
     # The text to grade; NULL for failed calls and for successful ones without an answer.
     df = df.withColumn("_text", F.when(F.col("_ok"), F.col("_data")))
-    df = add_scores(add_validity(df, rules, "_text"), rules, "_text", lexicon)
+    df = add_scores(add_validity(df, rules, "_text", banned), rules, "_text", lexicon)
     gradable = F.col("_text").isNotNull()
     if judgements is not None:
         df = _override(df, gradable)
-    return df.select("case_pos", *keep, *_result_columns(rules, gradable, execute_timestamp))
+    return df.select("case_pos", *keep, *_result_columns(rules, gradable, execute_timestamp, banned is not None))
 
 
-def _result_columns(rules: Rules, gradable: Column, execute_timestamp: str | Column | None) -> list[Column]:
+def _result_columns(
+    rules: Rules, gradable: Column, execute_timestamp: str | Column | None, listed: bool = False
+) -> list[Column]:
     """Every column of a result row, with the default a failed case shows."""
+    any_words = bool(rules.sensitive_words) or listed
     ok, asked = F.col("_ok"), F.col("prompt").isNotNull()
     when = (
         F.date_format(F.current_timestamp(), schemas.TIME_FORMAT)
         if execute_timestamp is None
         else execute_timestamp if isinstance(execute_timestamp, Column) else F.lit(execute_timestamp)
     )
-    null_fault = texts.NULL_ANSWER_FAULT if rules.sensitive_words else texts.NULL_ANSWER_FAULT_NO_WORDS
+    null_fault = texts.NULL_ANSWER_FAULT if any_words else texts.NULL_ANSWER_FAULT_NO_WORDS
     error = (
         F.when(~asked, texts.FAULT_TEXT.format(fault=texts.MISSING_PROMPT_FAULT))
         .when(ok & ~gradable, texts.FAULT_TEXT.format(fault=null_fault))
@@ -197,7 +210,7 @@ def _result_columns(rules: Rules, gradable: Column, execute_timestamp: str | Col
         .otherwise(F.col("_msg"))
     )
     # Without banned words a NULL answer fails only after both checks have reported.
-    checked = ok if not rules.sensitive_words else gradable
+    checked = ok if not any_words else gradable
     made = {
         "case_id": F.col("case_id"),
         "case_desc": F.col("case_desc"),

@@ -678,6 +678,21 @@ def all_sql() -> dict[str, str]:
     THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
       {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg
 FROM (SELECT doc_id, list_filter({list_of(derive.LONG_LIST)}, lambda w: contains(text, w)) AS hits FROM documents)""",
+        "compliance_word_table": f"""WITH words AS (
+  SELECT item_id, regexp_split_to_array(text, '[ \\n]') AS ws FROM benchmark),
+singles AS (
+  SELECT item_id * {derive.TURNS_PER_CONVERSATION} + 2 * i AS pos, ws[i + 1] AS word
+  FROM (SELECT *, unnest(range(len(ws))) AS i FROM words)),
+pairs AS (
+  SELECT item_id * {derive.TURNS_PER_CONVERSATION} + 2 * i + 1 AS pos, concat(ws[i + 1], ' ', ws[i + 2]) AS word
+  FROM (SELECT *, unnest(range(len(ws) - 1)) AS i FROM words)),
+listed AS (
+  SELECT word, min(pos) AS pos FROM (SELECT * FROM singles UNION ALL SELECT * FROM pairs) GROUP BY word),
+hits AS (
+  SELECT doc_id, string_agg(word, ',' ORDER BY pos) AS found FROM documents JOIN listed ON contains(text, word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN found IS NULL THEN {lit(texts.COMPLIANT_TEXT)} ELSE
+  concat({lit(texts.BANNED_TEXT.split('{words}')[0])}, found, {lit(texts.BANNED_TEXT.split('{words}')[1])}) END AS compliance_msg
+FROM documents LEFT JOIN hits USING (doc_id)""",
         "validity_blank_len": f"""SELECT doc_id, CAST(length(s) AS INTEGER) AS stripped_chars,
   CASE WHEN s = '' THEN {lit(code_text(texts.EMPTY_ANSWER))}
     WHEN length(s) < 50 THEN concat('{code_text(texts.SHORT_ANSWER)}，仅', length(s), '字,低于阈值:50字')

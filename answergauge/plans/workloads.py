@@ -19,6 +19,7 @@ from answergauge.operators.evaluate import (
 )
 from answergauge.operators.segment import han_segments, segmented_tokens
 from answergauge.operators.summarise import batch_rows, summarise
+from answergauge.operators.word_list import listed_words, word_table
 from answergauge.plans import derive
 from answergauge.rules import Rules
 from answergauge.sources import history
@@ -109,10 +110,18 @@ def q_compliance(spark, sf):
     return _checked(spark, sf).select("doc_id", "is_compliant", "compliance_msg")
 
 
-def q_compliance_long_list(spark, sf):
+def _listed(spark, sf, words):
     docs = derive.documents(spark, sf, "doc_id", "text")
-    banned = docs.select("doc_id", validity.banned_words(F.col("text"), derive.LONG_RULES).alias("banned"))
-    return banned.select("doc_id", validity.compliance_msg(F.col("banned"), derive.LONG_RULES).alias("compliance_msg"))
+    found = listed_words(docs, words, ["doc_id"])
+    return found.select("doc_id", validity.compliance_msg(F.col("found"), Rules(), True).alias("compliance_msg"))
+
+
+def q_compliance_long_list(spark, sf):
+    return _listed(spark, sf, word_table(spark, derive.LONG_LIST))
+
+
+def q_compliance_word_table(spark, sf):
+    return _listed(spark, sf, derive.banned_list(derive.table(spark, sf, "benchmark")))
 
 
 # ---- Answers against cases -------------------------------------------------------
