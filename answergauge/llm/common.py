@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -87,10 +89,23 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system. Spark uses Python workers again, so that without it each
+    stage of a long job would add to what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+_C = ctypes.CDLL(None)
+
+
 def schema_of(df: DataFrame, **changed: T.DataType) -> T.StructType:
     """The schema of ``df`` with some columns' types replaced or, at the end, added; all nullable."""
     fields = [T.StructField(f.name, changed.pop(f.name, f.dataType)) for f in df.schema.fields]
     return T.StructType(fields + [T.StructField(k, v) for k, v in changed.items()])
 
 
-__all__ = ["SPACE", "WORD", "id_remainder", "in_slices", "let", "materialised", "ranked", "schema_of", "ship_package", "table"]
+__all__ = ["SPACE", "WORD", "give_back", "id_remainder", "in_slices", "let", "materialised", "ranked", "schema_of", "ship_package", "table"]

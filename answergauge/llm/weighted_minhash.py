@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import WORD, in_slices, materialised, ship_package
+from answergauge.llm.common import WORD, give_back, in_slices, materialised, ship_package
 from answergauge.llm.hashing import ODD, Ranges, mix
 
 SHINGLE = 5
@@ -164,6 +164,7 @@ def inverse_document_frequencies(texts: DataFrame) -> np.ndarray:
             at, _, _ = _weighted(bucket(hashes), bounds)
             counts += np.bincount(at, minlength=len(counts))
             total += part.num_rows
+        give_back()
         yield pa.RecordBatch.from_pydict(
             {
                 "piece": pa.array(range(64), pa.int32()),
@@ -195,6 +196,8 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
                 ],
                 names=["node", "keys"],
             )
+        _draws.cache_clear()
+        give_back()
 
     return texts.mapInArrow(run, "node binary, keys array<long>")
 
