@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices, ship_package
+from answergauge.llm.common import give_back, in_slices, ship_package
 
 CONTEXT = 2048
 SMALLEST_TIER = 64
@@ -61,6 +62,19 @@ class _Kept(dict):
             self.clear()
 
 
+_PLAIN = r"\t\n\r\x20-\x7e\xa1-\u024f"
+
+
+def _latin_pattern() -> re.Pattern:
+    """The pre-tokeniser's pattern for characters of ``_PLAIN``: letters and numbers as classes of that range."""
+    kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x21, 0x250)) if re.match(f"[{_PLAIN}]", c)}
+    letters, numbers = (re.escape("".join(c for c, k in kinds.items() if k == kind)) for kind in "LN")
+    # The endings that are pieces, and the order of the branches.
+    return re.compile(
+        rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+    )
+
+
 def _byte_letters() -> dict[int, str]:
     """The characters that a byte-level vocabulary writes for bytes: printable Latin-1 for itself, the others
     numbered on from 256."""
@@ -78,22 +92,21 @@ class Encoder:
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        # Words in Latin script are cut by the tokenizer's own pattern; all others by the tokenizer.
-        self.plain = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        # Texts in Latin script are cut here, as the tokenizer's pattern does it; all others by the tokenizer.
+        self.plain = re.compile(rf"[{_PLAIN}]*")
+        self.cut = _latin_pattern().findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.words, self.parts = _Kept(self._word, entries), _Kept(self._part, entries)
 
     def rest(self) -> None:
-        """Keep but the newer generation for the next task of this worker."""
+        """What the next task of this worker starts with: the newer generation of words."""
         self.words.old = self.parts.old = {}
+        self.parts.clear()
 
     def _word(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
@@ -113,6 +126,8 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
+            elif self.plain.fullmatch(text):  # cut once; its pieces are those of the whole text
+                out.append(b"".join(map(self.words.__getitem__, self.cut(text))))
             elif "\0" in text or _JOINED_SPACES.search(text):
                 out.append(self._whole(text))
             else:
@@ -266,6 +281,7 @@ def pack(
         if id_type is not None:
             packer.pack(0)
             yield ready()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"id {kind}, start long, doc_tokens long, ids binary, sequence_id long, offset long, tier int, step_id long"
