@@ -1,16 +1,17 @@
 """Language-model scoring by the likelihood of the subword lattice.
 
 The pieces and their order come from an existing vocabulary file (never trained); they give every piece a prior
-weight. The weights are then re-estimated from the training texts by expectation-maximisation over all segmentations:
-a few rounds on the most frequent words, then one over all distinct words of all training texts. A text is
-its words, each led by a marker, and one end. A word's probability is the sum over all its segmentations, by
-the forward recursion in log space; the lattice is over UTF-8 bytes with every byte as a piece, so every text has a
-probability, and the probabilities of all texts sum to at most 1. Pieces do not cross words, so the
+weight. The weights are then re-estimated by rounds of expectation-maximisation over all segmentations of all distinct words
+of the training texts. A text is its words, each led by a marker, and one end. A word's probability is the sum
+over all its segmentations, by the forward recursion in log space; the lattice is over UTF-8 bytes with every byte as a
+piece, so every text has a probability. Each word of the training texts is one more piece, of the whole word: it takes its
+count less a discount, and what the discounts leave goes to the segmentations into pieces of the vocabulary. So what is
+known grows with the corpus, and the probabilities of all texts sum to at most 1. Pieces do not cross words, so the
 marginal of a text is the product over its words.
 
 Next to it the operator gives a plain unigram baseline with add-one smoothing. Word counts are exact and over
 all training texts. The most frequent words, a bounded table, are looked up in the tasks that read
-the texts; the others are joined, so that no key of the join is hot.
+the texts; the others are joined, so that no key of the join is hot. How many are looked up changes no result.
 
 Cases: a NULL or empty text is one end; a NULL id counts as training; repeated rows count as often as they
 stand; with no training rows all counts are 0 and the prior weights hold; very long words cost time and memory
@@ -19,6 +20,7 @@ in proportion; an empty table gives no rows; only the id and the text are read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,15 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices, materialised, ship_package
+from answergauge.llm.common import give_back, in_slices, materialised, ship_package
 
 FREQUENT = 50_000
 FREQUENT_BYTES = 64
-ROUNDS = 3
-LONGEST_PIECE = 16
+ROUNDS = 4
 SLICE_BYTES = 8 << 20
 COUNTER_ENTRIES = 400_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 LN10 = float(np.log(10))
 MARKER = b" "
 
@@ -55,13 +56,14 @@ class Lattice:
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
                 continue
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            usable = len(piece) <= LONGEST_PIECE and MARKER not in piece[1:] and piece == piece.lower()
+            usable = MARKER not in piece[1:] and piece == piece.lower()
             if usable:
                 # The scores of this file fall by one from merge to merge: a rank.
                 prior[piece] = max(prior.get(piece, 0.0), 1.0 / (50 - model.get_score(i)))
         self.pieces = [b""] + sorted(prior, key=lambda p: (len(p), p))
         weights = np.array([1.0 / 500] + [prior[p] for p in self.pieces[1:]])
         self.prior = weights / weights.sum()
+        self.longest = max(map(len, self.pieces))
         nodes: list[dict[int, int]] = [{}]
         final = [-1]
         for number, piece in enumerate(self.pieces[1:], 1):
@@ -92,7 +94,7 @@ class Lattice:
         node = np.arange(len(data)) + word
         at, state = np.arange(len(data)), np.zeros(len(data), np.int32)
         found = []
-        for step in range(LONGEST_PIECE):
+        for step in range(self.longest):
             state = self.next[state, data[at + step]]
             alive = state > 0
             at, state = at[alive], state[alive]
@@ -239,25 +241,28 @@ def score(
     training = docs.where(~held_out)
     counts = materialised(word_counts(training, text_col))
     ends = training.count()
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_words, distinct, once, twice = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+    ).first()
     train_tokens, vocabulary_size = n_words + ends, distinct + (1 if ends else 0)
     divisor = train_tokens + vocabulary_size + 1
+    # What each word's count leaves to the lattice, and the lattice's share of all probability.
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    left = discount * distinct / train_tokens if distinct else 1.0
     top = _most_frequent(counts, frequent)
 
     lattice = _lattice(vocabulary)
-    top.sort(key=lambda r: (-r[1], bytes(r[0])))
     top_words, top_counts = [bytes(r[0]) for r in top], np.array([r[1] for r in top], float)
     log_p = np.log(lattice.prior)
-    for _ in range(ROUNDS if top else 0):
-        found = lattice.expected(top_words, top_counts, log_p)
-        found[0] = ends * top_counts.sum() / max(1, n_words)
-        log_p = lattice.weights(found)
-    log_p = _over_all_words(counts, vocabulary, log_p, ends)
-    logs = (lattice.log_probabilities(top_words, log_p) / LN10).tolist()
+    for _ in range(ROUNDS if distinct else 0):
+        log_p = _over_all_words(counts, vocabulary, log_p)
+    pieces = lattice.log_probabilities(top_words, log_p)
+    logs = np.log10((top_counts - discount) / max(1, train_tokens) + left * np.exp(pieces)).tolist()
     base_logs = np.log10((top_counts + 1) / divisor).tolist()
     # At most ``frequent`` words of ``FREQUENT_BYTES`` bytes.
     known = spark.sparkContext.broadcast((dict(zip(top_words, zip(base_logs, logs))), log_p))
-    end_base, end_log = float(np.log10((ends + 1) / divisor)), float(log_p[0] / LN10)
+    end_base = float(np.log10((ends + 1) / divisor))
+    end_log = float(np.log10(ends / train_tokens)) if ends else float(log_p[0] / LN10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights = known.value
@@ -278,12 +283,10 @@ def score(
                         log += n * hit[1]
                         n_known += n
                 keys += [key] * (len(rare) - first)
-                heads.append([key, len(words) + 1, n_known, base, log, first, len(rare)])
+                heads.append((key, len(words) + 1, n_known, base, log))
                 key += 1
             unique = list(set(rare))
             value = dict(zip(unique, (_lattice(vocabulary).log_probabilities(unique, weights) / LN10).tolist()))
-            for head in heads:
-                head[4] += sum(ns[i] * value[rare[i]] for i in range(head[5], head[6]))
             blank = len(rare)
             # A row of the text itself has a word of its own, which no text can hold, so such rows spread too.
             yield pa.RecordBatch.from_arrays(
@@ -296,10 +299,11 @@ def score(
                     pa.array([None] * blank + [h[1] for h in heads], pa.int64()),
                     pa.array([None] * blank + [h[2] for h in heads], pa.int64()),
                     pa.array([None] * blank + [h[3] for h in heads], pa.float64()),
-                    pa.array([None] * blank + [h[4] for h in heads], pa.float64()),
+                    pa.array([value[w] for w in rare] + [h[4] for h in heads], pa.float64()),
                 ],
                 names=["key", "word", "n", "id", "held_out", "n_tokens", "n_known", "base", "score"],
             )
+        give_back()
 
     chosen = docs.select(
         F.col(id_col).alias("id"),
@@ -315,6 +319,10 @@ def score(
     joined = rows.join(rare_counts, rows["word"] == rare_counts["w"], "left")
     c = F.coalesce("c", F.lit(0))
     own = F.col("n_tokens").isNotNull()
+    # A row of a word has the log10 of its probability by pieces of the vocabulary.
+    by_pieces = F.lit(math.log10(left)) + F.col("score")
+    counted = F.lit(1.0 / max(1, train_tokens)) * (c - discount) + F.lit(left) * F.pow(F.lit(10.0), "score")
+    whole = F.when(c > 0, F.log10(counted)).otherwise(by_pieces)
     return (
         joined.groupBy("key")
         .agg(
@@ -324,30 +332,29 @@ def score(
             F.sum(F.when(own, F.col("n_known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
             F.lit(train_tokens).cast("long").alias("train_tokens"),
             F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((c + 1) / F.lit(divisor)))).alias("base_score"),
-            F.max("score").alias("score"),
+            F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * whole)).alias("score"),
         )
         .drop("key")
     )
 
 
-def _over_all_words(counts: DataFrame, vocabulary: str, log_p: np.ndarray, ends: int) -> np.ndarray:
-    """One round of expectation over every distinct word of the training texts. Tasks send sums per piece."""
+def _over_all_words(counts: DataFrame, vocabulary: str, log_p: np.ndarray) -> np.ndarray:
+    """One round of expectation over the distinct words of the training texts, each once: every word leaves the same
+    discount to its pieces. Tasks send sums per piece."""
     held = counts.sparkSession.sparkContext.broadcast(log_p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(vocabulary)
         total = np.zeros(len(lattice.pieces))
         for batch in batches:
-            total += lattice.expected(
-                batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), held.value
-            )
+            total += lattice.expected(batch.column("word").to_pylist(), np.ones(batch.num_rows), held.value)
+        give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": at.astype(np.int32), "uses": total[at]})
 
-    sums = counts.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses"))
+    sums = counts.select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses"))
     lattice = _lattice(vocabulary)
     found = np.zeros(len(lattice.pieces))
     for piece, uses in sums.collect():  # at most one row a piece
         found[piece] = uses
-    found[0] = ends
     return lattice.weights(found)

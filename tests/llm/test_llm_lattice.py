@@ -72,6 +72,30 @@ def plain(rows):
     )
 
 
+def plain_scores(rows):
+    """(id, log10 of the model's probability) in plain Python, but for the lattice, which has tests of its own."""
+    cut = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, words in cut if not held(i) for w in words)
+    ends = sum(not held(i) for i, _ in cut)
+    total, lattice = sum(c.values()) + ends, lattice_lm.Lattice(PATH)
+    log_p = np.log(lattice.prior)
+    for _ in range(lattice_lm.ROUNDS):
+        log_p = lattice.weights(lattice.expected(sorted(c), np.ones(len(c)), log_p))
+    words = sorted({w for _, ws in cut for w in ws})
+    pieces = dict(zip(words, lattice.log_probabilities(words, log_p) / math.log(10)))
+    once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+    left = d * len(c) / total
+
+    def log(w):
+        return math.log10((c[w] - d) / total + left * 10 ** pieces[w]) if c[w] else math.log10(left) + pieces[w]
+
+    # All words of the training texts, what is left for others, and the end have a probability of 1 together.
+    assert math.isclose(sum((n - d) / total for n in c.values()) + left + ends / total, 1)
+    return sorted((str(i), round(sum(map(log, ws)) + math.log10(ends / total), 5)) for i, ws in cut)
+
+
 def scored(df):
     rows = df.collect()
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
@@ -86,6 +110,9 @@ def test_counts_and_base_with_few_frequent_words(spark):
     table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, word string")
     got = lattice_lm.score(table, id_remainder("doc_id", 7) == 2, PATH, frequent=3)
     assert scored(got) == plain(rows)
+    all_looked_up = lattice_lm.score(table, id_remainder("doc_id", 7) == 2, PATH)
+    for made in (got, all_looked_up):
+        assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in made.collect()) == plain_scores(rows)
     assert scored(lattice_lm.score(table.limit(0), id_remainder("doc_id", 7) == 2, PATH)) == []
 
 
@@ -102,4 +129,15 @@ def test_likelier_than_shuffled_letters(spark):
 def test_query_on_the_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
-    assert scored(queries.op4_lattice_score(spark, folder)) == plain(rows)
+    scores = queries.op4_lattice_score(spark, folder)
+    assert scored(scores) == plain(rows)
+    assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in scores.collect()) == plain_scores(rows)
+
+
+def test_without_training_rows_the_prior_weights_hold(spark, lattice):
+    table = spark.createDataFrame([(1, "the nation")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    (row,) = lattice_lm.score(table, F.lit(True), PATH).collect()
+    logs = lattice.log_probabilities([b"the", b"nation"], np.log(lattice.prior)).sum() + math.log(lattice.prior[0])
+    assert row["score"] == pytest.approx(logs / math.log(10)) and row["train_tokens"] == 0
