@@ -674,6 +674,9 @@ def all_sql() -> dict[str, str]:
         ),
         "segmented_tokens": _segmented_tokens(),
         "ask_with_retries": _ask_with_retries(),
+        "numbered_cases": f"""WITH {CHAT_CASES.strip()}
+SELECT row_number() OVER (ORDER BY case_pos) - 1 AS case_pos, case_id, prompt, array_to_string(expect_keywords, '|') AS keywords
+FROM chat_cases""",
         "compliance_long_list": f"""SELECT doc_id, CASE WHEN len(hits) > 0
     THEN concat({', '.join(lit(p) for p in texts.BANNED_TEXT.split('{words}')[:1])}, array_to_string(hits, ','),
       {lit(texts.BANNED_TEXT.split('{words}')[1])}) ELSE {lit(texts.COMPLIANT_TEXT)} END AS compliance_msg

@@ -17,12 +17,14 @@ from answergauge.operators.attempts import call_outcomes, final_attempts, slow_c
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
 )
+from answergauge.operators.layout import shared_path
 from answergauge.operators.segment import han_segments, segmented_tokens
 from answergauge.operators.summarise import batch_rows, summarise
 from answergauge.operators.word_list import listed_words, word_table
 from answergauge.plans import derive
 from answergauge.rules import Rules
 from answergauge.sources import history
+from answergauge.sources.cases import read_cases
 from answergauge.sources.report import report_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +283,16 @@ def q_ask_with_retries(spark, sf):
     return joined.select("case_pos", "tries", "code", "data", "msg")
 
 
+def q_numbered_cases(spark, sf):
+    """Cases without numbers in several files, read back in the order of files and lines."""
+    cases = derive.chat_cases(derive.table(spark, sf, "conversations"))
+    folder = shared_path(spark)
+    in_order = cases.repartitionByRange(5, "case_pos").sortWithinPartitions("case_pos")
+    in_order.drop("case_pos").write.json(folder)
+    read = read_cases(spark, folder, "json", env={}, numbered=True)
+    return read.select("case_pos", "case_id", "prompt", F.array_join("expect_keywords", "|").alias("keywords"))
+
+
 def q_placeholders(spark, sf):
     events = derive.table(spark, sf, "events")
     text = F.concat(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator, Mapping
 
@@ -30,16 +31,22 @@ def read_cases(
     format: str = "parquet",
     key_path: str = "eval_case_list",
     env: Mapping[str, str] | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Cases with the ``schemas.CASES`` layout from parquet, JSON lines or YAML files; no rows when
     there is nothing at ``path``.
 
     ``case_pos`` is part of parquet and JSON data. In YAML, a list under the dotted ``key_path``, it is the
-    place in the list, so a YAML path names one file. Malformed JSON lines stop the read. Placeholders are
+    place in the list, so a YAML path names one file. With ``numbered``, JSON lines need none: cases are numbered in the
+    order of their files' paths and of the lines in them. Malformed JSON lines stop the read. Placeholders are
     filled from the environment unless ``env`` is given; an empty one leaves them."""
     try:
         if format == "yaml":
             cases = _read_yaml(spark, path, key_path)
+        elif numbered:
+            if format != "json":
+                raise ValueError(f"cases are numbered by the lines of JSON files, not of {format}")
+            cases = _read_numbered(spark, path)
         else:
             options = {"mode": "FAILFAST"} if format == "json" else {}
             cases = spark.read.schema(schemas.CASES).options(**options).format(format).load(path)
@@ -51,6 +58,29 @@ def read_cases(
     return fill_case_placeholders(cases, env) if env else cases
 
 
+def _read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with their number, the same however files are split.
+
+    Lines are counted per split first; a line's number is the sum over all splits before its own plus its place in the
+    split. Only one row per split, which Spark itself lists to plan the scan, goes through the driver; no line is shuffled
+    or sorted."""
+    scan = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    # Within a split, which one task reads in order, these ids have no gaps.
+    lines = scan.where(F.trim(F.col("value"), F.lit(" \t\r\n")) != "").withColumn("_at", F.monotonically_increasing_id())
+    counts = lines.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
+    counts.sort(key=lambda r: (r["_file"].encode(), r["_block"]))
+    before = itertools.accumulate((r["n"] for r in counts), initial=0)
+    starts = spark.createDataFrame(
+        [(r["_file"], r["_block"], b - r["first"]) for r, b in zip(counts, before)], "_file string, _block long, _shift long"
+    )
+    fields = ", ".join(schemas.CASES.split(", ")[1:])
+    parsed = F.from_json("value", fields, {"mode": "FAILFAST"})
+    placed = lines.join(starts, ["_file", "_block"])
+    return placed.select((F.col("_at") + F.col("_shift")).alias("case_pos"), parsed.alias("_case")).select("case_pos", "_case.*")
+
+
 def _read_yaml(spark: SparkSession, path: str, key_path: str) -> DataFrame:
     """Each file is parsed inside the task that reads it. A file that is not YAML, or has no list at
     ``key_path``, has no cases."""
