@@ -9,6 +9,7 @@ from answergauge import texts
 from answergauge.functions.text import HAN, HAN_BREAK, WHITESPACE, WS
 from answergauge.plans import derive, workloads
 from answergauge.rules import STOP_WORDS
+from answergauge.sources import history
 
 RULES = derive.DOC_RULES
 
@@ -478,8 +479,8 @@ LEVELS = [f"{n}_{part}" for n in texts.SUMMARY_LEVELS for part in ("count", "rat
 PASSES = ["valid_rate", "compliant_rate"]
 
 
-def _history(select: str) -> str:
-    return _with(HISTORY, select=select)
+def _history(select: str, *more: str) -> str:
+    return _with(HISTORY, *more, select=select)
 
 
 def _detail_view() -> str:
@@ -511,6 +512,31 @@ FULL JOIN (SELECT case_pos, case_id, relevance_score AS total_score, total_score
   success_flag FROM details WHERE case_desc <> 'error') new ON old.case_pos = new.case_pos""")
 
 
+def _regression_verdict() -> str:
+    weight = " + ".join(f"CASE WHEN u >= {b} THEN 1 ELSE 0 END" for b in history.poisson_bounds())
+    return _history(f"""
+SELECT CAST(coalesce(max(n) FILTER (r = 0), 0) AS BIGINT) AS n_cases, max(m) FILTER (r = 0) AS mean_change,
+  any_value(lo) AS lower, any_value(hi) AS upper,
+  CASE WHEN any_value(lo) IS NULL THEN 'no common cases' WHEN any_value(lo) > 0 THEN 'better'
+    WHEN any_value(hi) < 0 THEN 'worse' ELSE 'no clear change' END AS verdict
+FROM (
+  SELECT *, (SELECT list(m ORDER BY m)[CAST(floor((count(*) - 1) * {(1 - 0.95) / 2!r}::DOUBLE) AS INTEGER) + 1] FROM means WHERE r > 0) AS lo,
+    (SELECT list(m ORDER BY m)[CAST(floor((count(*) - 1) * {1 - (1 - 0.95) / 2!r}::DOUBLE) AS INTEGER) + 1] FROM means WHERE r > 0) AS hi
+  FROM means)""", f"""
+paired AS (
+  SELECT old.case_pos, CAST((CAST(new.relevance_score AS DECIMAL(20, 4)) - CAST(old.total_score AS DECIMAL(20, 4))) * 10000 AS BIGINT)
+    AS change
+  FROM (SELECT * FROM details WHERE case_desc <> 'signup' AND success_flag) old
+  JOIN (SELECT * FROM details WHERE case_desc <> 'error' AND success_flag) new ON old.case_pos = new.case_pos),
+drawn AS (
+  SELECT change, r, CAST(concat('0x', substr(md5(concat('1:', case_pos, ':', (r - 1) // 8)), 4 * ((r - 1) % 8) + 1, 4)) AS INTEGER) AS u
+  FROM paired, range(1, {history.REPLICATES} + 1) t(r)),
+means AS (
+  SELECT r, sum(w) AS n, CAST(sum(w * change) AS DOUBLE) / CAST(sum(w) AS DOUBLE) / 10000::DOUBLE AS m
+  FROM (SELECT 0 AS r, change, 1 AS w FROM paired UNION ALL SELECT r, change, {weight} AS w FROM drawn)
+  GROUP BY r HAVING sum(w) > 0)""")
+
+
 def _model_trend() -> str:
     change = ", ".join(
         f"{round2(f'{c} - lag({c}) OVER w')} AS {c}_change" for c in ("success_rate", "avg_total_score")
@@ -770,6 +796,7 @@ FROM (SELECT doc_id, {strip('text')} AS s FROM documents)""",
             f" WHERE batch_id IS DISTINCT FROM {batch}"
         ),
         "compare_batches": _compare_batches(),
+        "regression_verdict": _regression_verdict(),
         "model_trend": _model_trend(),
         "batch_list_view": _history(
             "SELECT batch_id, execute_time, model_name, total_cases, success_rate, avg_total_score FROM batches"

@@ -396,7 +396,7 @@ def q_details_delete(spark, sf):
     return history.without_batch(details, BATCH).select("batch_id", "case_pos", "total_score")
 
 
-def q_compare_batches(spark, sf):
+def _two_runs(spark, sf):
     """Two runs of one suite. The later one lacks some cases, has others anew, and scores differently."""
     details = _details(spark, sf)
     old = details.where("case_desc <> 'signup'").withColumn("batch_id", F.lit("old"))
@@ -409,7 +409,15 @@ def q_compare_batches(spark, sf):
             "hallucination_level": raised,
         }
     )
-    return history.compare_batches(old.unionByName(new), "old", "new")
+    return old.unionByName(new)
+
+
+def q_compare_batches(spark, sf):
+    return history.compare_batches(_two_runs(spark, sf), "old", "new")
+
+
+def q_regression_verdict(spark, sf):
+    return history.regression_verdict(_two_runs(spark, sf), "old", "new")
 
 
 def q_model_trend(spark, sf):

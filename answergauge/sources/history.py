@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
+import math
 import secrets
 import time
 
@@ -112,6 +114,84 @@ def compare_batches(details: DataFrame, baseline: str, candidate: str) -> DataFr
     )
 
 
+REPLICATES = 200
+_DRAWS_PER_DIGEST = 8  # 16 bits each
+
+
+def poisson_bounds() -> list[int]:
+    """The 16-bit numbers from which on a draw is at least 1, 2, ...: cumulative shares of a Poisson variable of mean 1."""
+    bounds, share, total = [], math.exp(-1), 0.0
+    for k in itertools.count(1):
+        total += share
+        if round(total * 65536) >= 65536:
+            return bounds
+        bounds.append(round(total * 65536))
+        share /= k
+
+
+def regression_verdict(
+    details: DataFrame,
+    baseline: str,
+    candidate: str,
+    replicates: int = REPLICATES,
+    confidence: float = 0.95,
+    margin: float = 0.0,
+    seed: int = 1,
+) -> DataFrame:
+    """One row on whether the candidate scores lower than the baseline on the cases that both answered: their number, the mean
+    change of the total score, its interval by a paired bootstrap, and a verdict. ``better`` or ``worse`` says that the
+    whole interval lies beyond ``margin``.
+
+    Every case has a weight in each replicate, a Poisson number that its ``case_pos`` and the seed decide: so cases need
+    not meet for resampling, reruns agree, and each task sends one row a replicate. Sums are whole (ten-thousandths)."""
+
+    def of(batch_id: str, name: str) -> DataFrame:
+        rows = batch_by_id(details, batch_id).where("success_flag")
+        return rows.select("case_pos", F.col("total_score").cast("decimal(20,4)").alias(name))
+
+    paired = of(baseline, "old").join(of(candidate, "new"), "case_pos").where("old IS NOT NULL AND new IS NOT NULL")
+    change = ((F.col("new") - F.col("old")) * 10000).cast("bigint")
+    digests = F.transform(
+        F.sequence(F.lit(0), F.lit((replicates - 1) // _DRAWS_PER_DIGEST)),
+        lambda b: F.md5(F.concat_ws(":", F.lit(seed), "case_pos", b).cast("binary")),
+    )
+    draws = F.flatten(
+        F.transform(
+            digests,
+            lambda d: F.array(*[F.conv(F.substring(d, 4 * i + 1, 4), 16, 10).cast("int") for i in range(_DRAWS_PER_DIGEST)]),
+        )
+    )
+    weights = F.transform(
+        F.slice(draws, 1, replicates), lambda u: sum((F.when(u >= b, 1).otherwise(0) for b in poisson_bounds()), F.lit(0))
+    )
+    # Replicate 0 is the sample itself.
+    dealt = paired.select(change.alias("_change"), F.posexplode(F.concat(F.array(F.lit(1)), weights)).alias("replicate", "w"))
+    sums = dealt.groupBy("replicate").agg(F.sum("w").alias("_n"), F.sum(F.col("w") * F.col("_change")).alias("_sum"))
+    mean = F.try_divide(F.col("_sum").cast("double"), F.col("_n").cast("double")) / F.lit(10000.0)
+    drawn = F.array_sort(F.collect_list(F.when((F.col("replicate") > 0) & (F.col("_n") > 0), F.col("_mean"))))
+    whole = sums.withColumn("_mean", mean).agg(
+        drawn.alias("_drawn"),
+        F.max(F.when(F.col("replicate") == 0, F.col("_n"))).alias("n_cases"),
+        F.max(F.when(F.col("replicate") == 0, F.col("_mean"))).alias("mean_change"),
+    )
+
+    def quantile(share: float) -> Column:
+        at = F.floor((F.size("_drawn") - 1) * F.lit(share)).cast("int") + 1
+        return F.when(F.size("_drawn") > 0, F.try_element_at("_drawn", at))
+
+    tail = (1 - confidence) / 2
+    bounded = whole.withColumns({"lower": quantile(tail), "upper": quantile(1 - tail)})
+    verdict = (
+        F.when(F.col("lower").isNull(), "no common cases")
+        .when(F.col("lower") > margin, "better")
+        .when(F.col("upper") < -margin, "worse")
+        .otherwise("no clear change")
+    )
+    return bounded.select(
+        F.coalesce("n_cases", F.lit(0)).alias("n_cases"), "mean_change", "lower", "upper", verdict.alias("verdict")
+    )
+
+
 def model_trend(batches: DataFrame) -> DataFrame:
     """The batches of each model in order of execution (``run`` from 1), with the change of the mean total and of
     the success rate against the model's batch before. Works on batch rows only, one a batch."""
@@ -218,6 +298,9 @@ class HistoryStore:
     def compare(self, baseline: str, candidate: str) -> DataFrame:
         return compare_batches(self.details, baseline, candidate)
 
+    def verdict(self, baseline: str, candidate: str, **options) -> DataFrame:
+        return regression_verdict(self.details, baseline, candidate, **options)
+
     def trend(self) -> DataFrame:
         return model_trend(self.batches)
 
