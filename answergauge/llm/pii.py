@@ -11,6 +11,7 @@ rule; long texts are read in one linear pass; other columns are passed through o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,17 +22,22 @@ from pyspark.sql import functions as F
 from answergauge.llm.common import in_slices, schema_of, ship_package
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("mailbox", "login", "iban", "ssn", "account")
+ADDED_KINDS = ("mailbox", "login", "iban", "ssn", "account", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 SLICE_BYTES = 4 << 20
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
-# Anchors and what expands them. Words are looked for as written here, in upper case and with a capital.
+# Anchors and what expands them. Words are looked for in a copy of the text whose letters A to Z are lower-cased.
 AT_SIGNS = ("@", "(at)", "[at]")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 IBAN_CUES = ("iban",)
 SSN_CUES = ("ssn", "social security")
+SECRET_CUES = (
+    "password", "passwort", "passwd", "pwd", "contraseña", "mot de passe", "secret", "token", "bearer",
+    "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key", "private_key", "auth_key",
+)
+KEY_BEGINNINGS = ("akia", "asia", "sk_live_", "sk_test_", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "aiza", "-----begin")
 ACCOUNT_CUES = ("account", "acct", "passport", "konto", "compte", "cuenta")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,9 +48,19 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 WIDE_DOMAIN = re.compile(r"(?:[^\W_]|-)++(?:\.(?:[^\W_]|-)++)++")
-LOGIN = re.compile(r"[^\s/@:?#\"'<>]{1,64}:[^\s/@?#\"'<>]{1,128}@[A-Za-z0-9.-]+")
-IBAN = re.compile(r"[\s:#=.-]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+LOGIN = re.compile(r"[^\s/@:?#\"'<>]++:[^\s/@?#\"'<>]++@[A-Za-z0-9.-]++")
+IBAN = re.compile(r"[^0-9\n]{0,24}?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SSN = re.compile(r"[^0-9\n]{0,24}?([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+# The value of a secret: in quotes, or with a digit in it.
+SECRET = re.compile(r"[\"'\])]?\s{0,3}(?:[:=]=?>?|\bis\b)\s{0,3}(?:([\"'])([^\s\"']{6,}+)\1|([^\s\"'<>,;]{8,}+))")
+BEARER = re.compile(r"\s++([A-Za-z0-9._~+/-]{16,}+=*+)")
+# How keys of some services are formed.
+KEY = re.compile(
+    r"A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|sk_(?:live|test)_[0-9A-Za-z]{16,}+|gh[pos]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"
+    r"|github_pat_[0-9A-Za-z_]{22,}+|glpat-[0-9A-Za-z_-]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"
+)
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 ACCOUNT = re.compile(r"(?: ?(?:number|no\.?|nr\.?|id|#))?[\s:#=]{1,4}([0-9](?:[ -]?[0-9]){6,17})(?![0-9])", re.I)
 
 
@@ -59,10 +75,11 @@ def _automaton():
         ("iban", IBAN_CUES),
         ("ssn", SSN_CUES),
         ("account", ACCOUNT_CUES),
+        ("secret", SECRET_CUES),
+        ("key", KEY_BEGINNINGS),
     ):
         for word in words:
-            for form in {word, word.upper(), word.capitalize()}:
-                found.add_word(form, (role, len(form)))
+            found.add_word(word, (role, len(word)))
     found.make_automaton()
     return found
 
@@ -91,6 +108,33 @@ def _iban_end(text: str, start: int, end: int) -> int | None:
     return None
 
 
+def _secret(text: str, after: int, cue: str) -> tuple[tuple[int, int] | None, int]:
+    """The value that follows a cue such as ``token =``, and how far the text was read. A mere mention has none."""
+    if cue == "bearer":
+        m = BEARER.match(text, after)
+        return (m.span(1) if m and any("0" <= c <= "9" for c in m[1]) else None), (m.end() if m else after)
+    m = SECRET.match(text, after)
+    if m is None:
+        return None, after
+    if m[1]:
+        return m.span(2), m.end()
+    value = m[3].rstrip(".)]}!?")
+    plausible = len(value) >= 8 and any("0" <= c <= "9" for c in value)
+    return ((m.start(3), m.start(3) + len(value)) if plausible else None), m.end()
+
+
+def _key(text: str, begin: int, closings: list[int]) -> tuple[int, int] | None:
+    """A key that begins at ``begin``, or a private key in armour with all its lines; ``closings`` is where armour ends."""
+    if begin and text[begin - 1].isalnum():
+        return None
+    if m := KEY.match(text, begin):
+        return m.span()
+    if m := PEM_BEGIN.match(text, begin):
+        at = bisect_right(closings, m.end())
+        return begin, closings[at] if at < len(closings) else m.end()
+    return None
+
+
 def _local_start(text: str, at: int, least: int, fits) -> int:
     start = at
     while start > least and fits(text[start - 1]):
@@ -104,7 +148,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     email_end = 0
-    for last, (role, width) in _automaton().iter(text):
+    low = text if text.islower() and text.isascii() else text.encode("utf-8", "replace").lower().decode()
+    read_to = armour_end = 0
+    closings = [m.end() for m in PEM_END.finditer(text)] if "-----END" in text else []
+    for last, (role, width) in _automaton().iter(low):
         begin, after = last + 1 - width, last + 1
         if role == "at":
             email = None
@@ -114,7 +161,12 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 if tail:
                     email, email_end = (start, tail.end()), tail.end()
                     found["email"].append(email)
-            # Marked-up at-signs and names beyond ASCII, which the plain form does not cover.
+            # Marked-up at-signs, with blanks around them, and names beyond ASCII, which the plain form does not cover.
+            if width > 1:
+                while begin and text[begin - 1] == " ":
+                    begin -= 1
+                while text.startswith(" ", after):
+                    after += 1
             start = _local_start(text, begin, 0, lambda c: c.isalnum() or c in "._%+-")
             tail = WIDE_DOMAIN.match(text, after) if start < begin else None
             if tail and text[start:begin].strip("._%+-") and tail.group().rpartition(".")[2].isalpha():
@@ -130,6 +182,15 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             m = SSN.match(text, after)
             if m and m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
                 found["ssn"].append((m.start(1), m.end()))
+        elif role == "secret":
+            if begin >= read_to:  # what follows a cue inside a value is part of that value, or as little a secret
+                value, read_to = _secret(text, after, low[begin:after])
+                if value:
+                    found["secret"].append(value)
+        elif role == "key":
+            if begin >= armour_end and (value := _key(text, begin, closings)):
+                found["secret"].append(value)
+                armour_end = value[1]
         elif m := ACCOUNT.match(text, after):
             found["account"].append(m.span(1))
     for m in IP.finditer(text):
