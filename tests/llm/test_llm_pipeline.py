@@ -1,6 +1,7 @@
 """The pipeline: what each stage keeps, on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -87,3 +88,29 @@ def test_every_stage_takes_an_empty_table(spark):
     empty = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_language_takes_any_column_name(spark, stages):
+    given = stages[0].selectExpr("*", "source as _pred", "doc_id as _SCORE")
+    kept = corpus_pipeline.language(spark, given, FOLDER)
+    assert kept.columns == given.columns and kept.count() == stages[1].count()
+    assert kept.where("_pred <=> source AND _SCORE <=> doc_id").count() == kept.count()
+
+
+def test_language_keeps_an_unlabelled_table(spark, stages):
+    given = stages[0].withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, given, FOLDER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in given.collect())
+
+
+def test_stages_take_repeated_rows_and_long_texts(spark, stages):
+    some = stages[0].where("lang = 'en'").limit(20)
+    long = some.limit(1).withColumn("text", F.repeat("text", F.lit(400))).withColumn("doc_id", F.lit(77_000_001).cast("long"))
+    docs = materialised(some.unionByName(some).unionByName(long))
+    for name, stage in corpus_pipeline.STAGES:
+        made = materialised(stage(spark, docs, FOLDER))
+        assert made.count() > 0
+        if name == "near_duplicates":
+            ids = [r["doc_id"] for r in made.collect()]
+            assert len(ids) == len(set(ids))
+        docs = made
