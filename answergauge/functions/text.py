@@ -162,10 +162,10 @@ def fill_template(template: str, slots: Mapping[str, Any]) -> Column:
 
 def parse_json(text: Column) -> Column:
     """A JSON text as a variant, NULL unless all of it is one JSON value. The parser alone would take text
-    after a value; inside a list and inside an object, no tail passes."""
+    after a value; inside a list and inside an object, no tail passes. The value is taken from the list."""
     in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return F.try_parse_json(F.when(in_list.isNotNull() & in_object.isNotNull(), text))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_list, "$[0]", "variant"))
 
 
 def fill_placeholders(text: Column, env: Mapping[str, str]) -> Column:
