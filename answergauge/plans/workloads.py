@@ -134,14 +134,19 @@ def _docs(spark, sf):
     return derive.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").repartition("doc_id")
 
 
+def _unjoined(spark, sf):
+    """The same where nothing is joined, so nothing need be shuffled."""
+    return derive.documents(spark, sf, "doc_id", "text", "lang", "source", "n_chars")
+
+
 def _scored(spark, sf):
     """Cases graded next to their text; nothing to join."""
-    cases = with_case_defaults(derive.doc_cases(_docs(spark, sf), "text"))
+    cases = with_case_defaults(derive.doc_cases(_unjoined(spark, sf), "text"))
     return add_scores(cases, derive.DOC_RULES, "text")
 
 
 def q_case_defaults(spark, sf):
-    return with_case_defaults(derive.doc_cases(_docs(spark, sf))).select(
+    return with_case_defaults(derive.doc_cases(_unjoined(spark, sf))).select(
         "case_pos", "case_id", "case_desc", "prompt", F.length("standard_answer").alias("standard_chars"),
         F.array_join("expect_keywords", "|").alias("keywords"),
     )
@@ -156,7 +161,7 @@ def q_completeness(spark, sf):
 
 
 def q_unsupported_terms(spark, sf):
-    cases = with_case_defaults(derive.doc_cases(_docs(spark, sf), "text"))
+    cases = with_case_defaults(derive.doc_cases(_unjoined(spark, sf), "text"))
     found = add_tokens(cases, derive.DOC_RULES, "text").select(
         "case_pos",
         F.size("_answer_tokens").alias("n_answer"),
