@@ -3,7 +3,8 @@
 Trained online with follow-the-regularised-leader and elastic-net penalties (the weights of most n-grams
 stay exactly 0), then calibrated by one temperature. Document frequencies are counted over all training texts; the
 regression itself is fitted on a seeded sample of at most about ``SAMPLE_PER_CLASS`` rows a language, as sparse
-vectors of bounded size. Prediction reads whole texts and nothing but the text.
+vectors of bounded size. Every labelled language is learnt, however rare; the fit takes memory of ``BUCKETS`` numbers a
+language. Prediction reads whole texts and nothing but the text.
 
 Cases: a NULL text, or one without a letter, is ``und`` with score 0; rows without label or id are not learnt from;
 without any row to learn from, everything is ``und``; ties go to the language that is first in order;
@@ -28,9 +29,8 @@ from answergauge.llm.common import in_slices, schema_of, ship_package
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SAMPLE_PER_CLASS = 1000
-MOST_CLASSES = 256
 EPOCHS = 2
-HELD_BACK = 5  # every fifth row of the sample is for the temperature
+HELD_BACK = 5  # every fifth row of each language's sample is for the temperature
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
 SLICE_BYTES = 4 << 20
 UNKNOWN = "und"
@@ -90,7 +90,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple[n
         e = np.exp(x - x.max(-1, keepdims=True))
         return e / e.sum(-1, keepdims=True)
 
-    training = [r for i, r in enumerate(rows) if i % HELD_BACK or len(rows) < 2 * HELD_BACK]
+    seen, training, held = [0] * classes, [], []
+    for row in rows:
+        seen[row[0]] += 1
+        (training if seen[row[0]] % HELD_BACK else held).append(row)
     for _ in range(EPOCHS):
         for label, at, values in training:
             at, values = np.append(at, BUCKETS), np.append(values, 1.0)  # the last is the bias
@@ -103,7 +106,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple[n
             z[at] = zs + g - sigma * w
             n[at] = ns + g * g
     w = weights(z, n)
-    held = [r for i, r in enumerate(rows) if i % HELD_BACK == 0] or rows
+    held = held or rows
     logits = np.array([v @ w[a] + w[BUCKETS] for _, a, v in held]).reshape(-1, classes)
     labels = np.array([r[0] for r in held], int)
     # Platt's smoothed targets: without them, rows that are all told apart would ask for a temperature of 0.
@@ -139,7 +142,7 @@ class LanguageModel:
     ) -> DataFrame:
         """All columns, and at the end the language and its calibrated probability."""
         ship_package(docs.sparkSession)
-        held = docs.sparkSession.sparkContext.broadcast(self)  # at most BUCKETS * MOST_CLASSES weights
+        held = docs.sparkSession.sparkContext.broadcast(self)  # at most BUCKETS weights a language
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in in_slices(batches, text_col, SLICE_BYTES):
@@ -195,15 +198,15 @@ def train(
     """Fits a model on the labelled rows of ``docs``."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = labelled.groupBy(F.col(lang_col).cast("string")).count()
-    largest = sizes.orderBy(F.desc("count"), F.asc(sizes.columns[0])).limit(MOST_CLASSES).collect()
-    languages = sorted(r[0] for r in largest)
+    counted = sizes.collect()  # one row a language
+    languages = sorted(r[0] for r in counted)
     nothing = LanguageModel([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), 1.0)
     if not languages:
         return nothing
     total, counts = document_frequencies(labelled, text_col)
     idf = np.log((1 + total) / (1 + counts)) + 1
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    share = F.create_map(*[x for r in largest for x in (F.lit(r[0]), F.lit(min(1.0, per_class / r[1])))])
+    share = F.create_map(*[x for r in counted for x in (F.lit(r[0]), F.lit(min(1.0, per_class / r[1])))])
     ticket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11)
     sample = labelled.select(
         ticket.alias("ticket"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
