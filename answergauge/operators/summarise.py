@@ -12,6 +12,9 @@ from answergauge.functions.text import fixed2, round2
 
 SCORES = {"total": "total_score", "relevance": "relevance_score", "completeness": "completeness_score"}
 PASSES = {"valid": "is_valid", "compliant": "is_compliant"}
+COUNTERS = [
+    "total", "success", *[f"_sum_{n}" for n in SCORES], *[f"_n_{n}" for n in (*texts.SUMMARY_LEVELS, *PASSES)],
+]
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -66,9 +69,15 @@ def summarise(
 
     ``total_time`` is the batch's wall time in seconds as the caller measured it; a Column may use the
     grouping columns. ``also`` are further named aggregates to add at the end."""
-    counted = count_results(results, by, also)
-    n, ok = F.col("total"), F.col("success")
     seconds = total_time if isinstance(total_time, Column) else F.lit(float(total_time))
+    return summary_records(count_results(results, by, also), by, seconds, ["_also.*"] if also else [])
+
+
+def summary_records(
+    counted: DataFrame, by: Sequence[str], seconds: Column, keep: Sequence[str | Column] = ()
+) -> DataFrame:
+    """The summary record of each row of counts, whether counted at once or merged from counters of parts."""
+    n, ok = F.col("total"), F.col("success")
     means = [
         round2(F.col(f"_sum_{name}").cast("double") / F.nullif(ok, F.lit(0))).alias(name) for name in SCORES
     ]
@@ -90,12 +99,40 @@ def summarise(
         F.struct(*passes).alias("validate_pass_rate"),
         seconds.alias("total_time"),
         F.coalesce(round2(seconds / F.nullif(n, F.lit(0))), F.lit(0.0)).alias("avg_time_per_case"),
-        *(["_also.*"] if also else []),
+        *keep,
+    )
+
+
+ROLLUP_KEYS = ["model_name", "day", "batch_id"]
+ROLLUPS = {
+    "batch": ROLLUP_KEYS, "model and day": ["model_name", "day"], "model": ["model_name"], "day": ["day"], "all": [],
+}
+
+
+def summary_rollup(batches: DataFrame) -> DataFrame:
+    """Summary records of each batch, each model's days, models, days and all (``level``), from batch rows that carry their
+    ``counters``: no result row is read again. Means and rates are those of the rows themselves, not means of means.
+
+    Counters are sums, so they merge in any order; scores and times are added as decimals. ``n_uncounted`` batches of the
+    ``n_batches`` have no counters and are in no other figure. Without batches there is no row."""
+    flat = batches.select(*ROLLUP_KEYS, F.col("total_time").cast("decimal(20,6)").alias("_seconds"), "counters.*")
+    merged = flat.groupingSets([[F.col(c) for c in keys] for keys in ROLLUPS.values()], *ROLLUP_KEYS).agg(
+        F.grouping_id().alias("_set"),
+        F.count(F.lit(1)).alias("n_batches"),
+        F.count_if(F.col("total").isNull()).alias("n_uncounted"),
+        F.sum(F.when(F.col("total").isNotNull(), F.col("_seconds"))).alias("_seconds"),
+        *[F.sum(c).alias(c) for c in COUNTERS],
     )
+    level = F.lit(None).cast("string")
+    for name, keys in ROLLUPS.items():
+        absent = sum(1 << i for i, c in enumerate(reversed(ROLLUP_KEYS)) if c not in keys)
+        level = F.when(F.col("_set") == absent, name).otherwise(level)
+    named = merged.withColumn("level", level)
+    return summary_records(named, ["level", *ROLLUP_KEYS, "n_batches", "n_uncounted"], F.col("_seconds").cast("double"))
 
 
 def batch_rows(summary: DataFrame, model_name: str | Column, execute_time: str | Column) -> DataFrame:
-    """Summaries that carry a ``batch_id`` as rows of the batch table."""
+    """Summaries that carry a ``batch_id`` as rows of the batch table, with their ``counters`` where they carry them."""
 
     def given(x: str | Column) -> Column:
         return x if isinstance(x, Column) else F.lit(x)
@@ -109,4 +146,5 @@ def batch_rows(summary: DataFrame, model_name: str | Column, execute_time: str |
         "total_time",
         "success_rate",
         F.col("avg_score.total").alias("avg_total_score"),
+        *[c for c in summary.columns if c == "counters"],
     )

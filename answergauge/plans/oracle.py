@@ -445,14 +445,13 @@ def _outcome_code() -> str:
 # ---- Summaries -------------------------------------------------------------------
 
 
-def _summary(columns: list[str], by_batch: bool) -> str:
+def _summary_columns(seconds: str) -> dict[str, str]:
     n, ok = "count(*)", "count(*) FILTER (success_flag)"
 
     def pct(test: str) -> str:
         part = f"count(*) FILTER (success_flag AND {test})"
         return f"CASE WHEN {ok} > 0 THEN concat({fixed2(f'{part} / nullif({ok}, 0)::DOUBLE * 100')}, '%') END"
 
-    seconds = "length(batch_id) * 1.37::DOUBLE" if by_batch else "123.45::DOUBLE"
     made = {
         "total": n,
         "success": ok,
@@ -469,6 +468,11 @@ def _summary(columns: list[str], by_batch: bool) -> str:
     for name, level in texts.SUMMARY_LEVELS.items():
         made[f"{name}_count"] = f"count(*) FILTER (success_flag AND hallucination_level = {lit(level)})"
         made[f"{name}_ratio"] = pct(f"hallucination_level = {lit(level)}")
+    return made
+
+
+def _summary(columns: list[str], by_batch: bool) -> str:
+    made = _summary_columns("length(batch_id) * 1.37::DOUBLE" if by_batch else "123.45::DOUBLE")
     wanted = ["batch_id"] * by_batch + [f"{made[c]} AS {c}" for c in columns]
     return _doc_results(f"SELECT {', '.join(wanted)} FROM results" + (" GROUP BY batch_id" if by_batch else ""))
 
@@ -537,6 +541,23 @@ means AS (
   GROUP BY r HAVING sum(w) > 0)""")
 
 
+def _summary_rollup() -> str:
+    """Over the result rows themselves, at every level."""
+    own = "CASE WHEN place = 1 THEN CAST(length(batch_id) * 2.5 AS DECIMAL(20, 6)) ELSE 0 END"
+    made = _summary_columns(f"sum({own})::DOUBLE")
+    levels = {0: "batch", 1: "model and day", 3: "model", 5: "day", 7: "all"}
+    level = " ".join(f"WHEN {k} THEN {lit(v)}" for k, v in levels.items())
+    return _history(f"""
+SELECT CASE grouping_id(model_name, day, batch_id) {level} END AS level, model_name, day, batch_id,
+  count(*) FILTER (place = 1) AS n_batches, 0::BIGINT AS n_uncounted,
+  {", ".join(f"{made[c]} AS {c}" for c in (*COUNTS, *MEANS, *LEVELS, *PASSES))}
+FROM (
+  SELECT d.*, concat('model ', right(batch_id, 1)) AS model_name, left(execute_time, 10) AS day,
+    row_number() OVER (PARTITION BY batch_id ORDER BY case_pos) AS place
+  FROM details d JOIN (SELECT batch_id, execute_time FROM batches) USING (batch_id))
+GROUP BY GROUPING SETS ((model_name, day, batch_id), (model_name, day), (model_name), (day), ())""")
+
+
 def _model_trend() -> str:
     change = ", ".join(
         f"{round2(f'{c} - lag({c}) OVER w')} AS {c}_change" for c in ("success_rate", "avg_total_score")
@@ -798,6 +819,7 @@ FROM (SELECT doc_id, {strip('text')} AS s FROM documents)""",
         "compare_batches": _compare_batches(),
         "regression_verdict": _regression_verdict(),
         "model_trend": _model_trend(),
+        "summary_rollup": _summary_rollup(),
         "batch_list_view": _history(
             "SELECT batch_id, execute_time, model_name, total_cases, success_rate, avg_total_score FROM batches"
             " ORDER BY execute_time DESC, batch_id LIMIT 25"

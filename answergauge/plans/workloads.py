@@ -17,9 +17,9 @@ from answergauge.operators.attempts import call_outcomes, final_attempts, slow_c
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
 )
-from answergauge.operators.layout import shared_path
+from answergauge.operators.layout import materialised, shared_path
 from answergauge.operators.segment import han_segments, segmented_tokens
-from answergauge.operators.summarise import batch_rows, summarise
+from answergauge.operators.summarise import COUNTERS, batch_rows, count_results, summarise, summary_records, summary_rollup
 from answergauge.operators.word_list import listed_words, word_table
 from answergauge.plans import derive
 from answergauge.rules import Rules
@@ -431,6 +431,25 @@ def q_model_trend(spark, sf):
     return history.model_trend(_batches(spark, sf).withColumn("model_name", models))
 
 
+def q_summary_rollup(spark, sf):
+    """Batch rows are stored with their counters, then rolled up from those alone."""
+    ran = F.max(F.col("execute_timestamp").cast("timestamp_ntz")).alias("ran")
+    counted = count_results(_details(spark, sf), ["batch_id"], [ran])
+    keep = ["_also.ran", F.struct(*COUNTERS).alias("counters")]
+    summary = summary_records(counted, ["batch_id"], F.length("batch_id") * F.lit(2.5), keep)
+    model = F.concat(F.lit("model "), F.right("batch_id", F.lit(1)))
+    rows = batch_rows(summary, model, F.col("ran").cast("string"))
+    stored = materialised(rows.withColumn("day", F.left("execute_time", F.lit(10))))
+    return summary_rollup(stored).select(
+        "level", "model_name", "day", "batch_id", "n_batches", "n_uncounted", "total", "success", "failed", "success_rate",
+        *[F.col(f"avg_score.{n}").alias(f"avg_{n}") for n in ("total", "relevance", "completeness")],
+        *_level_columns(),
+        F.col("validate_pass_rate.valid").alias("valid_rate"),
+        F.col("validate_pass_rate.compliant").alias("compliant_rate"),
+        "total_time", "avg_time_per_case",
+    )
+
+
 def q_batch_list_view(spark, sf):
     return history.list_view(_batches(spark, sf), 25)
 

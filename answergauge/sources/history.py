@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 from answergauge import schemas, texts
 from answergauge.functions.text import plain_number, round2
-from answergauge.operators.summarise import batch_rows, summarise
+from answergauge.operators.summarise import (
+    COUNTERS, batch_rows, count_results, summarise, summary_records, summary_rollup,
+)
 
 LIST_COLUMNS = ["batch_id", "execute_time", "model_name", "total_cases", "success_rate", "avg_total_score"]
 
+_COUNTER_TYPES = ", ".join(f"{c}: {'decimal(30,2)' if c.startswith('_sum_') else 'bigint'}" for c in COUNTERS)
+BATCH_FILES = schemas.BATCH_FIELDS | {"counters": f"struct<{_COUNTER_TYPES}>", "day": "STRING"}
+
 log = logging.getLogger(__name__)
 
 
@@ -254,8 +259,10 @@ class HistoryStore:
             if total_time is None:
                 total_time = round(time.monotonic() - start, 2)
             # Grouped over nothing, so that an empty batch has a row too.
-            summary = self.summary(batch_id, total_time).withColumn("batch_id", F.lit(batch_id))
-            row = batch_rows(summary, model_name, stamp).select(*schemas.BATCH_COLUMNS)
+            counted = count_results(self.details.where(F.col("batch_id") == batch_id))
+            keep = [F.lit(batch_id).alias("batch_id"), F.struct(*COUNTERS).alias("counters")]
+            summary = summary_records(counted, [], F.lit(float(total_time)), keep)
+            row = batch_rows(summary, model_name, stamp).select(*schemas.BATCH_COLUMNS, "counters")
             row.withColumn("day", F.lit(stamp[:10])).write.mode("append").partitionBy("day").parquet(self.batch_path)
         except Exception:
             log.exception("batch %s was not saved", batch_id)
@@ -263,18 +270,41 @@ class HistoryStore:
             return ""
         return batch_id
 
+    def _visible(self, saved: DataFrame) -> DataFrame:
+        deleted = self._read(self.deleted_path, {"batch_id": "STRING"})
+        return saved.join(deleted, "batch_id", "left_anti")
+
     @property
     def batches(self) -> DataFrame:
-        saved = self._read(self.batch_path, schemas.BATCH_FIELDS | {"day": "STRING"})
-        deleted = self._read(self.deleted_path, {"batch_id": "STRING"})
-        return saved.join(deleted, "batch_id", "left_anti").select(*schemas.BATCH_COLUMNS)
+        return self._visible(self._read(self.batch_path, BATCH_FILES)).select(*schemas.BATCH_COLUMNS)
+
+    def _of_days(self, days: list[str]) -> DataFrame:
+        """The visible batches of these folders; no other folder is listed or opened."""
+        columns = ", ".join(f"{name} {kind}" for name, kind in BATCH_FILES.items())
+        reader = self.spark.read.schema(columns).option("basePath", self.batch_path)
+        saved = reader.parquet(*[f"{self.batch_path}/{day}" for day in days])
+        return self._visible(saved).select(*schemas.BATCH_COLUMNS)
+
+    def _newest(self, limit: int) -> DataFrame:
+        """Batches among which the ``limit`` newest are: those of the newest days, walked back in steps that double until
+        enough visible ones are found. The folder of a day says when its batches ran, so older days hold none newer."""
+        listed = self._file_system(self.batch_path).listStatus(self._path(self.batch_path))
+        names = [s.getPath().getName() for s in listed]
+        days = sorted((name for name in names if name.startswith("day=")), reverse=True)
+        found = opened = 0
+        while found < limit and opened < len(days):
+            step = days[opened : opened + max(1, opened)]
+            found += self._of_days(step).limit(limit).count()
+            opened += len(step)
+        return self._of_days(days[: max(1, opened)]) if days else self.batches
 
     @property
     def details(self) -> DataFrame:
         return self._read(self.detail_path, {"case_pos": "BIGINT", **schemas.RESULT_FIELDS, "batch_id": "STRING"})
 
     def latest(self, limit: int = 10) -> DataFrame:
-        return latest_batches(self.batches, limit)
+        """The newest batches first; only as many days are opened as hold them."""
+        return latest_batches(self._newest(limit) if limit >= 0 else self.batches, limit)
 
     def batch(self, batch_id: str) -> DataFrame:
         return batch_by_id(self.batches, batch_id)
@@ -287,7 +317,7 @@ class HistoryStore:
         return summarise(self.details.where(F.col("batch_id") == batch_id), total_time=total_time)
 
     def list_view(self, limit: int = 10) -> DataFrame:
-        return list_view(self.batches, limit)
+        return self.latest(limit).select(*LIST_COLUMNS)
 
     def detail_view(self, batch_id: str) -> DataFrame:
         return detail_view(self.batches, batch_id)
@@ -301,6 +331,10 @@ class HistoryStore:
     def verdict(self, baseline: str, candidate: str, **options) -> DataFrame:
         return regression_verdict(self.details, baseline, candidate, **options)
 
+    def rollup(self) -> DataFrame:
+        """Summaries by batch, model and day, from the counters in the batch rows; see ``summary_rollup``."""
+        return summary_rollup(self._visible(self._read(self.batch_path, BATCH_FILES)))
+
     def trend(self) -> DataFrame:
         return model_trend(self.batches)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answergauge import HistoryStore, evaluate, schemas
 from answergauge.operators.ask import ask_all, collect_answers
 from answergauge.operators.layout import spread
+from answergauge.operators.summarise import summarise
 from answergauge.plans.batch import run_batch
 from answergauge.rules import Rules, fill_placeholders
 from answergauge.sources import history
@@ -138,6 +139,52 @@ def test_batches_compared_and_trends(spark, results):
 # ---- Report ----------------------------------------------------------------------
 
 
+def test_rollup_reads_no_details(spark, results, tmp_path):
+    store = HistoryStore(spark, location=str(tmp_path / "rollup"))
+    first = store.save_batch(results, "model-a", 4.0)
+    store.save_batch(results.where("case_pos < 8"), "model-a", 1.0)
+    store.save_batch(results.limit(0), "model-b", 0.5)
+    rolled = store.rollup()
+    assert not [f for f in rolled.inputFiles() if "eval_case_detail" in f]
+    rows = {(r.level, r.model_name, r.batch_id): r for r in rolled.collect()}
+    one = rows["batch", "model-a", first]
+    assert (one.total, one.success, one.total_time, one.n_batches, one.n_uncounted) == (40, 30, 4.0, 1, 0)
+    assert one.avg_score == store.summary(first).first().avg_score
+    a = next(r for r in rows.values() if r.level == "model" and r.model_name == "model-a")
+    both = summarise(results.unionByName(results.where("case_pos < 8")), total_time=5.0).first()
+    assert all(a[c] == both[c] for c in both.asDict())
+    whole = next(r for r in rows.values() if r.level == "all")
+    assert (whole.total, whole.n_batches, whole.total_time) == (48, 3, 5.5)
+    empty = next(r for r in rows.values() if r.level == "model" and r.model_name == "model-b")
+    assert (empty.total, empty.success, empty.avg_score.total) == (0, 0, None)
+    store.delete(first)
+    assert next(r for r in store.rollup().collect() if r.level == "all").total == 8
+    assert HistoryStore(spark, location=str(tmp_path / "nothing")).rollup().count() == 0
+
+
+def test_newest_batches_open_few_days(spark, tmp_path, monkeypatch):
+    """400 days of one batch, then a day of several; two of the newest are deleted."""
+    store = HistoryStore(spark, location=str(tmp_path / "days"))
+    rows = spark.range(403).selectExpr(
+        "concat('b', lpad(id, 3, '0')) batch_id",
+        "concat(date_add(date'2024-01-01', cast(least(id, 399) as int)), ' 10:00:00') execute_time",
+        "'m' model_name", "1L total_cases", "1L success_count", "1D total_time", "100D success_rate", "50D avg_total_score",
+    ).selectExpr("*", "left(execute_time, 10) day")
+    rows.coalesce(1).write.mode("append").partitionBy("day").parquet(store.batch_path)
+    store.delete("b402"), store.delete("b398")
+    opened = []
+    of_days = store._of_days
+    monkeypatch.setattr(store, "_of_days", lambda days: opened.extend(days) or of_days(days))
+    got = [r.batch_id for r in store.latest(10).collect()]
+    assert got == ["b399", "b400", "b401", *[f"b{i}" for i in range(397, 390, -1)]]
+    assert len(set(opened)) <= 16
+    assert got == [r.batch_id for r in history.latest_batches(store.batches, 10).collect()]
+    assert store.latest(0).count() == 0 and store.latest(1000).count() == 401
+    assert [r.batch_id for r in store.list_view(2).collect()] == ["b399", "b400"]
+    uncounted = next(r for r in store.rollup().collect() if r.level == "all")
+    assert (uncounted.n_batches, uncounted.n_uncounted, uncounted.total) == (401, 401, None)
+
+
 def test_csv_keeps_every_value(spark, tmp_path):
     texts = ["plain", "a,b", 'say "x"', "two\nlines", "cr\r\nlf", "back\\slash", "\nlead", " pad ", "", None, "é中"]
     cases = spark.createDataFrame([(i, f"id{i}", None, "p", "s", []) for i in range(len(texts))], schemas.CASES)
