@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from answergauge import texts
 from answergauge.functions.text import HAN, HAN_BREAK, WHITESPACE, WS
+from answergauge.operators import changes
 from answergauge.plans import derive, workloads
 from answergauge.rules import STOP_WORDS
 from answergauge.sources import history
@@ -568,6 +569,47 @@ SELECT concat('model ', right(batch_id, 1)) AS model_name, CAST(row_number() OVE
 FROM batches WINDOW w AS (PARTITION BY right(batch_id, 1) ORDER BY execute_time, batch_id)""")
 
 
+def _model_changes() -> str:
+    """The splits of all segments of one depth at a time."""
+    shifted = f"CAST(right(batch_id, 1) AS INTEGER) % 2 = 1 AND execute_time >= {lit(workloads.LEVEL_SHIFT)}"
+    earlier = "w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    tried = """
+  SELECT l.model_name, l.a, l.n, l.s0, l.s1, l.q0, l.q1, r.run, r.batch_id, r.execute_time, r.s, r.q,
+    (r.s - l.s0) / (r.run - l.a)::DOUBLE AS t0, (l.s1 - r.s) / (l.n - r.run + l.a)::DOUBLE AS t1,
+    (r.run - l.a)::DOUBLE * (l.n - r.run + l.a)::DOUBLE / l.n::DOUBLE * ((t0 - t1) * (t0 - t1)) AS gain,
+    greatest(l.q1 - l.q0 - (l.s1 - l.s0) * (l.s1 - l.s0) / l.n::DOUBLE - gain, 0::DOUBLE) AS inside
+  FROM levels l JOIN runs r ON r.model_name = l.model_name"""
+    at = f"r.run - l.a >= {changes.LEAST_RUNS} AND l.n - r.run + l.a >= {changes.LEAST_RUNS}"
+    holds = f"gain > 0 AND gain * (n - 2)::DOUBLE >= {changes.LEAST_RATIO!r}::DOUBLE * inside"
+    made = _history("""
+SELECT model_name, run, batch_id, execute_time, runs_before, runs_after, m0 / 100 AS mean_before, m1 / 100 AS mean_after,
+  m1 / 100 - m0 / 100 AS change, ratio
+FROM levels WHERE side = 1""", f"""
+scored AS (
+  SELECT concat('model ', CAST(right(batch_id, 1) AS INTEGER) % 2) AS model_name, batch_id, execute_time,
+    CAST(round(CASE WHEN {shifted} THEN {round2("avg_total_score / 2")} ELSE avg_total_score END * 100) AS BIGINT) AS p
+  FROM batches),
+runs AS (
+  SELECT *, row_number() OVER w AS run, coalesce(sum(p) OVER ({earlier}), 0)::DOUBLE AS s,
+    coalesce(sum(p * p) OVER ({earlier}), 0)::DOUBLE AS q
+  FROM scored WHERE p IS NOT NULL WINDOW w AS (PARTITION BY model_name ORDER BY execute_time, batch_id, p)),
+levels AS (
+  SELECT model_name, 1::BIGINT AS a, count(*) AS n, 0::DOUBLE AS s0, sum(p)::DOUBLE AS s1, 0::DOUBLE AS q0,
+    sum(p * p)::DOUBLE AS q1, 0 AS side, 0::BIGINT AS run, '' AS batch_id, '' AS execute_time, 0::BIGINT AS runs_before,
+    0::BIGINT AS runs_after, 0::DOUBLE AS m0, 0::DOUBLE AS m1, 0::DOUBLE AS ratio
+  FROM runs GROUP BY model_name
+  UNION ALL
+  SELECT model_name, CASE WHEN side = 1 THEN run ELSE a END, CASE WHEN side = 1 THEN a + n - run ELSE run - a END,
+    CASE WHEN side = 1 THEN s ELSE s0 END, CASE WHEN side = 1 THEN s1 ELSE s END,
+    CASE WHEN side = 1 THEN q ELSE q0 END, CASE WHEN side = 1 THEN q1 ELSE q END,
+    side, run, batch_id, execute_time, run - a, a + n - run, t0, t1,
+    CASE WHEN inside > 0 THEN gain * (n - 2)::DOUBLE / inside END
+  FROM (SELECT * FROM ({tried} AND {at}) QUALIFY row_number() OVER (PARTITION BY model_name, a ORDER BY gain DESC, run) = 1),
+    (VALUES (0), (1)) v(side)
+  WHERE {holds})""")
+    return made.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _csv_rows() -> str:
     from answergauge.schemas import RESULT_FIELDS
     from answergauge.sources.report import REPORT_COLUMNS
@@ -819,6 +861,7 @@ FROM (SELECT doc_id, {strip('text')} AS s FROM documents)""",
         "compare_batches": _compare_batches(),
         "regression_verdict": _regression_verdict(),
         "model_trend": _model_trend(),
+        "model_changes": _model_changes(),
         "summary_rollup": _summary_rollup(),
         "batch_list_view": _history(
             "SELECT batch_id, execute_time, model_name, total_cases, success_rate, avg_total_score FROM batches"

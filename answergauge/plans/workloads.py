@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from answergauge import texts
 from answergauge.functions import calls, scoring, validity
-from answergauge.functions.text import fill_placeholders, strip, tokens
+from answergauge.functions.text import fill_placeholders, round2, strip, tokens
 from answergauge.operators.ask import ask_all
 from answergauge.operators.attempt_log import AttemptLog, ask_with_retries
 from answergauge.operators.attempts import call_outcomes, final_attempts, slow_calls
+from answergauge.operators.changes import model_changes
 from answergauge.operators.evaluate import (
     add_scores, add_tokens, add_validity, evaluate, judge_prompts, with_case_defaults,
 )
@@ -431,6 +432,20 @@ def q_model_trend(spark, sf):
     return history.model_trend(_batches(spark, sf).withColumn("model_name", models))
 
 
+LEVEL_SHIFT = "2024-01-30 16:30:00"
+
+
+def q_model_changes(spark, sf):
+    """Two models, of which the second scores half from one moment on."""
+    odd = F.right("batch_id", F.lit(1)).cast("int") % 2
+    score = F.col("avg_total_score")
+    shifted = F.when((odd == 1) & (F.col("execute_time") >= LEVEL_SHIFT), round2(score / 2)).otherwise(score)
+    batches = _batches(spark, sf).withColumns(
+        {"model_name": F.concat(F.lit("model "), odd.cast("string")), "avg_total_score": shifted}
+    )
+    return model_changes(batches)
+
+
 def q_summary_rollup(spark, sf):
     """Batch rows are stored with their counters, then rolled up from those alone."""
     ran = F.max(F.col("execute_timestamp").cast("timestamp_ntz")).alias("ran")

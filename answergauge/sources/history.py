@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from answergauge import schemas, texts
 from answergauge.functions.text import plain_number, round2
+from answergauge.operators.changes import model_changes
+from answergauge.operators.salting import salted_join
 from answergauge.operators.summarise import (
     COUNTERS, batch_rows, count_results, summarise, summary_records, summary_rollup,
 )
@@ -48,16 +50,13 @@ def batch_cases(details: DataFrame, batch_id: str) -> DataFrame:
     return details.where(F.col("batch_id") == batch_id).orderBy("case_pos")
 
 
-def with_details(batches: DataFrame, details: DataFrame, salts: int = 32) -> DataFrame:
+def with_details(batches: DataFrame, details: DataFrame, pieces: int | None = None) -> DataFrame:
     """Every result row next to its batch.
 
-    A batch may hold a large share of all details, so each batch row is repeated once per salt and the
-    details of a batch go to as many partitions. Batch rows are one per batch; where Spark finds them
-    small enough to broadcast, nothing is shuffled at all. ``salts`` is for the caller who knows the batches:
-    1 where none is large, since every batch row is repeated that often."""
-    repeated = batches.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = details.withColumn("_salt", F.pmod(F.xxhash64("case_pos"), F.lit(salts)).cast("int"))
-    return repeated.join(salted, ["batch_id", "_salt"]).drop("_salt")
+    A batch may hold a large share of all details. The details of such a batch are dealt to as many parts as they fill
+    of ``pieces``, and its row is repeated as often; other batches are joined as they are. Batch rows are one
+    per batch; where Spark finds them small enough to broadcast, nothing is shuffled at all."""
+    return salted_join(batches, details, ["batch_id"], ["case_pos"], pieces)
 
 
 def without_batch(rows: DataFrame, batch_id: str) -> DataFrame:
@@ -338,6 +337,10 @@ class HistoryStore:
     def trend(self) -> DataFrame:
         return model_trend(self.batches)
 
+    def changes(self, **options) -> DataFrame:
+        """The batches from which on a model scores otherwise; see ``model_changes``."""
+        return model_changes(self.batches, **options)
+
     def delete(self, batch_id: str) -> bool:
         """Delete a batch with its details; true if there was a batch row. Details without one are
         deleted all the same. No file is rewritten."""
