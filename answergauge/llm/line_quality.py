@@ -9,7 +9,6 @@ columns are kept by ``with_clean_text`` and ignored by ``measures``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,24 +21,54 @@ MOST_REPEATED_PERCENT = 30
 MOST_LOST_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
-# Phrases of lines that say nothing of a document's subject, in lower case.
-BOILERPLATE = (
+# Phrases of lines that say nothing of a document's subject, in lower case. Notices ...
+NOTICES = (
     "accept cookies",
     "all rights reserved",
-    "click here",
     "enable javascript",
     "licensed under",
-    "log in",
-    "newsletter",
     "privacy policy",
     "released under the",
-    "sign up",
     "terms of service",
     "terms of use",
     "uses cookies",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "javascript aktivieren",
+    "nutzungsbedingungen",
+    "verwendet cookies",
+    "accepter les cookies",
+    "conditions d'utilisation",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "utilise des cookies",
+    "aceptar cookies",
+    "aviso legal",
+    "condiciones de uso",
+    "política de privacidad",
+    "todos los derechos reservados",
+    "utiliza cookies",
 )
-# A sentence's end, also before closing quotes and brackets.
-ENDING = r"[.!?…。！？:;][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+# ... and invitations, which sentences also use: they count in shorter lines only.
+INVITATIONS = (
+    "click here",
+    "log in",
+    "newsletter",
+    "sign up",
+    "hier klicken",
+    "jetzt anmelden",
+    "cliquez ici",
+    "se connecter",
+    "haga clic aquí",
+    "iniciar sesión",
+)
+# A line is boilerplate if it has at most so many words for each of its phrases.
+WORDS_PER_NOTICE = 15
+WORDS_PER_INVITATION = 6
+# A sentence's end in any script, also before closing quotes and brackets.
+ENDING = r"[.!?…:;։؛؟۔।॥།။።។。！？：；｡][\"'”’»›)\]」』）】〉》]*[\x20\x09-\x0D]*$"
 # Counted rather than matched as repeated groups, for which Java's regex engine would recurse in long lines.
 SEPARATORS = r"[|>»•·]"
 LEAST_SEPARATORS = 3
@@ -47,6 +76,12 @@ WORDS_PER_SEPARATOR = 4
 SHOUTS = r"!!+"
 LEAST_SHOUTS = 3
 UNENDED_WORDS = 8
+UNENDED_CHARS = 80  # scripts without blanks write long lines of few words
+
+
+def phrases(of: tuple[str, ...]) -> str:
+    """A pattern for the phrases as whole words. Two phrases with one character between them count once."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(of)})(?:$|[^\p{{L}}\p{{N}}])"
 
 
 def _windows(words: Column, of: Callable[[Column, Column], Column]) -> Column:
@@ -100,9 +135,14 @@ def fails(line: Column) -> Column:
     """Whether a line breaks a rule of punctuation, navigation or boilerplate."""
 
     def rules(low: Column) -> Column:
-        boilerplate = reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE])
         words = F.regexp_count(low, F.lit(WORD))
-        unended = ~low.rlike(ENDING) & (words < UNENDED_WORDS)
+
+        def says(of: tuple[str, ...], per_phrase: int) -> Column:
+            found = F.regexp_count(low, F.lit(phrases(of)))
+            return (found > 0) & (words <= found * per_phrase)
+
+        boilerplate = says(NOTICES, WORDS_PER_NOTICE) | says(INVITATIONS, WORDS_PER_INVITATION)
+        unended = ~low.rlike(ENDING) & (words < UNENDED_WORDS) & (F.length(low) < UNENDED_CHARS)
         symbols = F.regexp_count(low, F.lit(SYMBOLS)) * 2 > words
         separators, shouts = F.regexp_count(low, F.lit(SEPARATORS)), F.regexp_count(low, F.lit(SHOUTS))
         navigation = (separators >= LEAST_SEPARATORS) & (words <= separators * WORDS_PER_SEPARATOR)

@@ -96,13 +96,16 @@ WITH docs AS (
   SELECT k, count(DISTINCT i + o) AS n FROM windows JOIN twice USING (k, win), range(8) r(o) GROUP BY k
 ), lined AS (
   SELECT *, list_filter(lines, lambda l: NOT (
-      {boilerplate}
+      (len(regexp_extract_all(lower(l), '{notices}')) > 0 AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
+        <= {per_notice} * len(regexp_extract_all(lower(l), '{notices}')))
+      OR (len(regexp_extract_all(lower(l), '{invitations}')) > 0 AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
+        <= {per_invitation} * len(regexp_extract_all(lower(l), '{invitations}')))
       OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 2 > len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
-      OR (NOT regexp_matches(l, '{ending}') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) < {unended})
+      OR (NOT regexp_matches(l, '{ending}') AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) < {unended} AND length(lower(l)) < {unended_chars})
       OR (len(regexp_extract_all(l, '{separators}')) >= {least_separators}
-        AND len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) <= {per_separator} * len(regexp_extract_all(l, '{separators}')))
+        AND len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) <= {per_separator} * len(regexp_extract_all(l, '{separators}')))
       OR (len(regexp_extract_all(l, '{shouts}')) >= {least_shouts}
-        AND len(regexp_extract_all(l, '{shouts}')) * 2 > len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'))))) AS good
+        AND len(regexp_extract_all(l, '{shouts}')) * 2 > len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))))) AS good
   FROM parts
 ), figures AS (
   SELECT k, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
@@ -117,7 +120,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_fa
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (chars - kept_chars) <= 50 * chars AS kept
 FROM figures
 """.format(
-    boilerplate=" OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE),
+    notices=line_quality.phrases(line_quality.NOTICES).replace("'", "''"),
+    invitations=line_quality.phrases(line_quality.INVITATIONS).replace("'", "''"),
+    per_notice=line_quality.WORDS_PER_NOTICE,
+    per_invitation=line_quality.WORDS_PER_INVITATION,
     ending=line_quality.ENDING.replace("'", "''"),
     separators=line_quality.SEPARATORS,
     least_separators=line_quality.LEAST_SEPARATORS,
@@ -125,6 +131,7 @@ FROM figures
     shouts=line_quality.SHOUTS,
     least_shouts=line_quality.LEAST_SHOUTS,
     unended=line_quality.UNENDED_WORDS,
+    unended_chars=line_quality.UNENDED_CHARS,
 )
 
 

@@ -61,6 +61,19 @@ def test_odd_texts(spark):
         ("BUY NOW!! CHEAP!! TODAY!!", True),
         ("word$$$ other### third&&& fourth***.", True),
         ("Wow! That is a fine thing to say.", False),
+        ("The blog in question has a dialog in every catalog in the shop.", False),
+        ("To read the file, users must log in to the server with the key that they were given.", False),
+        ("Log in or sign up now.", True),
+        ("Alle Rechte vorbehalten.", True),
+        ("Tous droits réservés © 2024, Société Exemple.", True),
+        ("Lea nuestra política de privacidad y el aviso legal.", True),
+        ("The court held that a privacy policy of the firm, " + "which its readers had never seen, " * 4 + "was void.", False),
+        ("Terms of use, privacy policy, all rights reserved: " + "and so on with a few more " * 5 + "words.", True),
+        ("यह एक वाक्य है।", False),
+        ("هل هذا صحيح؟", False),
+        ("这是一个句子。」", False),
+        ("ก" * 100, False),
+        ("Hauptseite Kontakt Impressum", True),
     ],
 )
 def test_rules(spark, line, fails):
@@ -78,6 +91,27 @@ def test_failing_lines_go_before_the_document_is_judged(spark):
     assert not rows[1]["quality"]["kept"] and not rows[1]["quality"]["base_failed"]
 
 
+def test_one_phrase_does_not_cost_a_single_line_article(spark):
+    words = [f"word{i}" for i in range(245)]
+    article = lambda said: " ".join(words[:120] + said.split() + words[120:]) + "."
+    texts = [article(s) for s in ("catalog in", "store of", "log in", "newsletter", "privacy policy", "Alle Rechte vorbehalten")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["kept"] and r["n_failed_lines"] == 0 for r in line_quality.measures(docs).collect())
+
+
+def test_rules_equal_those_of_the_sql(spark):
+    import duckdb
+
+    said = ["log in", "LOG IN", "login", "newsletter", "privacy policy", "conditions d'utilisation", "a | b | c | d", "x > y > z > w"]
+    said += ["Wow!! Now!! Buy!!", "no\\back 2 0 x", "x x x x | | |", "2 0 9 x0D !! !! !!", "$ % &", "end.", "यह।", "tail\r", ""]
+    lines = [a + m + b + e for a in said for b in said for m in (" ", " and then ", ",") for e in ("", ".", "」", " ;  ")]
+    rows = [(i, "\n".join(lines[i : i + 9])) for i in range(0, len(lines), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert compare.difference(line_quality.measures(docs), con, queries.OP7_SQL) is None
+
+
 def test_no_python_and_no_shuffle(spark):
     plan = queries.op7_line_quality(spark, FOLDER)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
