@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, merging by a tree.
 
 Vectors are packed into shards and queries into blocks, each a row with a matrix. Every block meets every shard
-once (a stated query set against all rows, in blocks): blocks are repeated once per shard group, a join on the
-group brings them together. A tile is one matrix product, of which each query keeps its best candidates; lists
+once (a stated query set against all rows, in blocks): both are dealt to groups, blocks are repeated once per
+shard group and shards once per block group, and a join on the two groups brings them together. A tile is one matrix product, of which each query keeps its best candidates; lists
 of the same query are then merged in groups of ``FAN`` until one is left, so no task holds more than
 ``FAN`` lists of a query. Products are exact: in double precision while no sum can reach 2**53, else in integers.
 
@@ -27,6 +27,7 @@ from answergauge.llm.common import materialised, ship_package
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
 GROUP_SHARDS = 16
+GROUP_BLOCKS = 16
 FAN = 16
 LONG = np.iinfo(np.int64)
 
@@ -95,6 +96,17 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
+def grid(shards: int, blocks: int, tasks: int) -> tuple[int, int]:
+    """Into how many groups shards and blocks are dealt: of ``GROUP_SHARDS`` and
+    ``GROUP_BLOCKS``, or smaller until there are as many pairs of groups as ``tasks``. Results don't depend on it."""
+    by = [max(1, -(-shards // GROUP_SHARDS)), max(1, -(-blocks // GROUP_BLOCKS))]
+    most = [max(1, shards), max(1, blocks)]
+    while by[0] * by[1] < tasks and by != most:
+        at = 0 if by[0] * most[1] <= by[1] * most[0] and by[0] < most[0] or by[1] == most[1] else 1
+        by[at] = min(most[at], 2 * by[at])
+    return by[0], by[1]
+
+
 def search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, factor: int = 256, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -106,15 +118,20 @@ def search(
         return chosen.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
 
     shards = materialised(_matrices(usable(vectors), SHARD_ROWS))
-    blocks = _matrices(usable(queries), BLOCK_ROWS)
+    blocks = materialised(_matrices(usable(queries), BLOCK_ROWS))
     n_shards = shards.count()
-    groups = max(1, -(-n_shards // GROUP_SHARDS))
-    group = F.pmod(F.xxhash64("number"), F.lit(groups))
-    left = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns]).withColumn(
-        "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    )
-    right = shards.withColumn("group", group)
-    tiles = left.join(right, (left["group"] == right["group"]) & (F.col("q_dim") == F.col("dim"))).select(
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard_groups, block_groups = grid(n_shards, blocks.count(), tasks)
+
+    def dealt(matrices: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
+        return matrices.withColumn(own, F.pmod(F.xxhash64("number"), F.lit(groups))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint")))
+        )
+
+    names = {c: f"q_{c}" for c in ("number", "n", "ids", "parts")}
+    left = dealt(blocks, "block_group", block_groups, "shard_group", shard_groups).withColumnsRenamed(names)
+    right = dealt(shards, "shard_group", shard_groups, "block_group", block_groups)
+    tiles = left.join(right, ["shard_group", "block_group", "dim"]).select(
         "q_number", "dim", "number", "q_ids", "q_parts", "ids", "parts"
     )
 

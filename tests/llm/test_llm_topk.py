@@ -57,3 +57,26 @@ def test_no_candidates_and_empty(spark):
 def test_query_equals_sql(spark):
     con = compare.connect(FOLDER)
     assert compare.difference(queries.op3_exact_topk(spark, FOLDER), con, queries.OP3_SQL) is None
+
+
+def test_grid_gives_every_task_a_pair_of_groups():
+    assert topk.grid(0, 0, 8) == (1, 1) and topk.grid(1, 1, 8) == (1, 1)
+    for shards, blocks, tasks in ((13, 2, 8), (13, 2, 200), (1, 30, 8), (200, 5, 64), (5000, 300, 200), (3, 3, 1)):
+        s, b = topk.grid(shards, blocks, tasks)
+        assert 1 <= s <= shards and 1 <= b <= blocks
+        assert s * topk.GROUP_SHARDS >= shards and b * topk.GROUP_BLOCKS >= blocks
+        assert s * b >= min(tasks, shards * blocks)
+    assert topk.grid(5000, 300, 200) == (313, 19)
+
+
+def test_groups_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 6)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    got = []
+    for split in ((1, 1), (3, 1), (1, 4), (5, 3)):
+        monkeypatch.setattr(topk, "grid", lambda *_, split=split: split)
+        got.append(sorted(map(tuple, topk.search(vectors.where("vec_id % 3 = 0"), vectors).collect())))
+    assert len(got[0]) == 200 and all(g == got[0] for g in got)
