@@ -9,6 +9,7 @@ columns are kept by ``with_clean_text`` and ignored by ``measures``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,22 +135,22 @@ def _of_words(text: Column) -> Column:
 def fails(line: Column) -> Column:
     """Whether a line breaks a rule of punctuation, navigation or boilerplate."""
 
-    def rules(low: Column) -> Column:
-        words = F.regexp_count(low, F.lit(WORD))
+    def says(low: Column, words: Column, of: tuple[str, ...], per_phrase: int) -> Column:
+        # A search by bytes first, since few lines hold a phrase at all.
+        held = reduce(lambda a, b: a | b, [low.contains(p) for p in of])
+        found = F.regexp_count(low, F.lit(phrases(of)))
+        return held & let(found, lambda n: (n > 0) & (words <= n * per_phrase))
 
-        def says(of: tuple[str, ...], per_phrase: int) -> Column:
-            found = F.regexp_count(low, F.lit(phrases(of)))
-            return (found > 0) & (words <= found * per_phrase)
-
-        boilerplate = says(NOTICES, WORDS_PER_NOTICE) | says(INVITATIONS, WORDS_PER_INVITATION)
-        unended = ~low.rlike(ENDING) & (words < UNENDED_WORDS) & (F.length(low) < UNENDED_CHARS)
+    def rules(low: Column, words: Column) -> Column:
+        unended = (words < UNENDED_WORDS) & (F.length(low) < UNENDED_CHARS) & ~low.rlike(ENDING)
         symbols = F.regexp_count(low, F.lit(SYMBOLS)) * 2 > words
         separators, shouts = F.regexp_count(low, F.lit(SEPARATORS)), F.regexp_count(low, F.lit(SHOUTS))
         navigation = (separators >= LEAST_SEPARATORS) & (words <= separators * WORDS_PER_SEPARATOR)
         shouting = (shouts >= LEAST_SHOUTS) & (shouts * 2 > words)
-        return boilerplate | symbols | unended | navigation | shouting
+        boilerplate = says(low, words, NOTICES, WORDS_PER_NOTICE) | says(low, words, INVITATIONS, WORDS_PER_INVITATION)
+        return unended | boilerplate | symbols | navigation | shouting
 
-    return let(F.lower(line), rules)
+    return let(F.lower(line), lambda low: let(F.regexp_count(low, F.lit(WORD)), lambda words: rules(low, words)))
 
 
 def _of_lines(text: Column) -> Column:
