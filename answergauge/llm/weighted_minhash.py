@@ -113,15 +113,24 @@ def band_keys(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np
     owner = np.repeat(np.arange(n), sizes)
     inverse = (1.0 / weights).astype(np.float32)
     keys = np.zeros((n, BANDS), np.uint64)
+    place, value = np.empty_like(hashes), np.empty(len(hashes), np.float32)  # used again for every sample
+    at = place.view(np.int64)
     for k in range(BANDS * ROWS):
-        at = ((hashes * odd[k]) >> _U(64 - DRAW_BITS)).astype(np.int32)
-        limit = np.minimum.reduceat(high[k][at] * inverse, bounds[:-1])
-        near = np.flatnonzero(low[k][at] * inverse <= limit[owner] * np.float32(1.0001))
+        np.multiply(hashes, odd[k], out=place)
+        np.right_shift(place, _U(64 - DRAW_BITS), out=place)
+        np.multiply(np.take(high[k], at, out=value, mode="clip"), inverse, out=value)
+        limit = np.minimum.reduceat(value, bounds[:-1]) * np.float32(1.0001)
+        np.multiply(np.take(low[k], at, out=value, mode="clip"), inverse, out=value)
+        near = np.flatnonzero(value <= np.repeat(limit, sizes))
         i, s, text = at[near], weights[near], owner[near]
-        t = np.floor(np.log(s) / r[k][i] + beta[k][i])
-        a = c[k][i] / np.exp(r[k][i] * (t - beta[k][i]) + r[k][i])
-        order = np.lexsort((hashes[near], a, text))
-        chosen = order[np.searchsorted(text[order], np.arange(n))]
+        ri, bi = r[k][i], beta[k][i]
+        t = np.floor(np.log(s) / ri + bi)
+        a = c[k][i] / np.exp(ri * (t - bi) + ri)
+        least = np.minimum.reduceat(a, np.searchsorted(text, np.arange(n)))  # of each text; it has one near at least
+        chosen = np.flatnonzero(a == least[text])
+        if len(chosen) > n:  # the smaller hash of those with the same value
+            order = chosen[np.lexsort((hashes[near[chosen]], text[chosen]))]
+            chosen = order[np.searchsorted(text[order], np.arange(n))]
         sample = mix(hashes[near[chosen]] + t[chosen].astype(np.int64).astype(np.uint64) * ODD)
         b = k // ROWS
         keys[:, b] = mix(keys[:, b] * ODD + sample + _U(b + 1))
