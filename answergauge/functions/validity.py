@@ -14,6 +14,7 @@ from answergauge.rules import Rules
 
 
 SEARCHED_CHARS = 8
+COUNTED_CHARS = 128
 
 
 def _count_of(text: Column, char: Column) -> Column:
@@ -23,16 +24,14 @@ def _count_of(text: Column, char: Column) -> Column:
 
 
 def top_char_share(text: Column) -> Column:
-    """Share of the commonest character in a non-empty text: the longest run among its sorted characters.
-    Linear apart from the sort, however many distinct characters there are."""
-    ordered = F.sort_array(F.split(text, ""))
-    start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(state: Column, char: Column) -> Column:
-        run = F.when(char == state["char"], state["run"] + 1).otherwise(1)
-        return F.struct(char.alias("char"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
-
-    return F.aggregate(ordered, start, step, lambda state: state["best"]) / F.length(text)
+    """Share of the commonest character in a non-empty text. Few distinct characters are each counted by a search of the
+    text; else it is the longest run among the sorted characters, linear apart from the sort."""
+    chars = F.array_distinct(F.split(text, ""))
+    counted = F.array_max(F.transform(chars, lambda c: _count_of(text, c)))
+    # The \1 is possessive: it never goes back, and so needs no stack.
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda run: F.length(run)))
+    return F.when(F.size(chars) <= COUNTED_CHARS, counted).otherwise(longest) / F.length(text)
 
 
 def top_char_share_above(text: Column, limit: float) -> Column:

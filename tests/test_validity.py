@@ -86,6 +86,15 @@ def test_many_distinct_characters_are_counted_in_one_sort(spark):
     assert all(r.above is None or r.above <= 0.5 for r in rows)
 
 
+@pytest.mark.parametrize("distinct", [1, V.COUNTED_CHARS - 1, V.COUNTED_CHARS, V.COUNTED_CHARS + 1])
+def test_shares_of_few_and_of_many_characters(spark, distinct):
+    """Counted by searches or by runs; no character goes through a lambda any more, which took most of the time."""
+    text = "".join(chr(0x1F600 - distinct + i) for i in range(distinct)) * 3 + "\n\n\n\n."
+    df = spark.createDataFrame([(text,)], "t string").select(V.top_char_share(F.col("t")).alias("share"))
+    assert df.first().share == plain.char_share(text)
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_word_lists_find_what_short_ones_find(spark):
     words = tuple(f"w{i}" for i in range(90)) + ("", "b", "w1", "ab", "bc")
     texts = ["w1 w12 abc", "nothing here", "", None, "w89w8"]
