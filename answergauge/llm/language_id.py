@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from answergauge.llm.common import in_slices, schema_of, ship_package
+from answergauge.llm.common import give_back, in_slices, schema_of, ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -150,6 +150,8 @@ class LanguageModel:
                 yield part.append_column(pred_col, pa.array([f[0] for f in found], pa.string())).append_column(
                     score_col, pa.array([f[1] for f in found], pa.float64())
                 )
+                part = found = None
+            give_back()
 
         return docs.mapInArrow(run, schema_of(docs, **{pred_col: StringType(), score_col: DoubleType()}))
 
@@ -173,6 +175,8 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
                     counts[at] += 1
                     seen[at] = False
                     total += 1
+                part = None
+        give_back()
         at = np.flatnonzero(counts)
         if total:
             yield pa.RecordBatch.from_pydict(
@@ -223,6 +227,8 @@ def train(
                     "values": pa.array([f and f[1].astype(np.float32).tobytes() for f in found], pa.binary()),
                 }
             )
+            part = found = None
+        give_back()
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {lang: i for i, lang in enumerate(languages)}
@@ -248,6 +254,8 @@ def train(
                 "temperature": pa.array([t]),
             }
         )
+        rows = w = None
+        give_back()
 
     made = sample.mapInArrow(vectors, "ticket long, lang string, at binary, values binary").repartition(1)
     model = made.mapInArrow(fitted, "at binary, weights binary, bias binary, temperature double").first()

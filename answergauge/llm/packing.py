@@ -33,7 +33,7 @@ SMALLEST_TIER = 64
 STEP_TOKENS = 8 * CONTEXT
 BUFFER_TOKENS = 128 * CONTEXT
 SLICE_BYTES = 2 << 20
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 50_000
 ID_BYTES = 4
 
 # A space between two others, or the last of several, does not begin a new piece of the pre-tokeniser.
@@ -135,8 +135,8 @@ class Encoder:
                 if "\n" in text and not _JOINED_LINES.search(text):
                     marked = marked.replace("\n", "\0\n\0")
                 out.append(b"".join(map(self.parts.__getitem__, marked.split("\0"))))
-        self.words.trim()
-        self.parts.trim()
+            self.words.trim()  # after each text, so that many short ones in one call keep no more
+            self.parts.trim()
         return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.common import in_slices, schema_of, ship_package
+from answergauge.llm.common import give_back, in_slices, schema_of, ship_package
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("mailbox", "login", "iban", "ssn", "account", "secret")
@@ -233,6 +233,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for text in part.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kind)], names=["id", "spans"])
+            part = rows = None
+        give_back()
 
     out = f"id {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}"
     return chosen.mapInArrow(run, out).select(F.col("id").alias(id_col), "spans")
@@ -247,6 +249,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [redacted(t, spans_of(t)) for t in part.column(text_col).to_pylist()]
             at = part.schema.get_field_index(text_col)
             yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+            part = texts = None
+        give_back()
 
     return docs.mapInArrow(run, schema_of(docs))
 

@@ -231,6 +231,9 @@ def _vectors(texts: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.binary())], names=["node", "hashes"]
                 )
+                part = packed = seen = None
+            some = None
+        give_back()
 
     made = texts.withColumn("place", place).mapInArrow(run, "node binary, hashes binary")
     return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
@@ -249,6 +252,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, idf, least: float) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a"), part.column("b"), pa.array(similar, pa.float64())], names=["a", "b", "similarity"]
                 )
+        give_back()
 
     of_a = vectors.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     of_b = vectors.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
@@ -389,6 +393,7 @@ def _shingle_weights(vectors: DataFrame, idf) -> DataFrame:
                 ],
                 names=["node", "hash", "weight"],
             )
+        give_back()
 
     return vectors.mapInArrow(run, "node binary, hash long, weight double")
 
