@@ -8,6 +8,7 @@ piece by piece, with a window of as many open ends as the longest word has chara
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,12 @@ _GAP = " "
 _EDGES = "array<struct<word: string, size: int, weight: bigint>>"
 
 
+_DIGEST_BYTES = 32
+
+
 def _digest(run: Column) -> Column:
-    return F.unhex(F.sha2(run, 256))
+    """The run's bytes if they are fewer than a digest has, which keeps the two apart."""
+    return F.when(F.octet_length(run) < _DIGEST_BYTES, run.cast("binary")).otherwise(F.unhex(F.sha2(run, 256)))
 
 
 def weighted_lexicon(words: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
         "digest", "at", "window", F.coalesce("_weight1", F.lit(unseen)).alias("single"), here.alias("here")
     )
     widest = F.aggregate("here", F.lit(1), lambda most, w: F.greatest(most, w["size"]))
-    found = found.withColumn("reach", F.col("at") + widest)
+    found = found.withColumns({"reach": F.col("at") + widest, "window": F.left("window", widest)})
 
     # A piece begins where nothing before it reaches further.
     order = Window.partitionBy("digest").orderBy("at")
@@ -104,16 +109,60 @@ def segment_runs(runs: DataFrame, lexicon: DataFrame) -> DataFrame:
     return parts.select("digest", F.ltrim(path).alias("path"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"[{HAN}]+"), F.lit(0))
+
+
+def _with_places(runs: Column) -> Column:
+    """Each different run once, with all its places. Sorted, equal runs stand together."""
+
+    def grouped(found: Column) -> Column:
+        def differs(i: Column) -> Column:
+            return ~F.get(found, i - 1)["run"].eqNullSafe(F.get(found, i)["run"])
+
+        def group(starts: Column) -> Column:
+            def one(start: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(starts, k + 1), F.size(found)) - start
+                places = F.transform(F.slice(found, start + 1, size), lambda r: r["at"])
+                return F.struct(F.get(found, start)["run"].alias("run"), places.alias("_places"))
+
+            return F.transform(starts, one)
+
+        every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1))
+        return _let(F.filter(every, differs), group)
+
+    at = F.transform(runs, lambda r, i: F.struct(r.alias("run"), i.alias("at")))
+    return _let(F.sort_array(at), grouped)
+
+
+def _with_first_places(runs: Column) -> Column:
+    """Each different run once, in the order in which they come first."""
+    once = F.array_distinct(runs)
+    return F.transform(once, lambda r, i: F.struct(r.alias("run"), F.array(i).alias("_places")))
+
+
+def _paths(texts: DataFrame, lexicon: DataFrame, keys: list[str], runs: Column, with_places: Callable[[Column], Column]) -> DataFrame:
+    """The keys and ``runs``: the paths of the runs at their places. A run is looked up once a text, however often it
+    stands there."""
+    listed = texts.select(*keys, F.inline_outer(with_places(runs)))
+    listed = listed.withColumn("digest", _digest(F.col("run")))
+    paths = segment_runs(texts.select(F.explode(F.array_distinct(runs)).alias("run")), weighted_lexicon(lexicon))
+    placed = listed.drop("run").join(paths, "digest", "left").groupBy(*keys)
+    found = placed.agg(F.collect_list(F.when(F.col("_places").isNotNull(), F.struct("_places", "path"))).alias("_found"))
+    spots = F.transform("_found", lambda f: F.transform(f["_places"], lambda p: F.struct(p.alias("at"), f["path"].alias("path"))))
+    in_order = F.sort_array(F.flatten(spots))
+    return found.select(*keys, F.transform(in_order, lambda r: r["path"]).alias("runs"))
+
+
 def han_segments(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The keys, which tell rows apart, and ``runs``: the segmented Han runs of the text, in their order. Texts without
     Han characters, and NULLs, have none."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{HAN}]+"), F.lit(0))
-    listed = texts.select(*keys, F.posexplode_outer(runs).alias("_no", "run"))
-    listed = listed.withColumn("digest", _digest(F.col("run")))
-    paths = segment_runs(listed.where(F.col("run").isNotNull()), weighted_lexicon(lexicon))
-    placed = listed.drop("run").join(paths, "digest", "left").groupBy(*keys)
-    found = placed.agg(F.sort_array(F.collect_list(F.when(F.col("_no").isNotNull(), F.struct("_no", "path")))).alias("_runs"))
-    return found.select(*keys, F.transform("_runs", lambda r: r["path"]).alias("runs"))
+    return _paths(texts, lexicon, keys, _runs(text), _with_places)
 
 
 def _words(runs: Column) -> Column:
@@ -131,7 +180,8 @@ def _words(runs: Column) -> Column:
 def segmented_tokens(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The keys and ``tokens``: the token set of each text, with Han words by probability. NULL gives NULL."""
     with_han = texts.where(has_han(F.col(text)))
-    segments = han_segments(with_han, lexicon, keys, text).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    # Words count once, so the places of further equal runs do not matter.
+    segments = _paths(with_han, lexicon, keys, _runs(text), _with_first_places).withColumnsRenamed({k: f"_of_{k}" for k in keys})
     # A key may be NULL; rows are told apart by all of them.
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     joined = texts.select(*keys, F.col(text).alias("_text")).join(segments, same, "left")

@@ -123,3 +123,23 @@ def test_grading_with_a_lexicon(spark):
     assert pairs["研究生命起源"]["relevance_score"] == 100.0
     assert rows["研究生命起源"]["relevance_score"] == 50.0 and rows["研究生命起源"]["hallucination_level"] == "无"
     assert rows["plain words"].asDict() == pairs["plain words"].asDict() | {"execute_timestamp": rows["plain words"]["execute_timestamp"]}
+
+
+def test_equal_runs_of_a_text_are_looked_up_once(spark):
+    """One row a text and different run meets the lexicon, with all its places."""
+    text = "，".join(["研究", "命", "研究", "生", "命", "研究"] * 50)
+    df = spark.createDataFrame([(0, text), (1, None), (2, "no"), (3, "命")], "id long, text string")
+    rows = df.selectExpr("id", "regexp_extract_all(text, '[一-鿿]+', 0) as runs")
+    got = {r["id"]: r["g"] for r in rows.select("id", segment._with_places(segment.F.col("runs")).alias("g")).collect()}
+    assert {r["run"]: len(r["_places"]) for r in got[0]} == {"研究": 150, "命": 100, "生": 50}
+    assert sorted(p for r in got[0] for p in r["_places"]) == list(range(300))
+    assert not got[1] and not got[2] and [tuple(r) for r in got[3]] == [("命", [0])]
+    assert segmented(spark, [text], AMBIGUOUS) == {0: plain(text, AMBIGUOUS)}
+
+
+def test_tokens_keep_the_order_in_which_they_come(spark):
+    texts = ["研究生，命，研究，研究生", "起源，命，研究生，起源"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = segment.segmented_tokens(df, lexicon(spark, AMBIGUOUS), ["id"])
+    got = {r["id"]: r["tokens"] for r in found.collect()}
+    assert got == {0: ["研究生", "研究"], 1: ["起源", "研究生"]}
