@@ -39,6 +39,7 @@ GRAM = 16
 SHALLOW = 32
 PLACE_BITS = 31
 SLICE_BYTES = 2 << 20
+PACK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 SENT_PER_BYTE = 3.4
 HOT_BITS = 20
@@ -46,9 +47,10 @@ LAST_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
 _PLACE = _U((1 << PLACE_BITS) - 1)
-# What is known of each run of a blob, column by column: the document's id, its number in the slice (as
-# differences), the run's place in it, its windows and where its anchor lies. The anchor itself is in the bytes.
+# What is known of each run of a blob, column by column: the document's id and its number in the slices packed with
+# it (both as differences), the run's place in it, its windows and where its anchor lies. The anchor itself is in the bytes.
 _HEAD = (("id", np.int64), ("doc", np.int32), ("at", np.int32), ("windows", np.uint8), ("offset", np.uint8))
+_DIFFERENCES = ("id", "doc")
 
 
 def runs_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,17 +263,58 @@ def hot_bins(texts: DataFrame, total: int) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r["bin"] for r in found], np.int64)), sum(r["windows"] for r in found)
 
 
+def _planes(values: np.ndarray, kind: type, differ: bool) -> bytes:
+    """All lowest bytes of the values, then the next ones: high bytes of small numbers are equal and compress well."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if differ else values
+    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(raw: pa.Buffer, at: int, n: int, kind: type, differ: bool) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(values) if differ else values
+
+
+def _packed(runs: list[dict[str, np.ndarray]], buckets: int, number: int) -> Iterator[pa.RecordBatch]:
+    """The runs of several slices as one blob per bucket; documents are numbered through all of them."""
+    to = np.concatenate([r["to"] for r in runs])
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    data = np.concatenate([r["data"] for r in runs])
+    shift = np.cumsum([0, *(len(r["data"]) for r in runs)])
+    start = np.concatenate([r["start"] + by for r, by in zip(runs, shift)])[order]
+    head = {name: np.concatenate([r[name] for r in runs])[order] for name, _ in _HEAD}
+    numbers, blobs, held = [], [], 0
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        some = slice(edges[b], edges[b + 1])
+        columns = b"".join(_planes(head[name][some], kind, name in _DIFFERENCES) for name, kind in _HEAD)
+        body = gathered(data, start[some], head["windows"][some] + np.int64(WIDTH - 1))
+        raw = np.int64(edges[b + 1] - edges[b]).tobytes() + columns + body.tobytes()
+        numbers.append(b)
+        blobs.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True))
+        held += len(blobs[-1])
+        if held > SLICE_BYTES:
+            yield _batch(len(numbers), bucket=numbers, blob=blobs, slice=[number] * len(numbers))
+            numbers, blobs, held = [], [], 0
+    if numbers:
+        yield _batch(len(numbers), bucket=numbers, blob=blobs, slice=[number] * len(numbers))
+
+
 def _deal(buckets: int, hot: np.ndarray):
-    """Texts to runs, packed per bucket; the spans that are settled within a slice; and which document is which."""
+    """Texts to runs, packed per bucket; the spans that are settled within a slice; and which document is which.
+
+    Slices are packed together, up to ``PACK_BYTES`` of text and heads, since short blobs, as many buckets give, compress badly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
+        waiting, docs, held = [], 0, 0
         for part in in_slices(batches, "text", SLICE_BYTES):
             ids = part.column("id").to_numpy()
             yield _batch(
                 part.num_rows,
                 slice=[number] * part.num_rows,
-                doc=range(part.num_rows),
+                doc=range(docs, docs + part.num_rows),
                 id=part.column("id"),
                 digest=part.column("digest"),
             )
@@ -279,7 +322,8 @@ def _deal(buckets: int, hot: np.ndarray):
             data, bounds, later = runs["data"], runs["bounds"], runs["later"]
             start, windows, anchor, doc = (runs[c] for c in ("start", "windows", "anchor", "doc"))
             at, size = start - bounds[doc], windows + (WIDTH - 1)
-            yield _span_batch(at[later], at[later] + size[later], (number << 32) + doc[later])
+            owner = (number << 32) + docs + doc
+            yield _span_batch(at[later], at[later] + size[later], owner[later])
             kept = runs["kept"]
             to = (runs["gram"][kept] % _U(buckets)).astype(np.int64)
             is_hot = np.isin(_bin(runs["gram"][kept]), hot)
@@ -292,9 +336,7 @@ def _deal(buckets: int, hot: np.ndarray):
             hashes = tuple(Ranges(data, base)(first, first + WIDTH) for base in BASES) if len(own) else (first, first)
             lead, later = classed((*hashes, offset), runs["place"][own] + inside)
             hit = np.flatnonzero(later)
-            yield _span_batch(
-                (at[own] + inside)[hit], (at[own] + inside)[hit] + WIDTH, (number << 32) + doc[own[hit]]
-            )
+            yield _span_batch((at[own] + inside)[hit], (at[own] + inside)[hit] + WIDTH, owner[own[hit]])
             sent = np.flatnonzero(lead == np.arange(len(lead)))
             spread = mix(hashes[0][sent].astype(np.uint64) + offset[sent].astype(np.uint64) * ODD) % _U(buckets)
             kept, to = kept[~is_hot], np.concatenate([to[~is_hot], spread.astype(np.int64)])
@@ -302,20 +344,16 @@ def _deal(buckets: int, hot: np.ndarray):
             windows = np.concatenate([windows[kept], np.ones(len(sent), np.int64)])
             anchor = np.concatenate([anchor[kept], anchor[own[sent]]])
             doc = np.concatenate([doc[kept], doc[own[sent]]])
-            at, end = start - bounds[doc], start + windows + (WIDTH - 1)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(buckets + 1))
-            numbers, blobs = [], []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                some = order[edges[b] : edges[b + 1]]
-                columns = (ids[doc[some]], np.diff(doc[some], prepend=0), at[some], windows[some], (anchor - start)[some])
-                head = b"".join(c.astype(kind).tobytes() for c, (_, kind) in zip(columns, _HEAD))
-                body = gathered(data, start[some], (end - start)[some])
-                raw = np.int64(len(some)).tobytes() + head + body.tobytes()
-                numbers.append(b)
-                blobs.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True))
-            yield _batch(len(numbers), bucket=numbers, blob=blobs, slice=[number] * len(numbers))
-            number += 1
+            values = dict(id=ids[doc], doc=docs + doc, at=start - bounds[doc], windows=windows, offset=anchor - start)
+            head = {name: values[name].astype(kind) for name, kind in _HEAD}
+            waiting.append(dict(data=data, start=start, to=to.astype(np.int32), **head))
+            docs += part.num_rows
+            held += sum(v.nbytes for v in waiting[-1].values())
+            if held >= PACK_BYTES:
+                yield from _packed(waiting, buckets, number)
+                number, waiting, docs, held = number + 1, [], 0, 0
+        if waiting:
+            yield from _packed(waiting, buckets, number)
 
     return run
 
@@ -329,9 +367,9 @@ def _unpacked(blobs: pa.ChunkedArray, slices: list[int]) -> tuple[dict[str, np.n
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
         head = {}
         for name, kind in _HEAD:
-            head[name] = np.frombuffer(raw, kind, n, at).astype(np.int64)
+            head[name] = _from_planes(raw, at, n, kind, name in _DIFFERENCES)
             at += n * np.dtype(kind).itemsize
-        head["doc"] = np.cumsum(head["doc"]) + (own << 32)
+        head["doc"] += own << 32
         heads.append(head)
         bodies.append(np.frombuffer(raw, np.uint8, offset=at))
     return (

@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from answergauge.llm import queries, suffix_dedup
 
@@ -82,6 +84,29 @@ def test_a_hot_anchor_is_split(spark, monkeypatch):
     assert cut(suffix_dedup.remove_repeats(table)) == brute([(i, t.encode()) for i, t in rows])
 
 
+def test_slices_are_packed_together(spark, monkeypatch):
+    """A bucket gets one blob from several slices, in which runs keep their documents."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 12000, raising=False)
+    rows = rows_of(3) + [((1 << 62) + i, f"{i}" + t) for i, t in rows_of(4)[-20:]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert cut(suffix_dedup.remove_repeats(table)) == brute([(i, (t or "").encode()) for i, t in rows])
+    columns = table.select(
+        F.coalesce("doc_id", F.lit(int(suffix_dedup.LAST_ID))).alias("id"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+        F.lit(b"").alias("digest"),
+    )
+    dealt = columns.mapInArrow(suffix_dedup._deal(2, np.zeros(0, np.int64)), suffix_dedup._SPAN).toArrow()
+    blobs = dealt.filter(pc.is_valid(dealt["bucket"]))
+    assert sum(len(t or "") for _, t in rows) > 15 * 1000
+    assert 2 < blobs.num_rows < 15  # three or more packs of both buckets
+    named = dealt.filter(pc.is_valid(dealt["id"]))
+    ids = dict(zip(zip(named["slice"].to_pylist(), named["doc"].to_pylist()), named["id"].to_pylist()))
+    assert sorted(ids.values()) == sorted(suffix_dedup.LAST_ID if i is None else i for i, _ in rows)
+    head, _ = suffix_dedup._unpacked(blobs["blob"], blobs["slice"].to_pylist())
+    assert [ids[doc >> 32, doc & 0xFFFFFFFF] for doc in head["doc"].tolist()] == head["id"].tolist()
+
+
 def test_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r[0], (r[1] or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
