@@ -34,6 +34,7 @@ STEP_TOKENS = 8 * CONTEXT
 BUFFER_TOKENS = 128 * CONTEXT
 SLICE_BYTES = 2 << 20
 CACHE_ENTRIES = 50_000
+WORD_ENTRIES = 100_000
 ID_BYTES = 4
 
 # A space between two others, or the last of several, does not begin a new piece of the pre-tokeniser.
@@ -69,9 +70,10 @@ def _latin_pattern() -> re.Pattern:
     """The pre-tokeniser's pattern for characters of ``_PLAIN``: letters and numbers as classes of that range."""
     kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x21, 0x250)) if re.match(f"[{_PLAIN}]", c)}
     letters, numbers = (re.escape("".join(c for c, k in kinds.items() if k == kind)) for kind in "LN")
-    # The endings that are pieces, and the order of the branches.
+    # The endings that are pieces, and the order of the branches. The endings come before the other
+    # signs; of the others before the white space only one can match at a place, and the commonest stand first.
     return re.compile(
-        rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+        rf" [{letters}]+|[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{letters}{numbers}]+| ?[{numbers}]+|\s+(?!\S)|\s+"
     )
 
 
@@ -90,7 +92,7 @@ class Encoder:
     space, which go to the tokenizer whole), so the ids of a text are those of its space-led parts, one after
     the other, and those of a part are those of its words. Both recur, and are kept."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES, words: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,7 +103,10 @@ class Encoder:
         self.plain = re.compile(rf"[{_PLAIN}]*")
         self.cut = _latin_pattern().findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.words, self.parts = _Kept(self._word, entries), _Kept(self._part, entries)
+        self.space = self.letters[ord(" ")]
+        self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        # A word that is not kept costs as much as some ten that are, so more of them are kept than of the parts.
+        self.words, self.parts = _Kept(self._word, words or entries), _Kept(self._part, entries)
 
     def rest(self) -> None:
         """What the next task of this worker starts with: the newer generation of words."""
@@ -109,8 +114,11 @@ class Encoder:
         self.parts.clear()
 
     def _word(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(ID_BYTES, "little") for t in found])
+        if word.isascii() and word.isprintable():  # all but the space stand for themselves
+            written = word.replace(" ", self.space)
+        else:
+            written = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(written)])
 
     def _part(self, part: str) -> bytes:
         if self.plain.fullmatch(part):
@@ -142,7 +150,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, words=WORD_ENTRIES)
 
 
 class Packer:

@@ -73,3 +73,26 @@ def test_repeated_rows_are_documents_of_their_own(spark):
     table = spark.createDataFrame([(1, "same text")] * 3, "doc_id long, text string")
     rows = packing.pack(table, PATH).collect()
     assert sum(len(r["ids"]) // 4 for r in rows) == 3 * rows[0]["doc_tokens"]
+
+
+def test_latin_texts_give_the_ids_of_the_whole_text():
+    rng = random.Random(2)
+    encoder = packing.Encoder(PATH, entries=50)
+    plain = [c for c in map(chr, range(0x250)) if encoder.plain.fullmatch(c)]
+    bits = [" ", " ", "\n", "'s", "'S", "'", "1", "²", "the", "Straße", "l'été", "!!", " |"]
+    texts = ["".join(rng.choice(bits if rng.random() < 0.5 else plain) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    got = encoder(texts)
+    want = [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_the_words_of_a_large_vocabulary_are_made_once():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(90_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    encoder = packing._encoder.__wrapped__(PATH)
+    made, make = [], encoder.words.make
+    encoder.words.make = lambda word: made.append(word) or make(word)
+    first = encoder(texts)
+    assert encoder(texts) == first
+    assert len(made) < 1.05 * len(words)
