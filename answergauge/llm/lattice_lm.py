@@ -3,8 +3,8 @@
 The pieces and their order come from an existing vocabulary file (never trained); they give every piece a prior
 weight. The weights are then re-estimated by rounds of expectation-maximisation over all segmentations of all distinct words
 of the training texts. A text is its words, each led by a marker, and one end. A word's probability is the sum
-over all its segmentations, by the forward recursion in log space; the lattice is over UTF-8 bytes with every byte as a
-piece, so every text has a probability. Each word of the training texts is one more piece, of the whole word: it takes its
+over all its segmentations, by the forward recursion, in log space where the word is so long that its probability
+could be too small for a double; the lattice is over UTF-8 bytes with every byte as a piece, so every text has a probability. Each word of the training texts is one more piece, of the whole word: it takes its
 count less a discount, and what the discounts leave goes to the segmentations into pieces of the vocabulary. So what is
 known grows with the corpus, and the probabilities of all texts sum to at most 1. Pieces do not cross words, so the
 marginal of a text is the product over its words.
@@ -21,12 +21,12 @@ in proportion; an empty table gives no rows; only the id and the text are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,10 @@ ROUNDS = 4
 SLICE_BYTES = 8 << 20
 COUNTER_ENTRIES = 400_000
 CHUNK_BYTES = 1 << 17
+LEAST_LOG = -600.0  # probabilities down to its exponential are computed as they are
 LN10 = float(np.log(10))
 MARKER = b" "
+ROOT = 1
 
 
 class Lattice:
@@ -64,10 +66,10 @@ class Lattice:
         weights = np.array([1.0 / 500] + [prior[p] for p in self.pieces[1:]])
         self.prior = weights / weights.sum()
         self.longest = max(map(len, self.pieces))
-        nodes: list[dict[int, int]] = [{}]
-        final = [-1]
+        nodes: list[dict[int, int]] = [{}, {}]  # 0, from which nothing leads elsewhere, and the root
+        final = [-1, -1]
         for number, piece in enumerate(self.pieces[1:], 1):
-            at = 0
+            at = ROOT
             for byte in piece:
                 if byte not in nodes[at]:
                     nodes[at][byte] = len(nodes)
@@ -76,7 +78,7 @@ class Lattice:
                 at = nodes[at][byte]
             final[at] = number
         self.final = np.array(final, np.int32)
-        self.next = np.zeros((len(nodes), 256), np.int32)  # 0, the root, stands for nothing
+        self.next = np.zeros((len(nodes), 256), np.int32)
         for at, children in enumerate(nodes):
             for byte, to in children.items():
                 self.next[at, byte] = to
@@ -92,7 +94,7 @@ class Lattice:
         inside = np.arange(len(data)) - first[word]
         room = lengths[word] - inside
         node = np.arange(len(data)) + word
-        at, state = np.arange(len(data)), np.zeros(len(data), np.int32)
+        at, state = np.arange(len(data)), np.full(len(data), ROOT, np.int32)
         found = []
         for step in range(self.longest):
             state = self.next[state, data[at + step]]
@@ -133,16 +135,71 @@ class Lattice:
             alpha[ends[a:b][groups]] = self._sums(alpha[starts[a:b]] + weights[a:b], groups)
         return alpha
 
+    def _by_length(self, words: list[bytes], log_p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """All words in chunks: their places in ``words``, and the bytes of words of one length, a column each. Words so
+        long that their probability could be below the least come last, without such bytes."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], LEAST_LOG / log_p.min() - len(MARKER)))
+        bounds = np.flatnonzero(np.diff(lengths[order[:short]], prepend=-1)).tolist() + [short]
+        for start, stop in zip(bounds, bounds[1:]):
+            size = int(lengths[order[start]]) + len(MARKER)
+            for first in range(start, stop, max(1, CHUNK_BYTES // size)):
+                places = order[first : min(stop, first + max(1, CHUNK_BYTES // size))]
+                data = np.frombuffer(b"".join([MARKER + words[i] for i in places.tolist()]), np.uint8)
+                yield places, np.ascontiguousarray(data.reshape(len(places), size).T)
+        if short < len(words):
+            yield order[short:], None
+
+    def _forward(self, data: np.ndarray, node_p: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """For words of one length: the probability of every prefix, and for each end the first start that may lead
+        there and the nodes reached from the starts, 0 where no piece goes on."""
+        size, n = data.shape
+        alpha, state, reached = np.zeros((size + 1, n)), np.full((size, n), ROOT, np.int32), []
+        alpha[0] = 1.0
+        for end in range(1, size + 1):
+            start = max(0, end - self.longest)
+            nodes = state[start:end] = self.next[state[start:end], data[end - 1]]
+            alpha[end] = (alpha[start:end] * node_p[nodes]).sum(0)
+            reached.append((start, nodes))
+        return alpha, reached
+
+    def _node_p(self, log_p: np.ndarray) -> np.ndarray:
+        return np.append(np.exp(log_p), 0.0)[self.final]  # the last, where a node ends no piece
+
     def log_probabilities(self, words: list[bytes], log_p: np.ndarray) -> np.ndarray:
         """log of each word's probability, all segmentations together."""
-        out = [np.zeros(0)]
-        for part in _chunks(words):
-            lattice = self.edges(part)
-            out.append(self.forward(lattice, log_p)[lattice[4] + lattice[5]])
-        return np.concatenate(out)
+        out, node_p = np.zeros(len(words)), self._node_p(log_p)
+        for places, data in self._by_length(words, log_p):
+            if data is not None:
+                out[places] = np.log(self._forward(data, node_p)[0][-1])
+                continue
+            at = 0
+            for part in _chunks([words[i] for i in places.tolist()]):
+                lattice = self.edges(part)
+                out[places[at : at + len(part)]] = self.forward(lattice, log_p)[lattice[4] + lattice[5]]
+                at += len(part)
+        return out
 
     def expected(self, words: list[bytes], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in words that occur ``counts`` times."""
+        node_p, uses, total = self._node_p(log_p), np.zeros(len(self.final)), np.zeros(len(self.pieces))
+        for places, data in self._by_length(words, log_p):
+            if data is None:
+                total += self._expected_of_long([words[i] for i in places.tolist()], counts[places], log_p)
+                continue
+            alpha, reached = self._forward(data, node_p)
+            beta = np.zeros_like(alpha)
+            beta[-1] = counts[places] / alpha[-1]
+            for end in range(len(data), 0, -1):
+                start, nodes = reached[end - 1]
+                onward = node_p[nodes] * beta[end]
+                beta[start:end] += onward
+                uses += np.bincount(nodes.ravel(), (alpha[start:end] * onward).ravel(), len(uses))
+        ends = np.flatnonzero(self.final >= 0)
+        return total + np.bincount(self.final[ends], uses[ends], len(self.pieces))
+
+    def _expected_of_long(self, words: list[bytes], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         total, at = np.zeros(len(self.pieces)), 0
         for part in _chunks(words):
             lattice = self.edges(part)
@@ -184,30 +241,36 @@ def _lattice(vocabulary: str) -> Lattice:
     return Lattice(vocabulary)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Lower case in A-Z and cut at ASCII white space, which is what both methods of bytes do."""
-    return text.lower().split() if text else []
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of all texts (binary), in lower case in A-Z and cut at ASCII white space: the place of each word's text,
+    and the words. NULL and empty texts have none."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+    words = cut.flatten()
+    place = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty piece there
+    return place[some.to_numpy(zero_copy_only=False)], words.filter(some).view(pa.binary()).dictionary_encode()
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     """word, c: exact counts over all rows. Tasks combine before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def flushed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(counter.keys(), pa.binary()), pa.array(counter.values(), pa.int64())], names=["word", "c"]
-            )
-            counter.clear()
-            return batch
+        def combined() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for part in in_slices(batches, "text", SLICE_BYTES):
-            for text in part.column("text").to_pylist():
-                counter.update(tokens(text))
-            if len(counter) > COUNTER_ENTRIES:
-                yield flushed()
-        yield flushed()
+            words = tokens(part.column("text"))[1]
+            counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            held.append(pa.table({"word": words.dictionary, "c": pa.array(counts, pa.int64())}))
+            if sum(map(len, held)) > COUNTER_ENTRIES:
+                held = [combined()]
+                if len(held[0]) > COUNTER_ENTRIES:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from combined().to_batches()
+        give_back()
 
     found = texts.select(F.col(text_col).cast("string").cast("binary").alias("text"))
     return found.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -257,49 +320,49 @@ def score(
     for _ in range(ROUNDS if distinct else 0):
         log_p = _over_all_words(counts, vocabulary, log_p)
     pieces = lattice.log_probabilities(top_words, log_p)
-    logs = np.log10((top_counts - discount) / max(1, train_tokens) + left * np.exp(pieces)).tolist()
-    base_logs = np.log10((top_counts + 1) / divisor).tolist()
+    logs = np.log10((top_counts - discount) / max(1, train_tokens) + left * np.exp(pieces))
+    base_logs = np.log10((top_counts + 1) / divisor)
     # At most ``frequent`` words of ``FREQUENT_BYTES`` bytes.
-    known = spark.sparkContext.broadcast((dict(zip(top_words, zip(base_logs, logs))), log_p))
+    known = spark.sparkContext.broadcast((pa.array(top_words, pa.binary()), base_logs, logs, log_p))
     end_base = float(np.log10((ends + 1) / divisor))
     end_log = float(np.log10(ends / train_tokens)) if ends else float(log_p[0] / LN10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights = known.value
-        key = TaskContext.get().partitionId() << 33
+        frequent_words, frequent_base, frequent_log, weights = known.value
+        first = TaskContext.get().partitionId() << 33
         for part in in_slices(batches, "text", SLICE_BYTES):
-            keys, rare, ns, heads = [], [], [], []
-            for text in part.column("text").to_pylist():
-                words = tokens(text)
-                base, log, n_known = end_base, end_log, 1 if ends else 0
-                first = len(rare)
-                for word, n in Counter(words).items():
-                    hit = table.get(word)
-                    if hit is None:
-                        rare.append(word)
-                        ns.append(n)
-                    else:
-                        base += n * hit[0]
-                        log += n * hit[1]
-                        n_known += n
-                keys += [key] * (len(rare) - first)
-                heads.append((key, len(words) + 1, n_known, base, log))
-                key += 1
-            unique = list(set(rare))
-            value = dict(zip(unique, (_lattice(vocabulary).log_probabilities(unique, weights) / LN10).tolist()))
-            blank = len(rare)
+            place, words = tokens(part.column("text"))
+            code, word, rows = words.indices.to_numpy(), words.dictionary, part.num_rows
+            at = pc.fill_null(pc.index_in(word, value_set=frequent_words), -1).to_numpy()
+            hit = at[code] >= 0
+            looked_up, there = at[code[hit]], place[hit]
+            # The words that are not looked up, once a text.
+            pairs, n = np.unique(place[~hit] * len(word) + code[~hit], return_counts=True)
+            row, rare = np.divmod(pairs, max(1, len(word)))
+            by_pieces = np.zeros(len(word))
+            unknown = np.flatnonzero(at < 0)
+            by_pieces[unknown] = _lattice(vocabulary).log_probabilities(word.take(pa.array(unknown)).to_pylist(), weights) / LN10
+            key, blank = first + np.arange(rows), len(rare)
+            first += rows
+            sums = [
+                np.bincount(place, minlength=rows) + 1,
+                np.bincount(there, minlength=rows) + (1 if ends else 0),
+                np.bincount(there, frequent_base[looked_up], rows) + end_base,
+                np.bincount(there, frequent_log[looked_up], rows) + end_log,
+            ]
             # A row of the text itself has a word of its own, which no text can hold, so such rows spread too.
+            own = pa.array([b" %d" % k for k in key.tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys + [h[0] for h in heads], pa.int64()),
-                    pa.array(rare + [b" %d" % h[0] for h in heads], pa.binary()),
-                    pa.array(ns + [0] * len(heads), pa.int64()),
+                    pa.array(np.concatenate([key[row], key]), pa.int64()),
+                    pa.concat_arrays([word.take(pa.array(rare)), own]),
+                    pa.array(np.concatenate([n, np.zeros(rows, np.int64)]), pa.int64()),
                     pa.concat_arrays([pa.nulls(blank, part.column("id").type), part.column("id")]),
                     pa.concat_arrays([pa.nulls(blank, pa.bool_()), part.column("held_out")]),
-                    pa.array([None] * blank + [h[1] for h in heads], pa.int64()),
-                    pa.array([None] * blank + [h[2] for h in heads], pa.int64()),
-                    pa.array([None] * blank + [h[3] for h in heads], pa.float64()),
-                    pa.array([value[w] for w in rare] + [h[4] for h in heads], pa.float64()),
+                    pa.concat_arrays([pa.nulls(blank, pa.int64()), pa.array(sums[0], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(blank, pa.int64()), pa.array(sums[1], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(blank, pa.float64()), pa.array(sums[2])]),
+                    pa.array(np.concatenate([by_pieces[rare], sums[3]])),
                 ],
                 names=["key", "word", "n", "id", "held_out", "n_tokens", "n_known", "base", "score"],
             )

@@ -141,3 +141,42 @@ def test_without_training_rows_the_prior_weights_hold(spark, lattice):
     (row,) = lattice_lm.score(table, F.lit(True), PATH).collect()
     logs = lattice.log_probabilities([b"the", b"nation"], np.log(lattice.prior)).sum() + math.log(lattice.prior[0])
     assert row["score"] == pytest.approx(logs / math.log(10)) and row["train_tokens"] == 0
+
+
+def in_log_space(lattice, words, log_p):
+    edges = lattice.edges(words)
+    return lattice.forward(edges, log_p)[edges[4] + edges[5]]
+
+
+def test_words_of_all_lengths_have_the_logs_of_the_log_space(lattice, monkeypatch):
+    log_p = np.log(lattice.prior)
+    words = [b"", b"\0\xff", b"the", "Straße".encode(), "日本".encode() * 20, b"nation", b"z" * 3000, b"a", b"the", b"of" * 30]
+    words += [b"ab" * 9 + b"c" * n for n in range(40)]
+    assert lattice.log_probabilities(words, log_p) == pytest.approx(in_log_space(lattice, words, log_p), rel=1e-12)
+    counts = np.arange(1.0, len(words) + 1)
+    both = lattice.expected(words, counts, log_p)
+    assert both == pytest.approx(lattice._expected_of_long(words, counts, log_p), rel=1e-9, abs=1e-12)
+    # The much slower log space is for long words alone.
+    monkeypatch.setattr(lattice, "edges", None)
+    lattice.log_probabilities([b"the", b"nation" * 4], log_p), lattice.expected([b"the", b"nation" * 4], np.ones(2), log_p)
+
+
+def test_words_of_texts_with_odd_bytes():
+    import pyarrow as pa
+
+    texts = [None, b"", b" \t ", b"\x0bThe \xff\xfe\x00 CAT\x0c\r\nthe", "É\xa0\x1c\x85 ß x".encode(), b"a", b"the  A "]
+    place, words = lattice_lm.tokens(pa.array(texts, pa.binary()))
+    got = list(zip(place.tolist(), words.to_pylist()))
+    assert got == [(i, w) for i, t in enumerate(texts) for w in (t or b"").lower().split()]
+    place, words = lattice_lm.tokens(pa.array(texts, pa.binary()).slice(3, 2))
+    assert list(zip((place + 3).tolist(), words.to_pylist())) == [g for g in got if g[0] in (3, 4)]
+    assert len(lattice_lm.tokens(pa.array([None, b""], pa.binary()))[0]) == 0
+
+
+def test_counts_of_tasks_with_many_words(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "SLICE_BYTES", 100)
+    monkeypatch.setattr(lattice_lm, "COUNTER_ENTRIES", 20)
+    rows = [(f"The cat{i % 7} word{i} {'x ' * (i % 3)}",) for i in range(60)] + [(None,), ("",)]
+    table = spark.createDataFrame(rows, "text string").coalesce(1)
+    got = {bytes(r["word"]): r["c"] for r in lattice_lm.word_counts(table, "text").collect()}
+    assert got == Counter(w for (t,) in rows if t for w in t.lower().encode().split())
