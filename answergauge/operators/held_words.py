@@ -2,12 +2,13 @@
 
 ``WordTrie`` finds the words that occur anywhere in a text. Words are cut into steps of eight bytes, the last one shorter, and all places
 of the texts walk the trie together, so that a place costs a few array operations a step, whatever the number of words. Bytes
-are compared, which for UTF-8 is the same as characters.
+are compared, which for UTF-8 is the same as characters. ``HanPaths`` finds the path of highest probability through runs of Han characters.
 
 A list is held up to ``HELD_BYTES``, which bounds what the driver collects and sends; callers have joins for longer ones."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,14 @@ BLOCK = 1 << 17
 STEP = 8
 # Texts times words of a block that are marked in a table; beyond that, pairs are sorted.
 MOST_MARKS = 1 << 23
+# Runs whose words a task remembers, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 64
 
 _MIX, _MIX_NODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# Below the score of any path.
+_NO_PATH = -(1 << 62)
+# The characters of ``text.HAN``.
+_HAN_RUN = re.compile("[\u4e00-\u9fff]+")
 _MASKS = [np.uint64((1 << (8 * n)) - 1) for n in range(STEP + 1)]
 
 
@@ -183,6 +190,89 @@ class WordTrie:
         return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), self.words.take(pa.array(word)))
 
 
+class HanPaths:
+    """Segments runs of Han characters by ``weights``, whole numbers; a character that is no word has ``unseen``."""
+
+    def __init__(self, words: list[str], weights: list[int], unseen: int):
+        self.weights, self.unseen = dict(zip(words, weights)), unseen
+        # The sizes of words of four characters and more by the first three; few lists of sizes are different.
+        sizes: dict[str, set[int]] = {}
+        for word in words:
+            if len(word) > 3:
+                sizes.setdefault(word[:3], set()).add(len(word))
+        same: dict[tuple, tuple] = {}
+        self.sizes = {begin: same.setdefault(t := tuple(sorted(of)), t) for begin, of in sizes.items()}
+        # What was met before, also by earlier tasks of the same process: words at three characters, and the parts of runs.
+        self.begins: dict[str, tuple] = {}
+        self.known: dict[str, tuple[tuple, tuple]] = {}
+
+    def _begin(self, three: str) -> tuple[list[tuple[int, int]], tuple[int, ...]]:
+        """Sizes and weights of the words of up to three characters that begin there, and the sizes that longer ones have."""
+        short = [(1, self.weights.get(three[0], self.unseen))]
+        short += [(n, self.weights[three[:n]]) for n in range(2, len(three) + 1) if three[:n] in self.weights]
+        if len(self.begins) >= REMEMBERED:
+            self.begins.clear()
+        self.begins[three] = short, self.sizes.get(three, ())
+        return self.begins[three]
+
+    def path(self, run: str) -> list[str]:
+        """The words of the best path; ties go to the longer last word."""
+        many, weight, begins = len(run), self.weights.get, self.begins.get
+        score, back = [_NO_PATH] * (many + 1), [0] * (many + 1)
+        score[0] = 0
+        for at in range(many):
+            here, three = score[at], run[at : at + 3]
+            short, sizes = begins(three) or self._begin(three)
+            # What is at an end already begins further left, so its last word is longer.
+            for size, more in short:
+                if here + more > score[at + size]:
+                    score[at + size], back[at + size] = here + more, at
+            for size in sizes:
+                end = at + size
+                if end > many:
+                    break
+                more = weight(run[at:end])
+                if more is not None and here + more > score[end]:
+                    score[end], back[end] = here + more, at
+        words, end = [], many
+        while end:
+            words.append(run[back[end] : end])
+            end = back[end]
+        return words[::-1]
+
+    def parts(self, run: str) -> tuple[tuple, tuple]:
+        """Words of two characters and more, and the pairs of single characters that stand next to each other."""
+        path = self.path(run)
+        pairs = (a + b for a, b in zip(path, path[1:]) if len(a) == len(b) == 1)
+        return tuple(w for w in path if len(w) > 1), tuple(pairs)
+
+    def found_in(self, texts: pa.Array) -> pa.ListArray:
+        """The parts of the different runs of each text, words before pairs, in the order in which they come; NULL has none."""
+        known, found, lists = self.known, [], [0]
+        for text in _texts(texts):
+            words, pairs = [], []
+            for run in dict.fromkeys(_HAN_RUN.findall(text or "")):
+                parts = known.get(run)
+                if parts is None:
+                    parts = self.parts(run)
+                    if len(run) <= LONGEST_REMEMBERED:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[run] = parts
+                words += parts[0]
+                pairs += parts[1]
+            found += dict.fromkeys(words + pairs)
+            lists.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(found, pa.string()))
+
+
+def _texts(texts: pa.Array) -> list[str | None]:
+    try:
+        return texts.to_pylist()
+    except UnicodeDecodeError:  # as Spark's own functions read such bytes
+        return [None if t is None else t.decode(errors="replace") for t in texts.view(pa.binary()).to_pylist()]
+
+
 def _found(text: Column, held: Broadcast) -> Column:
     """What the search that every task holds finds in ``text``."""
 
@@ -193,7 +283,7 @@ def _found(text: Column, held: Broadcast) -> Column:
     return F.arrow_udf(run, "array<string>")(text)
 
 
-def _sent(words: DataFrame, search: WordTrie) -> Callable[[Column], Column]:
+def _sent(words: DataFrame, search: WordTrie | HanPaths) -> Callable[[Column], Column]:
     ship_package(words.sparkSession)
     held = words.sparkSession.sparkContext.broadcast(search)
     return lambda text: _found(text, held)
@@ -202,3 +292,10 @@ def _sent(words: DataFrame, search: WordTrie) -> Callable[[Column], Column]:
 def words_in(words: DataFrame, order: list[str]) -> Callable[[Column], Column]:
     """A function from a text to those of ``word`` that occur in it, in the order of ``order``."""
     return _sent(words, WordTrie(words.orderBy(*order).select("word").toArrow()["word"].to_pylist()))
+
+
+def han_words_in(lexicon: DataFrame) -> Callable[[Column], Column]:
+    """A function from a text to the words of its runs of Han characters by ``word``, ``weight`` and ``unseen``."""
+    rows = lexicon.select("word", "weight", "unseen").toArrow()
+    unseen = rows["unseen"][0].as_py() if len(rows) else 0
+    return _sent(lexicon, HanPaths(rows["word"].to_pylist(), rows["weight"].to_pylist(), unseen))

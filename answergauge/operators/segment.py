@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergauge.functions.text import HAN, HAN_BREAK, ODD_SPACE, SPACED_WORD, WORDLIKE, has_han, literals, tokens
+from answergauge.operators.held_words import han_words_in, may_be_held
+from answergauge.operators.layout import once_and_again
 from answergauge.rules import STOP_WORDS
 
 MILLION = 1_000_000
@@ -178,18 +180,38 @@ def _words(runs: Column) -> Column:
 
 
 def segmented_tokens(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The keys and ``tokens``: the token set of each text, with Han words by probability. NULL gives NULL."""
-    with_han = texts.where(has_han(F.col(text)))
+    """The keys and ``tokens``: the token set of each text, with Han words by probability. NULL gives NULL. Rows with the same keys
+    share their Han words.
+
+    A lexicon that every task can hold goes to the texts, and nothing is shuffled; runs and paths are as large as the texts, and more."""
+    rows = texts.select(*keys, F.col(text).alias("_text"))
+    words = weighted_lexicon(lexicon)
+    if not may_be_held(words):
+        return _tokens_by_joins(rows, lexicon, keys)
+    once, again = once_and_again(rows, keys)
+    in_runs = han_words_in(words)(F.when(has_han(F.col("_text")), F.col("_text")))
+    found = _with_tokens(once.withColumn("_words", in_runs), keys, has_han(F.col("_text")))
+    return found if again is None else found.unionByName(_tokens_by_joins(again, lexicon, keys))
+
+
+def _tokens_by_joins(rows: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """``segmented_tokens`` of the column ``_text``, for lexicons of any size."""
+    with_han = rows.where(has_han(F.col("_text")))
     # Words count once, so the places of further equal runs do not matter.
-    segments = _paths(with_han, lexicon, keys, _runs(text), _with_first_places).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    segments = _paths(with_han, lexicon, keys, _runs("_text"), _with_first_places).withColumnsRenamed({k: f"_of_{k}" for k in keys})
     # A key may be NULL; rows are told apart by all of them.
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    joined = texts.select(*keys, F.col(text).alias("_text")).join(segments, same, "left")
+    joined = rows.join(segments, same, "left").withColumn("_words", _words(F.col("runs")))
+    return _with_tokens(joined, keys, F.col("runs").isNotNull())
+
+
+def _with_tokens(rows: DataFrame, keys: list[str], segmented: Column) -> DataFrame:
+    """The keys and ``tokens`` of ``_text``; where it is ``segmented``, with ``_words`` for its Han characters."""
     rest = F.regexp_replace(F.regexp_replace("_text", HAN_BREAK, " "), ODD_SPACE, " ")
-    words = F.filter(_words(F.col("runs")), lambda w: w.rlike(f"[{WORDLIKE}]"))
+    words = F.filter("_words", lambda w: w.rlike(f"[{WORDLIKE}]"))
     spaced = F.regexp_extract_all(rest, F.lit(SPACED_WORD), F.lit(0))
     of_han = F.array_except(F.concat(words, spaced), literals(STOP_WORDS))
-    return joined.select(*keys, F.when(F.col("runs").isNotNull(), of_han).otherwise(tokens(F.col("_text"))).alias("tokens"))
+    return rows.select(*keys, F.when(segmented, of_han).otherwise(tokens(F.col("_text"))).alias("tokens"))
 
 
 def add_segmented_tokens(

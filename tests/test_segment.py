@@ -143,3 +143,57 @@ def test_tokens_keep_the_order_in_which_they_come(spark):
     found = segment.segmented_tokens(df, lexicon(spark, AMBIGUOUS), ["id"])
     got = {r["id"]: r["tokens"] for r in found.collect()}
     assert got == {0: ["研究生", "研究"], 1: ["起源", "研究生"]}
+
+
+def tokens_of(spark, df, words, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        made = segment.segmented_tokens(df, lexicon(spark, words), ["id"])
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted(((str(r["id"]), r["tokens"]) for r in made.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_lexicon_that_tasks_can_hold_goes_to_the_texts(spark):
+    """Runs and their paths were shuffled, several times as many bytes as the texts have, and filled the disk."""
+    df = spark.range(50).selectExpr("id", "concat('研究生命起源 of life ', id, '，研究生的研究') as text")
+    plan, rows = tokens_of(spark, df, AMBIGUOUS, "1")
+    assert "Exchange" not in plan and "Join" not in plan
+    assert len(rows) == 50 and rows[0] == ("0", ["研究", "生命", "起源", "研究生", "of", "life"])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_held_and_joined_lexicons_give_the_same_tokens(spark, seed):
+    rng = random.Random(seed)
+    letters = "大因以为的可"
+    make = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    words = [(make(6), rng.choice([1, 1, 3, 50])) for _ in range(40)] + [("大因", None), (None, 3), ("x大", 9), ("", 4), ("以", 0)]
+    texts = ["，".join(make(30) + " word" * rng.randint(0, 1) for _ in range(rng.randint(0, 4))) for _ in range(30)]
+    texts += [None, "", "abc（def", "a大b因c", make(30) * 20, "的"]
+    # Ids 0 to 4 stand twice, with other texts or none; NULL is an id too.
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, make(9)), (2, "plain（words"), (3, None), (4, ""), (None, make(9)), (None, "x")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    plan, held = tokens_of(spark, df, words, "10m")
+    joins, joined = tokens_of(spark, df, words, "-1")
+    assert "ArrowEvalPython" in plan and "ArrowEvalPython" not in joins
+    assert len(held) == len(rows) and held == joined
+    assert tokens_of(spark, df, [], "10m")[1] == tokens_of(spark, df, [], "-1")[1]
+
+
+def test_paths_of_long_words_and_runs_that_are_forgotten(monkeypatch):
+    from answergauge.operators import held_words
+
+    monkeypatch.setattr(held_words, "REMEMBERED", 3)
+    rng = random.Random(1)
+    make = lambda a, b: "".join(rng.choice("大因以为") for _ in range(rng.randint(a, b)))
+    words = [(make(1, 12), rng.choice([1, 5, 90])) for _ in range(60)]
+    freq = {}
+    for word, n in words:
+        freq[word] = freq.get(word, 0) + n
+    total = float(sum(freq.values()))
+    paths = held_words.HanPaths(list(freq), [math.floor(math.log(n / total) * 1_000_000) for n in freq.values()], math.floor(math.log(1 / total) * 1_000_000))
+    for _ in range(2):
+        for run in [make(1, 40) for _ in range(50)] + [make(3000, 3000)]:
+            assert [" ".join(paths.path(run))] == plain(run, words)
